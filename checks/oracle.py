@@ -7,6 +7,8 @@ lines, rule texts) are shared.
 
 from __future__ import annotations
 
+import re
+
 from checks import planted as P
 from checks.queries import CUSTOM_RULE
 from wardlake import __version__
@@ -125,7 +127,6 @@ SELECT s_suppkey AS s, 'ADV-' || s_suppkey AS id, p.name, p.version, p.p_size,
   CASE s_suppkey % 7 {_labels} END AS db_severity,
   CASE s_suppkey % 5 WHEN 1 THEN v.vector WHEN 2 THEN 'CVSS:3.1/broken' WHEN 3 THEN v.vector END AS v3_score
 FROM supplier JOIN packages p ON p.key = s_suppkey * 19 JOIN vectors v ON v.key = p.key"""
-_pos = "['AV:' || av, 'AC:' || ac]"
 
 
 def _base(cte: str, key: str, vector: str, source: str) -> None:
@@ -734,7 +735,7 @@ FINAL: dict[str, str] = {
     "diff_dependency_gate": "SELECT * FROM manifest_gate",
     "diff_env_gate": "SELECT * FROM env_gate",
     "all_findings": f"SELECT {PUBLIC}, suppression_kind FROM judged",
-    "scan_texts": f"SELECT {PUBLIC}, CAST(NULL AS VARCHAR) AS suppression_kind FROM ({union(DEFAULT, '')}) WHERE NOT starts_with(repo, 'repo_') AND NOT starts_with(repo, 'dep_')",
+    "scan_texts": f"SELECT {PUBLIC}, CAST(NULL AS VARCHAR) AS suppression_kind FROM ({union([*DEFAULT, secrets.GENERIC_TOKEN], '')}) WHERE NOT starts_with(repo, 'repo_') AND NOT starts_with(repo, 'dep_')",
     "skip_dependencies": f"SELECT {PUBLIC}, suppression_kind FROM judged_t",
     "severity_at_least": f"SELECT {PUBLIC}, suppression_kind FROM judged WHERE {RANK} >= 3",
     "severity_counts": f"SELECT repo, severity, count(*) AS findings, CAST({RANK} AS INTEGER) AS severity_rank FROM judged WHERE suppression_kind IS NULL GROUP BY repo, severity",
@@ -752,8 +753,6 @@ FINAL: dict[str, str] = {
 
 def _needed(sql: str) -> list[str]:
     """The common table expressions a statement builds on, in order."""
-    import re
-
     wanted: set[str] = set()
     pending = [sql]
     while pending:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import replace
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,14 +11,14 @@ from pyspark.sql import functions as F
 from checks import planted as P
 from wardlake.functions.cvss import advisory_severity, cvss_base_score
 from wardlake.functions.text import mask_code
-from wardlake.model import FINDING_COLUMNS, public, severity_at_least, severity_rank
+from wardlake.model import public, severity_at_least
 from wardlake.operators import changes, code_rules, dependencies, docker, env_files, exec_calls, secrets
 from wardlake.operators import suppression as S
 from wardlake.operators import workflows
 from wardlake.operators.directives import inline_directives
 from wardlake.operators.rules import Rule, pattern_rule, scan_lines
 from wardlake.plans import report
-from wardlake.plans.scan import FALLBACK_MODE_RULES, ScanOptions, ScanResult, diff_scan, scan
+from wardlake.plans.scan import ScanOptions, ScanResult, scan
 from wardlake.session import written
 from wardlake.sources import corpus as C
 
@@ -217,7 +216,8 @@ def all_findings(spark, sf_dir):
 
 
 def scan_texts(spark, sf_dir):
-    return public(scan(P.texts(spark, sf_dir)).findings)
+    options = ScanOptions(rules=(*ScanOptions().rules, secrets.GENERIC_TOKEN))
+    return public(scan(P.texts(spark, sf_dir), options=options).findings)
 
 
 def skip_dependencies(spark, sf_dir):

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -151,10 +151,6 @@ def _candidate(rules: Sequence[Rule]) -> Column:
     return _any_of([_in_scope(scope) & _any_of(tests) for scope, tests in by_scope.items()])
 
 
-def _facts(rules: Sequence[Rule]) -> dict[str, Fact]:
-    return {fact.name: fact for rule in rules for fact in rule.facts}
-
-
 def _fact_column(fact: Fact) -> Column:
     content = F.col("content")
     wanted = _in_scope(fact.scope)
@@ -163,6 +159,60 @@ def _fact_column(fact: Fact) -> Column:
     return F.when(wanted, fact.value(content, split_lines(content))).alias(f"fact_{fact.name}")
 
 
+@dataclass(frozen=True)
+class _Expressions:
+    facts: dict[str, Column]
+    candidate: Column
+    hits: Column
+    catalogue: Column
+
+
+@lru_cache(maxsize=64)
+def _expressions(application: str, rules: tuple[Rule, ...]) -> _Expressions:
+    """The columns of a pass. They depend on the rules only, and building some thousand
+    nodes takes longer than a small scan, so an application keeps them."""
+    facts = {fact.name: fact for rule in rules for fact in rule.facts}
+    context = Context(
+        line=F.col("line"),
+        masked=F.col("masked"),
+        line_no=F.col("line_no"),
+        fact=lambda name: F.col(f"fact_{name}"),
+    )
+    nothing = F.array().cast("array<string>")
+
+    def hits(number: int, rule: Rule) -> Column:
+        wanted = _in_scope(rule.scope) & _triggered(rule)
+        if rule.skip_comments:
+            wanted = wanted & ~F.col("comment")
+        found = F.coalesce(F.when(wanted, rule.hits(context)), nothing)
+        return F.transform(
+            found, lambda text: F.struct(F.lit(number).alias("rule"), text.alias("excerpt"))
+        )
+
+    catalogue = [
+        F.struct(
+            F.lit(r.rule_id).alias("rule_id"),
+            F.lit(r.category).alias("category"),
+            F.lit(r.severity).alias("severity"),
+            F.lit(r.title).alias("title"),
+            F.lit(r.remediation).alias("remediation"),
+            F.lit(r.check_order).alias("check_order"),
+            F.lit(r.has_line).alias("has_line"),
+        )
+        for r in rules
+    ]
+    return _Expressions(
+        facts={name: _fact_column(fact) for name, fact in facts.items()},
+        candidate=_candidate(rules),
+        hits=F.concat(*[hits(n, r) for n, r in enumerate(rules)]),
+        catalogue=F.array(*catalogue),
+    )
+
+
+def _expressions_for(files: DataFrame, rules: Sequence[Rule]) -> _Expressions:
+    return _expressions(files.sparkSession.sparkContext.applicationId, tuple(rules))
+
+
 def candidate_lines(files: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """Lines worth matching, with their predecessor where it can matter and file facts."""
     flags = ("is_dockerfile", "is_code", "is_workflow")
@@ -174,12 +224,13 @@ def candidate_lines(files: DataFrame, rules: Sequence[Rule]) -> DataFrame:
         has_directive(content),
         F.concat(F.array(F.lit("")), F.slice(lines, F.lit(1), F.size(lines) - 1)),
     ).otherwise(F.array().cast("array<string>"))
-    facts = _facts(rules)
+    expressions = _expressions_for(files, rules)
+    facts = expressions.facts
     exploded = routed.select(
         "repo",
         "path",
         *flags,
-        *[_fact_column(f) for f in facts.values()],
+        *facts.values(),
         # A file always has a line. The outer form keeps the optimizer from adding a
         # "not empty" filter, which would split every file a second time.
         F.posexplode_outer(F.arrays_zip(lines.alias("line"), above.alias("above"))).alias(
@@ -194,7 +245,7 @@ def candidate_lines(files: DataFrame, rules: Sequence[Rule]) -> DataFrame:
         (F.col("position") + 1).alias("line_no"),
         F.col("entry.line").alias("line"),
         F.col("entry.above").alias("above"),
-    ).filter(_candidate(rules))
+    ).filter(expressions.candidate)
 
 
 def scan_lines(files: DataFrame, rules: Sequence[Rule]) -> DataFrame:
@@ -210,24 +261,6 @@ def scan_lines(files: DataFrame, rules: Sequence[Rule]) -> DataFrame:
         )
     else:
         lines = lines.withColumns({"masked": F.lit(None).cast("string"), "comment": F.lit(False)})
-    context = Context(
-        line=F.col("line"),
-        masked=F.col("masked"),
-        line_no=F.col("line_no"),
-        fact=lambda name: F.col(f"fact_{name}"),
-    )
-
-    nothing = F.array().cast("array<string>")
-
-    def hits(number: int, rule: Rule) -> Column:
-        wanted = _in_scope(rule.scope) & _triggered(rule)
-        if rule.skip_comments:
-            wanted = wanted & ~F.col("comment")
-        found = F.coalesce(F.when(wanted, rule.hits(context)), nothing)
-        return F.transform(
-            found, lambda text: F.struct(F.lit(number).alias("rule"), text.alias("excerpt"))
-        )
-
     # Outer for the same reason as above: the rules must not run twice.
     matched = lines.select(
         "repo",
@@ -235,25 +268,9 @@ def scan_lines(files: DataFrame, rules: Sequence[Rule]) -> DataFrame:
         "line_no",
         "line",
         "above",
-        F.posexplode_outer(F.concat(*[hits(n, r) for n, r in enumerate(rules)])).alias(
-            "seq_occurrence", "hit"
-        ),
+        F.posexplode_outer(_expressions_for(files, rules).hits).alias("seq_occurrence", "hit"),
     ).filter(F.col("hit").isNotNull())
-    catalogue = F.array(
-        *[
-            F.struct(
-                F.lit(r.rule_id).alias("rule_id"),
-                F.lit(r.category).alias("category"),
-                F.lit(r.severity).alias("severity"),
-                F.lit(r.title).alias("title"),
-                F.lit(r.remediation).alias("remediation"),
-                F.lit(r.check_order).alias("check_order"),
-                F.lit(r.has_line).alias("has_line"),
-            )
-            for r in rules
-        ]
-    )
-    described = matched.withColumn("rule", F.get(catalogue, F.col("hit.rule")))
+    described = matched.withColumn("rule", F.get(_expressions_for(files, rules).catalogue, F.col("hit.rule")))
     return described.select(
         "repo",
         F.col("rule.rule_id").alias("rule_id"),
