@@ -62,7 +62,9 @@ def base_name(path: Column) -> Column:
 
 def extension(path: Column) -> Column:
     """Lower-case extension with its dot; '' for none and for plain dotfiles."""
-    return F.lower(F.regexp_extract(base_name(path), r"^(?s:.+)(\.[^.]*)\z", 1))
+    name = base_name(path)
+    last = F.lower(F.concat(F.lit("."), F.substring_index(name, ".", -1)))
+    return F.when(F.locate(".", name, 2) > 0, last).otherwise("")
 
 
 def directories(path: Column) -> Column:

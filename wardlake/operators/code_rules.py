@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from wardlake.functions.text import DOT, LEFT, RIGHT, S, excerpt
-from wardlake.operators.exec_calls import EXEC_FACTS, dynamic_calls
+from wardlake.operators.exec_calls import EXEC_FACTS, MODULE, dynamic_calls
 from wardlake.operators.rules import Context, Rule, once, pattern_rule, repeated
 
 # Ids, titles and remediation texts of the reports.
@@ -134,9 +134,10 @@ def _insecure_http_hits(c: Context) -> Column:
 
 EVAL = _rule(_EVAL, _eval_hits, 20, triggers=("eval",))
 NEW_FUNCTION = _rule(_NEW_FUNCTION, _new_function_hits, 21, triggers=("Function",))
-EXEC = _rule(_EXEC, _exec_hits, 22, triggers=("exec",), facts=EXEC_FACTS)
-_TLS_NAMES = ("rejectUnauthorized", "NODE_TLS_REJECT_UNAUTHORIZED")
-TLS = _rule(_TLS, _tls_hits, 23, triggers=_TLS_NAMES)
+EXEC = _rule(_EXEC, _exec_hits, 22, triggers=("exec",), needs=MODULE, facts=EXEC_FACTS)
+# Both spellings, rejectUnauthorized and NODE_TLS_REJECT_UNAUTHORIZED, in one search.
+_TLS_NAMES = ("unauthorized",)
+TLS = _rule(_TLS, _tls_hits, 23, any_case_triggers=_TLS_NAMES)
 CORS = _rule(_CORS, _cors_hits, 24, triggers=("cors",))
 WEAK_RANDOM = _rule(_WEAK_RANDOM, _weak_random_hits, 25, triggers=("random",))
 INSECURE_HTTP = _rule(_INSECURE_HTTP, _insecure_http_hits, 26, triggers=("http://",))
@@ -144,7 +145,7 @@ INSECURE_HTTP = _rule(_INSECURE_HTTP, _insecure_http_hits, 26, triggers=("http:/
 CODE_RULES = [EVAL, NEW_FUNCTION, EXEC, TLS, CORS, WEAK_RANDOM, INSECURE_HTTP]
 
 
-def _fallback(meta: dict, pattern: str, triggers: tuple[str, ...], **options) -> Rule:
+def _fallback(meta: dict, pattern: str, triggers: tuple[str, ...] = (), **options) -> Rule:
     return pattern_rule(
         category="misconfig",
         pattern=pattern,
@@ -164,13 +165,12 @@ EXEC_FALLBACK = _fallback(_EXEC, rf"{LEFT}exec(?:Sync)?{S}*\({S}*[`'\"]{DOT}*\$\
 TLS_FALLBACK = _fallback(
     _TLS,
     rf"NODE_TLS_REJECT_UNAUTHORIZED{S}*[:=]{S}*['\"]?0|rejectUnauthorized{S}*:{S}*false",
-    _TLS_NAMES,
+    any_case_triggers=_TLS_NAMES,
 )
 CORS_FALLBACK = _fallback(_CORS, rf"cors{S}*\({S}*\{{[^}}]*origin{S}*:{S}*['\"]\*['\"]", ("cors",))
 WEAK_RANDOM_FALLBACK = _fallback(
     _WEAK_RANDOM,
     rf"(?i){LEFT}(?:{_SENSITIVE}){RIGHT}[^\n;]*Math\.random{S}*\(",
-    (),
     any_case_triggers=("math.random",),
 )
 

@@ -14,8 +14,13 @@ _START = rf"(?i)//{S}*scanner-ignore"
 _WITH_IDS = rf"(?i)//{S}*scanner-ignore(?::{S}*({DOT}+))?"
 
 
+def mentions_directive(lowered: Column) -> Column:
+    """Quick test on lower-case text; a directive is sure to pass it."""
+    return lowered.contains("scanner-ignore")
+
+
 def has_directive(text: Column) -> Column:
-    return F.lower(text).contains("scanner-ignore") & text.rlike(_START)
+    return mentions_directive(F.lower(text)) & text.rlike(_START)
 
 
 def directive_ids(line: Column) -> Column:
@@ -29,9 +34,8 @@ def covers(line: Column, rule_id: Column) -> Column:
     """Whether a directive on this line suppresses the rule; never null."""
     ids = directive_ids(line)
     hit = (F.size(ids) == 0) | F.array_contains(ids, rule_id)
-    return F.when(F.lower(line).contains("scanner-ignore"), F.coalesce(hit, F.lit(False))).otherwise(
-        F.lit(False)
-    )
+    mentioned = mentions_directive(F.lower(line))
+    return F.when(mentioned, F.coalesce(hit, F.lit(False))).otherwise(F.lit(False))
 
 
 def inline_directives(files: DataFrame) -> DataFrame:

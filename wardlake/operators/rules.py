@@ -15,7 +15,7 @@ from functools import lru_cache, reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardlake.functions.text import excerpt, is_comment_line, mask_code, redact, split_lines
+from wardlake.functions.text import bind, excerpt, is_comment_line, mask_code, redact, split_lines
 from wardlake.model import check_severity
 from wardlake.operators.directives import covers, has_directive
 from wardlake.sources.corpus import route
@@ -61,6 +61,7 @@ class Rule:
     triggers: tuple[str, ...] = ()  # one must occur; () means any line
     any_case_triggers: tuple[str, ...] = ()  # the same, lower case, ignoring case
     trigger_pattern: str | None = None
+    needs: str | None = None  # literal without which a whole file is left out
     skip_comments: bool = False
     has_line: bool = True
     check_order: int = 99
@@ -128,27 +129,62 @@ def _any_of(conditions: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)
 
 
-def _triggered(rule: Rule) -> Column:
-    line, lowered = F.col("line"), F.lower("line")
-    found = [line.contains(t) for t in rule.triggers]
-    found += [lowered.contains(t) for t in rule.any_case_triggers]
-    if rule.trigger_pattern:
-        found.append(line.rlike(rule.trigger_pattern))
-    if not rule.has_line:
-        return F.col("line_no") == 1
-    return _any_of(found) if found else F.lit(True)
+@dataclass(frozen=True)
+class _Needle:
+    """A literal whose presence in a file is known before the file is split."""
+
+    scope: str
+    text: str | None  # None: every file of the scope
+    any_case: bool = False
+
+
+def _tests(rule: Rule) -> list[tuple[_Needle, str | None]]:
+    """What has to be in the file, and with it on the line, for a rule to look at it."""
+    literals = [(t, False) for t in rule.triggers] + [(t, True) for t in rule.any_case_triggers]
+    if rule.trigger_pattern or not rule.has_line or not literals:
+        return [(_Needle(rule.scope, rule.needs), None)]
+    return [
+        (_Needle(rule.scope, rule.needs) if rule.needs else _Needle(rule.scope, t, any_case), t)
+        for t, any_case in literals
+    ]
+
+
+def _needles(rules: Sequence[Rule]) -> list[_Needle]:
+    return list(dict.fromkeys(needle for rule in rules for needle, _ in _tests(rule)))
+
+
+def _presence(needles: Sequence[_Needle]) -> Column:
+    """Array of booleans, one per needle. The text is put in lower case once for all."""
 
+    def tests(lowered: Column) -> Column:
+        found = []
+        for needle in needles:
+            test = _in_scope(needle.scope)
+            if needle.text is not None:
+                text = lowered if needle.any_case else F.col("content")
+                test = test & text.contains(needle.text)
+            found.append(test)
+        return F.array(*found)
 
-def _candidate(rules: Sequence[Rule]) -> Column:
-    """Lines that some rule has to look at, each distinct literal searched for once."""
-    by_scope: dict[str, list[Column]] = {}
-    seen: set[tuple] = set()
-    for rule in rules:
-        key = (rule.scope, rule.triggers, rule.any_case_triggers, rule.trigger_pattern, rule.has_line)
-        if key not in seen:
-            seen.add(key)
-            by_scope.setdefault(rule.scope, []).append(_triggered(rule))
-    return _any_of([_in_scope(scope) & _any_of(tests) for scope, tests in by_scope.items()])
+    if any(needle.any_case for needle in needles):
+        return bind(F.lower("content"), tests)
+    return tests(F.col("content"))
+
+
+def _triggered(rule: Rule, needles: Sequence[_Needle]) -> Column:
+    """Whether a line is worth a rule's look: only literals its file has are looked for."""
+    alternatives = []
+    for needle, text in _tests(rule):
+        test = F.get("present", F.lit(needles.index(needle)))
+        if not rule.has_line:
+            test = test & (F.col("line_no") == 1)
+        elif rule.trigger_pattern:
+            test = test & F.col("line").rlike(rule.trigger_pattern)
+        elif text is not None:
+            line = F.col("lowered") if text in rule.any_case_triggers else F.col("line")
+            test = test & line.contains(text)
+        alternatives.append(test)
+    return _any_of(alternatives)
 
 
 def _fact_column(fact: Fact) -> Column:
@@ -156,13 +192,15 @@ def _fact_column(fact: Fact) -> Column:
     wanted = _in_scope(fact.scope)
     if fact.needs:
         wanted = wanted & content.contains(fact.needs)
-    return F.when(wanted, fact.value(content, split_lines(content))).alias(f"fact_{fact.name}")
+    return F.when(wanted, fact.value(content, split_lines(content)))
 
 
 @dataclass(frozen=True)
 class _Expressions:
     facts: dict[str, Column]
-    candidate: Column
+    presence: Column
+    any_case: list[int]
+    candidate_line: Column
     hits: Column
     catalogue: Column
 
@@ -179,9 +217,10 @@ def _expressions(application: str, rules: tuple[Rule, ...]) -> _Expressions:
         fact=lambda name: F.col(f"fact_{name}"),
     )
     nothing = F.array().cast("array<string>")
+    needles = _needles(rules)
 
     def hits(number: int, rule: Rule) -> Column:
-        wanted = _in_scope(rule.scope) & _triggered(rule)
+        wanted = _triggered(rule, needles)
         if rule.skip_comments:
             wanted = wanted & ~F.col("comment")
         found = F.coalesce(F.when(wanted, rule.hits(context)), nothing)
@@ -203,7 +242,9 @@ def _expressions(application: str, rules: tuple[Rule, ...]) -> _Expressions:
     ]
     return _Expressions(
         facts={name: _fact_column(fact) for name, fact in facts.items()},
-        candidate=_candidate(rules),
+        presence=_presence(needles),
+        any_case=[i for i, needle in enumerate(needles) if needle.any_case],
+        candidate_line=_any_of([_triggered(rule, needles) for rule in rules]),
         hits=F.concat(*[hits(n, r) for n, r in enumerate(rules)]),
         catalogue=F.array(*catalogue),
     )
@@ -214,38 +255,51 @@ def _expressions_for(files: DataFrame, rules: Sequence[Rule]) -> _Expressions:
 
 
 def candidate_lines(files: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """Lines worth matching, with their predecessor where it can matter and file facts."""
+    """Lines worth matching, with their predecessor where it can matter and file facts.
+
+    A file is searched for the rules' literals as a whole; without any it is not split,
+    and its lines are searched only for those it has.
+    """
     flags = ("is_dockerfile", "is_code", "is_workflow")
     routed = files if set(flags) <= set(files.columns) else route(files)
-    content = F.col("content")
+    expressions = _expressions_for(files, rules)
+    content, present = F.col("content"), F.col("present")
     lines = split_lines(content)
+    none = F.array().cast("array<string>")
+    # Facts are columns of their own before the explode: next to a generator they would
+    # be worked out again for every line.
+    facts = {f"fact_{name}": column for name, column in expressions.facts.items()}
+    searched = routed.withColumns({"present": expressions.presence, **facts})
+    lowered = none
+    if expressions.any_case:
+        wanted = _any_of([F.get(present, F.lit(i)) for i in expressions.any_case])
+        lowered = F.when(wanted, split_lines(F.lower(content))).otherwise(none)
     # The line above is needed only for suppression directives, which few files have.
     above = F.when(
-        has_directive(content),
-        F.concat(F.array(F.lit("")), F.slice(lines, F.lit(1), F.size(lines) - 1)),
-    ).otherwise(F.array().cast("array<string>"))
-    expressions = _expressions_for(files, rules)
-    facts = expressions.facts
-    exploded = routed.select(
+        has_directive(content), F.concat(F.array(F.lit("")), F.slice(lines, F.lit(1), F.size(lines) - 1))
+    ).otherwise(none)
+    entries = F.when(F.array_contains(present, True), F.arrays_zip(lines, lowered, above))
+    exploded = searched.select(
         "repo",
         "path",
         *flags,
-        *facts.values(),
-        # A file always has a line. The outer form keeps the optimizer from adding a
-        # "not empty" filter, which would split every file a second time.
-        F.posexplode_outer(F.arrays_zip(lines.alias("line"), above.alias("above"))).alias(
-            "position", "entry"
-        ),
+        "present",
+        *facts,
+        # The outer form keeps the optimizer from adding a "not empty" filter, which
+        # would search and split every file twice.
+        F.posexplode_outer(entries).alias("position", "entry"),
     )
     return exploded.select(
         "repo",
         "path",
         *flags,
-        *[f"fact_{name}" for name in facts],
+        "present",
+        *facts,
         (F.col("position") + 1).alias("line_no"),
-        F.col("entry.line").alias("line"),
-        F.col("entry.above").alias("above"),
-    ).filter(expressions.candidate)
+        F.col("entry")["0"].alias("line"),
+        F.col("entry")["1"].alias("lowered"),
+        F.col("entry")["2"].alias("above"),
+    ).filter(expressions.candidate_line)
 
 
 def scan_lines(files: DataFrame, rules: Sequence[Rule]) -> DataFrame:

@@ -46,7 +46,7 @@ JWT_SECRET = _secret(
     "Hardcoded JWT secret",
     rf"(?i)jwt[_-]?secret['\"]?{S}*[:=]{S}*['\"]([^'\"]{{8,}})['\"]",
     1,
-    any_case_triggers=("jwtsecret", "jwt_secret", "jwt-secret"),
+    any_case_triggers=("jwt",),
 )
 BEARER_TOKEN = _secret(
     "bearer-token",
@@ -62,7 +62,7 @@ HARDCODED_PASSWORD = _secret(
     "Hardcoded password",
     rf"(?i)(?:password|passwd|pwd)['\"]?{S}*[:=]{S}*['\"]([^'\"]{{6,}})['\"]",
     1,
-    any_case_triggers=("password", "passwd", "pwd"),
+    any_case_triggers=("passw", "pwd"),
 )
 
 SECRET_RULES = [AWS_ACCESS_KEY, PRIVATE_KEY, API_KEY, JWT_SECRET, BEARER_TOKEN, HARDCODED_PASSWORD]

@@ -126,7 +126,8 @@ def is_workflow(path: Column) -> Column:
 
 
 def is_code(path: Column) -> Column:
-    return path.rlike(r"\.(?:js|jsx|ts|tsx|mjs|cjs)\z") & ~is_dockerfile(path)
+    last = F.substring_index(path, ".", -1)
+    return path.contains(".") & last.isin("js", "jsx", "ts", "tsx", "mjs", "cjs") & ~is_dockerfile(path)
 
 
 def is_scannable(path: Column) -> Column:
