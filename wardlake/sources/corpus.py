@@ -55,7 +55,8 @@ def read_tree(spark: SparkSession, root: str, repo: str | None = None) -> DataFr
     )
     prefix = file_system.makeQualified(folder).toUri().getPath().rstrip("/")
     relative = F.regexp_replace("path", rf"^.*?{re.escape(prefix)}/", "")
-    text = F.decode("content", "UTF-8").alias("content")
+    # Bytes that are no UTF-8 become replacement characters; ``decode`` would fail.
+    text = F.make_valid_utf8(F.col("content").cast("string")).alias("content")
     if repo is not None:
         return rows.select(
             F.lit(repo).alias("repo"), relative.alias("path"), F.col("length").alias("size"), text
