@@ -180,22 +180,8 @@ def advisory_matches(dependencies: DataFrame, advisories: DataFrame, salts: int
     severity = advisory_severity(F.col("db_severity"), F.col("severity"))
     details = known.select("id", "name", "summary", severity.alias("severity"))
     matches = exact.unionByName(ranged).distinct().join(details, ["id", "name"])
-    per_version = matches.groupBy("name", "version").agg(
-        F.collect_list(F.struct("id", "summary", "severity")).alias("found")
-    )
-    return (
-        salted_join(dependencies, per_version, ["name", "version"], "inner", [F.col("repo")], salts)
-        .withColumn("advisory", F.explode("found"))
-        .select(
-            "repo",
-            "name",
-            "version",
-            "origin",
-            F.col("advisory.id").alias("id"),
-            F.col("advisory.summary").alias("summary"),
-            F.col("advisory.severity").alias("severity"),
-        )
-    )
+    joined = salted_join(dependencies, matches, ["name", "version"], "inner", [F.col("repo")], salts)
+    return joined.select("repo", "name", "version", "origin", "id", "summary", "severity")
 
 
 def _unreadable(introduced: Column, fixed: Column) -> Column:

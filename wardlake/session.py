@@ -58,7 +58,7 @@ def salted_join(
     spread: list[Column],
     salts: int = 16,
 ) -> DataFrame:
-    """Join a large, possibly skewed side with a small one that has unique keys.
+    """Join a large, possibly skewed side with a much smaller one.
 
     A hot key's left rows go to ``salts`` tasks instead of one; each right row is
     repeated ``salts`` times. Whether the right side is broadcast instead is left to
