@@ -10,8 +10,8 @@ import __spark_entry__ as contract
 SF_DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF_DIR).is_dir(), reason="no test data")
 
-QUERIES = contract.queries()
-ORACLE = contract.oracle_sql()
+QUERIES = contract.QUERIES
+ORACLE = contract.ORACLE_SQL
 
 
 @pytest.fixture(scope="module")
