@@ -6,13 +6,25 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wardlake.llm import byte_bpe, chat
-from wardlake.llm.common import table
+from wardlake.llm import byte_bpe, chat, toxicity
+from wardlake.llm.common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def verdicts(scored: DataFrame, parts: int, remainder: int) -> DataFrame:
+    predicted = (F.col("score") >= 0.7).cast("int")
+    return scored.select("doc_id", held_out("doc_id", parts, remainder).alias("held_out"), "score", predicted.alias("predicted"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels, ~held_out("doc_id", 3, 1))
+    return verdicts(toxicity.score(docs, model), 3, 1)
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return byte_bpe.digests(byte_bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), ranks)
@@ -28,6 +40,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op3_toxicity": op3_toxicity,
     "op8_byte_bpe": op8_byte_bpe,
     "op10_chat_formatting": op10_chat_formatting,
 }
