@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlake.llm import byte_bpe, chat, quality, toxicity
+from wardlake.llm import byte_bpe, chat, packing, quality, repeated_units, toxicity
 from wardlake.llm.common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,14 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts(toxicity.score(docs, model), 3, 1)
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.best_fit(table(spark, sf_dir, "documents"))
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_units.without_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return byte_bpe.digests(byte_bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), ranks)
@@ -45,7 +53,9 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_best_fit_packing": op1_best_fit_packing,
     "op3_toxicity": op3_toxicity,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_quality": op9_quality,
     "op10_chat_formatting": op10_chat_formatting,
