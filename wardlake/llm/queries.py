@@ -8,12 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlake.llm import byte_bpe, chat, packing, quality, repeated_units, toxicity
+from wardlake.llm import byte_bpe, chat, edit_embedding, packing, quality, repeated_units, toxicity
 from wardlake.llm.common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_embedding.with_next(table(spark, sf_dir, "documents"))
+
+
 def verdicts(scored: DataFrame, parts: int, remainder: int) -> DataFrame:
     predicted = (F.col("score") >= 0.7).cast("int")
     return scored.select("doc_id", held_out("doc_id", parts, remainder).alias("held_out"), "score", predicted.alias("predicted"))
@@ -54,6 +58,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_edit_embedding": op2_edit_embedding,
     "op3_toxicity": op3_toxicity,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_byte_bpe": op8_byte_bpe,
