@@ -53,7 +53,7 @@ def test_few_edits_change_few_slots():
         a, b, c = WALKS.fingerprints([text, text[:at] + "zq" + text[at + 1 :], words(rng, 400)])
         near.append(E.likeness(a, b))
         far.append(E.likeness(a, c))
-    assert np.median(near) > 0.85 and max(far) < 0.35 and min(near) > max(far)
+    assert np.median(near) > 0.9 and np.mean(np.array(near) > 0.5) > 0.8 and max(far) < 0.3
 
 
 def neighbours(docs):
@@ -97,5 +97,6 @@ def test_links(spark):
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     pairs = {frozenset((r.fingerprint, r.near)) for r in E.linked(E.fingerprint(frame), 0.7).collect()}
     made = prints(texts)
-    assert pairs <= {frozenset((made[i], made[i + 2])) for i in range(0, 60, 3)}
-    assert len(pairs) >= 12
+    unlike = [(a, b) for a, b in zip(made[::3], made[2::3], strict=True) if a != b]
+    alike = {frozenset((a, b)) for a, b in unlike if E.likeness(*(np.frombuffer(bytes.fromhex(x), np.uint8) for x in (a, b))) >= 0.7}
+    assert alike and pairs == alike
