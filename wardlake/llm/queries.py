@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlake.llm import byte_bpe, chat, edit_embedding, packing, quality, repeated_units, toxicity
+from wardlake.llm import byte_bpe, chat, edit_embedding, packing, quality, repeated_units, toxicity, vector_graph
 from wardlake.llm.common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(table(spark, sf_dir, "documents"))
 
 
+def op5_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_graph.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_units.without_repeats(table(spark, sf_dir, "documents"))
 
@@ -60,6 +64,7 @@ QUERIES: dict[str, Query] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_edit_embedding": op2_edit_embedding,
     "op3_toxicity": op3_toxicity,
+    "op5_vector_graph": op5_vector_graph,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_quality": op9_quality,
