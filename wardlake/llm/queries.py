@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlake.llm import byte_bpe, chat, edit_embedding, packing, quality, repeated_units, toxicity, vector_graph
+from wardlake.llm import byte_bpe, chat, edit_embedding, jaccard_join, packing, quality, repeated_units, toxicity, vector_graph
 from wardlake.llm.common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,10 @@ def op5_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_graph.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_units.without_repeats(table(spark, sf_dir, "documents"))
 
@@ -65,6 +69,7 @@ QUERIES: dict[str, Query] = {
     "op2_edit_embedding": op2_edit_embedding,
     "op3_toxicity": op3_toxicity,
     "op5_vector_graph": op5_vector_graph,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_quality": op9_quality,
