@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlake.llm import byte_bpe, chat, edit_embedding, jaccard_join, packing, quality, repeated_units, toxicity, vector_graph
+from wardlake.llm import byte_bpe, chat, edit_embedding, jaccard_join, packing, ppm, quality, repeated_units, toxicity, vector_graph
 from wardlake.llm.common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(table(spark, sf_dir, "documents"))
 
 
+def op4_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score(table(spark, sf_dir, "documents"), held_out("doc_id", 7, 2))
+
+
 def op5_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_graph.nearest(table(spark, sf_dir, "embeddings"))
 
@@ -68,6 +72,7 @@ QUERIES: dict[str, Query] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_edit_embedding": op2_edit_embedding,
     "op3_toxicity": op3_toxicity,
+    "op4_ppm": op4_ppm,
     "op5_vector_graph": op5_vector_graph,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_substring_dedup": op7_substring_dedup,
