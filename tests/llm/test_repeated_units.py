@@ -38,7 +38,8 @@ def plain(docs, least=repeated_units.LEAST_WORDS):
 
 
 def run(spark, rows, **options):
-    frame = spark.createDataFrame([(i, t, "clash") for i, t in rows], "doc_id long, text string, start string")
+    kind = "doc_id long, text string, start string, spans string"
+    frame = spark.createDataFrame([(i, t, "clash", "clash") for i, t in rows], kind)
     return repeated_units.without_repeats(frame, **options).collect()
 
 

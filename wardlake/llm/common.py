@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,3 +49,18 @@ def blocks(batch: pa.RecordBatch, column: str, limit: int = BLOCK_CHARS) -> Iter
             start, held = i, 0
         held += int(size)
     yield batch.slice(start)
+
+
+def keep_rows(docs: DataFrame, scorer: Callable[[], Callable[[list[str]], np.ndarray]], keep, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose score meets ``keep``; null text is scored as empty.
+
+    ``scorer`` makes, in a task, the function from texts to scores.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = scorer()
+        for batch in batches:
+            for part in blocks(batch, text_col):
+                yield part.filter(pa.array(keep(score([t or "" for t in part.column(text_col).to_pylist()]))))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from wardlake.llm.common import blocks, id_and_text
+from wardlake.llm.common import blocks, id_and_text, keep_rows
 from wardlake.llm.convolution import CHUNK, Network, chunks_of
 from wardlake.llm.labelled import labelled_sample
 
@@ -61,3 +61,10 @@ def score(docs: DataFrame, network: Network | float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
     return id_and_text(docs).mapInArrow(run, "doc_id long, score double")
+
+
+def with_quality(docs: DataFrame, network: Network | float, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows, with all columns, that score ``threshold`` or more; all of them where nothing could be learned."""
+    if isinstance(network, float):
+        return docs
+    return keep_rows(docs, lambda: lambda texts: network.scores([t.encode("utf-8", "replace") for t in texts]), lambda scores: scores >= threshold, text_col)

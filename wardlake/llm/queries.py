@@ -46,7 +46,8 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_units.without_repeats(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return repeated_units.without_repeats(docs)
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

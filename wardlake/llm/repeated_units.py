@@ -90,8 +90,8 @@ def cut(text: str, spans: list[tuple[int, int]]) -> tuple[str, list[tuple[int, i
     return "".join([*kept, text[at:]]), widened
 
 
-def without_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``text`` as left over, and ``removed``: the spans of the original text that are gone."""
+def _spans(docs: DataFrame, least_words: int, id_col: str, text_col: str) -> DataFrame:
+    """``_gone_id``, ``_gone_hash`` (of the text) and ``_gone_spans``: what each document loses."""
     texts = id_and_text(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,20 +123,31 @@ def without_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, id_col: str
     repeated = first.where(F.col("first") != F.col("last")).select("high", "low", "first")
     gone = found.join(repeated, ["high", "low"]).where(~place.eqNullSafe(F.col("first")))
     spans = gone.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    spans = spans.withColumnRenamed("doc_id", "gone_id").withColumnRenamed("text_hash", "gone_hash")
-    same = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("text_hash") == F.col("gone_hash"))
-    joined = texts.join(spans, same, "left").select("doc_id", "text", "spans")
+    return spans.select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_hash"), F.col("spans").alias("_gone_spans"))
+
+
+def without_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with all columns, the text as left over (null: empty), and one column more.
+
+    ``removed`` (``removed_spans`` where the name is taken) has the spans of the original text that are gone.
+    """
+    spans = _spans(docs, least_words, id_col, text_col)
+    named = "removed" if "removed" not in docs.columns else "removed_spans"
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("_gone_id")) & (F.xxhash64(text) == F.col("_gone_hash"))
+    joined = docs.join(spans, same, "left").select(*[text.alias(c) if c == text_col else docs[c] for c in docs.columns], F.col("_gone_spans").alias(named))
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
-            for part in blocks(batch, "text"):
+            for part in blocks(batch, text_col):
                 texts_left, removed = [], []
-                for text, own in zip(part.column("text").to_pylist(), part.column("spans").to_pylist(), strict=True):
-                    left, gone_spans = cut(text, [(s["start"], s["end"]) for s in own or ()])
+                for own, gone in zip(part.column(text_col).to_pylist(), part.column(named).to_pylist(), strict=True):
+                    left, gone_spans = cut(own, [(s["start"], s["end"]) for s in gone or ()])
                     texts_left.append(left)
                     removed.append([{"start": a, "end": b} for a, b in gone_spans])
-                columns = [part.column("doc_id"), pa.array(texts_left, pa.string()), pa.array(removed, kind)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text", "removed"])
+                new = {text_col: pa.array(texts_left, pa.string()), named: pa.array(removed, kind)}
+                names = part.schema.names
+                yield pa.RecordBatch.from_arrays([new.get(c, part.column(c)) for c in names], names)
 
-    return joined.mapInArrow(apply, "doc_id long, text string, removed array<struct<start: int, end: int>>")
+    return joined.mapInArrow(apply, joined.schema)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardlake.llm.boosting import Calibrated
-from wardlake.llm.common import blocks, id_and_text
+from wardlake.llm.common import blocks, id_and_text, keep_rows
 from wardlake.llm.labelled import labelled_sample
 from wardlake.session import written
 
@@ -200,3 +200,14 @@ def score(docs: DataFrame, model: tuple[dict[bytes, float], Calibrated]) -> Data
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
     return id_and_text(docs).mapInArrow(run, "doc_id long, score double")
+
+
+def without_toxic(docs: DataFrame, model: tuple[dict[bytes, float], Calibrated], threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The rows, with all columns, that score below ``threshold``."""
+    lexicon, trees = model
+
+    def scorer():
+        made = Features(lexicon)
+        return lambda texts: trees.scores(made(texts))
+
+    return keep_rows(docs, scorer, lambda scores: scores < threshold, text_col)
