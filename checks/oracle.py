@@ -74,7 +74,7 @@ SELECT p_partkey AS key, p_partkey // {P.PARTS_PER_REPO} AS g, p_size,
   (1 + p_size % 5) || '.' || (p_partkey % 20) || '.' || (p_partkey % 7) AS version
 FROM part"""
 _spec = " ".join(
-    f"WHEN {i} THEN {q(s)}" if "{v}" not in s else f"WHEN {i} THEN {q(s.replace('{v}', ''))} || version"
+    f"WHEN {i} THEN {q(s)}" if "{v}" not in s else f"WHEN {i} THEN {q(s.split('{v}')[0])} || version || {q(s.split('{v}')[1])}"
     for i, s in enumerate(P.SPECIFIERS)
 )
 CTES["package_texts"] = f"""
@@ -82,11 +82,11 @@ SELECT key, g,
   CASE key % 5
     WHEN 0 THEN '"node_modules/' || name || '":{{"version":"' || version || '"}}'
     WHEN 1 THEN '"node_modules/' || name || '":{{"version":"' || version || '"}},"node_modules/host/node_modules/' || name || '":{{"version":"' || version || '"}}'
-    WHEN 2 THEN '"node_modules/' || name || '":{{"version":"' || version || '"}}'
-    WHEN 3 THEN '"node_modules/' || name || '":{{"link":true}}'
+    WHEN 2 THEN '"node_modules/' || name || '":{{"version":"0.0.' || (key % 7) || '"}},"node_modules/' || name || '":{{"version":"' || version || '"}}'
+    WHEN 3 THEN '"node_modules/' || name || '":' || CASE key % 15 WHEN 3 THEN '"odd"' WHEN 8 THEN 'null' ELSE '{{"link":true}}' END
     ELSE '"packages/' || name || '":{{"version":"' || version || '"}},"node_modules/a/node_modules/' || name || '":{{"version":"9.0.' || (key % 7) || '"}}'
   END AS lock_text,
-  CASE WHEN key % 2 = 0 THEN '"' || name || '":"' || CASE key % 11 {_spec} END || '"' END AS dep_text,
+  CASE WHEN key % 2 = 0 THEN CASE WHEN key % 8 = 0 THEN '"' || name || '":"^0.0.1",' ELSE '' END || '"' || name || '":"' || CASE key % 11 {_spec} END || '"' END AS dep_text,
   CASE WHEN key % 3 = 0 THEN '"' || name || '":"~8.' || (key % 20) || '"' END AS dev_text
 FROM packages"""
 CTES["dependency_docs"] = """
@@ -194,8 +194,8 @@ def not_below(dirs) -> str:
 
 
 DEFAULT_SKIPPED = (*ALWAYS_SKIPPED, *NON_PRODUCTION)
-SCANNED = f"{SCANNABLE} AND {not_below(DEFAULT_SKIPPED)} AND size <= {MAX_FILE_BYTES}"
-SCANNED_WITH_TESTS = f"{SCANNABLE} AND {not_below(ALWAYS_SKIPPED)} AND size <= {MAX_FILE_BYTES}"
+SCANNED = f"{SCANNABLE} AND {not_below(DEFAULT_SKIPPED)}"
+SCANNED_WITH_TESTS = f"{SCANNABLE} AND {not_below(ALWAYS_SKIPPED)}"
 
 MASK = (
     r'"(?:[^"\\]|\\.)*"'
@@ -482,18 +482,20 @@ FROM (SELECT repo, string_split_regex(t, {q(W + "+")}) AS tokens, row_number() O
 def dependency_ctes(suffix: str, source: str) -> None:
     CTES[f"locked{suffix}"] = rf"""
 SELECT DISTINCT repo, name, version FROM (
-  SELECT repo, regexp_extract(e.key, '(?:^|/)node_modules/((?:@[^/]+/)?[^/]+)$', 1) AS name, json_extract_string(e.value, '$.version') AS version
-  FROM (SELECT repo, unnest(map_entries(CAST(json_extract(content, '$.packages') AS MAP(VARCHAR, JSON)))) AS e
-    FROM (SELECT repo, CASE WHEN json_valid(content) THEN content ELSE '{{}}' END AS content FROM {source} WHERE path = 'package-lock.json')))
+  SELECT repo, regexp_extract(key, '(?:^|/)node_modules/((?:@[^/]+/)?[^/]+)$', 1) AS name, json_extract_string(max_by(value, rowid), '$.version') AS version
+  FROM (SELECT t.repo, e.key, e.value, e.rowid
+    FROM (SELECT repo, CASE WHEN json_valid(content) THEN content ELSE '{{}}' END AS content FROM {source} WHERE path = 'package-lock.json') t,
+      LATERAL json_each(t.content, '$.packages') e)
+  GROUP BY repo, key)
 WHERE name <> '' AND version <> ''"""
-    part = "coalesce(map_entries(CAST(json_extract(content, '$.{}') AS MAP(VARCHAR, VARCHAR))), [])"
-    both = f"list_concat({part.format('dependencies')}, {part.format('devDependencies')})"
     CTES[f"declared{suffix}"] = rf"""
 SELECT repo, name, min(place) AS place, max_by(specifier, place) AS specifier,
   {trim(f"regexp_replace(max_by(specifier, place), {q('^[~>=<^' + W[1:-1] + ']+')}, '')")} AS version
-FROM (SELECT repo, e.key AS name, e.value AS specifier, place FROM (
-  SELECT repo, unnest(es) AS e, generate_subscripts(es, 1) AS place FROM (SELECT repo, {both} AS es
-    FROM (SELECT repo, CASE WHEN json_valid(content) THEN content ELSE '{{}}' END AS content FROM {source} WHERE path = 'package.json'))))
+FROM (SELECT repo, key AS name, specifier, row_number() OVER (PARTITION BY repo ORDER BY part, rowid) AS place FROM (
+  SELECT t.repo, p.part, e.key, json_extract_string(e.value, '$') AS specifier, e.rowid
+    FROM (SELECT repo, CASE WHEN json_valid(content) THEN content ELSE '{{}}' END AS content FROM {source} WHERE path = 'package.json') t,
+      (VALUES (0, 'dependencies'), (1, 'devDependencies')) p(part, name),
+      LATERAL json_each(t.content, '$.' || p.name) e))
 GROUP BY repo, name"""
     CTES[f"resolved{suffix}"] = f"""
 SELECT repo, name, version, 'lock' AS origin FROM locked{suffix}
@@ -501,9 +503,11 @@ UNION ALL SELECT repo, name, version, 'manifest' FROM declared{suffix} d
 WHERE {CONCRETE} AND NOT EXISTS (SELECT 1 FROM locked{suffix} l WHERE l.repo = d.repo)"""
     CTES[f"matches{suffix}"] = f"""
 SELECT d.repo, d.name, d.version, d.origin, a.id, a.summary, a.severity FROM resolved{suffix} d JOIN rated_advisories a ON a.name = d.name
-WHERE CASE a.s % 3 WHEN 0 THEN d.version = a.version
-  WHEN 1 THEN {version_key("d.version")} < [2 + a.p_size % 5, 0, 0, 1]
-  ELSE {version_key("d.version")} >= [1, 0, 0, 1] OR ({version_key("d.version")} >= [0, 0, 1, 1] AND {version_key("d.version")} < [0, 9, 0, 0]) END"""
+WHERE a.s % 7 = 3 AND d.version = a.version OR CASE a.s % 6 WHEN 0 THEN d.version = a.version WHEN 3 THEN d.version = a.version
+  WHEN 1 THEN {version_key("d.version")} < {version_key("((2 + a.p_size % 5) || '.0.0')")}
+  WHEN 4 THEN {version_key("d.version")} <= {version_key("a.version")}
+  WHEN 5 THEN {version_key("d.version")} >= {version_key("(a.version || '-rc.2')")} AND {version_key("d.version")} < {version_key("(a.version || '-rc.10')")}
+  ELSE {version_key("d.version")} >= {version_key("'1.0.0'")} OR ({version_key("d.version")} >= {version_key("'0.0.1'")} AND {version_key("d.version")} < {version_key("'0.9.0-rc.1'")}) END"""
     CTES[f"dependency_found{suffix}"] = f"""
 SELECT repo, 'dependency.' || id AS rule_id, 'dependency' AS category, severity, name || '@' || version || ': ' || id AS title,
   'package.json' AS path, CAST(NULL AS INTEGER) AS line, coalesce(substr(summary, 1, 160), id) AS excerpt,
@@ -520,10 +524,12 @@ def version_key(v: str) -> str:
     def part(n: int) -> str:
         return f"CAST(coalesce(nullif(regexp_extract({v}, {q(pattern)}, {n}), ''), '0') AS BIGINT)"
 
-    released = f"CASE WHEN regexp_extract({v}, {q(pattern)}, 4) = '' THEN 1 ELSE 0 END"
-    return (
-        f"CASE WHEN regexp_matches({v}, {q(pattern)}) THEN [{part(1)}, {part(2)}, {part(3)}, {released}] END"
-    )
+    suffix = f"regexp_extract({v}, {q(pattern)}, 4)"
+    released = f"CASE WHEN {suffix} = '' THEN 1 ELSE 0 END"
+    digits = "CASE WHEN ltrim(w, '0') = '' THEN '0' ELSE ltrim(w, '0') END"
+    word = f"CASE WHEN regexp_full_match(w, '[0-9]+') THEN {{'w': 0, 'n': length({digits}), 't': {digits}}} ELSE {{'w': 1, 'n': 0, 't': w}} END"
+    words = f"list_transform(list_filter(string_split(substr({suffix}, 2), '.'), lambda w: w <> ''), lambda w: {word})"
+    return f"CASE WHEN regexp_matches({v}, {q(pattern)}) THEN {{'c': [{part(1)}, {part(2)}, {part(3)}, {released}], 'p': {words}}} END"
 
 
 dependency_ctes("", "corpus")
@@ -716,6 +722,10 @@ FINAL: dict[str, str] = {
     "lock_dependencies": "SELECT repo, name, version, 'lock' AS origin FROM locked",
     "manifest_dependencies": f"SELECT repo, name, version, 'manifest' AS origin FROM declared WHERE {CONCRETE}",
     "manifest_parse_errors": "SELECT repo, path, strlen(content) AS size FROM corpus WHERE path = 'package.json' AND NOT json_valid(content)",
+    "skipped_specifier_rows": f"SELECT repo, name, coalesce(specifier, '') AS specifier FROM ({_skipped})",
+    "stream_findings": f"SELECT {PUBLIC}, {inline('_c')} AS in_source FROM line_found f WHERE starts_with(repo, 'repo_')",
+    "advisory_records": "SELECT repo, name, version, origin, id FROM matches",
+    "oversized_files": f"SELECT repo, path, size FROM routed WHERE {SCANNABLE} AND size > {MAX_FILE_BYTES}",
     "skipped_specifiers": f"SELECT repo, count(*) AS skipped, string_agg(name || '@' || coalesce(specifier, ''), ', ' ORDER BY r) FILTER (r <= 5) AS first FROM ({_skipped}) GROUP BY repo",
     "resolved_dependencies": "SELECT * FROM resolved",
     "cvss_base_score": "SELECT key AS p_partkey, vector, base_score FROM part_scores",

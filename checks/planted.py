@@ -182,7 +182,7 @@ BIG_KIND, BIG_REPEAT = 25, 125_001
 IGNORE_LINES = ("# planted", "", "src/f0.js", "lib misconfig.eval", "17/  misconfig.dockerfile-env-secret x")
 IGNORE_GLOBAL = "* misconfig.insecure-http"
 
-SPECIFIERS = ("^{v}", "~{v}", ">={v}", "= {v}", "{v}", "*", "workspace:*", "file:../x", "git+https://h/x.git", "1 || 2", ">1 <2")
+SPECIFIERS = ("^{v}", "~{v}", ">={v}", "= {v}", "{v}-rc.9", "*", "workspace:*", "file:../x", "git+https://h/x.git", "1 || 2", ">1 <2")
 DB_SEVERITIES = ("CRITICAL", "high", "Moderate", "MEDIUM", "LOW", None, "odd")
 PARTS_PER_REPO = 40
 NAME_CYCLE = 997
@@ -319,8 +319,11 @@ def dependency_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         {
             0: entry("node_modules/{n}", v),
             1: F.concat_ws(",", entry("node_modules/{n}", v), entry("node_modules/host/node_modules/{n}", v)),
-            2: entry("node_modules/{n}", v),
-            3: entry("node_modules/{n}", '{"link":true}'),
+            # of equal keys the last counts
+            2: F.concat_ws(",", entry("node_modules/{n}", '{"version":"0.0.{p}"}'), entry("node_modules/{n}", v)),
+            3: F.when(key % 15 == 3, entry("node_modules/{n}", '"odd"'))
+            .when(key % 15 == 8, entry("node_modules/{n}", "null"))
+            .otherwise(entry("node_modules/{n}", '{"link":true}')),
             4: F.concat_ws(
                 ",",
                 entry("packages/{n}", v),
@@ -331,6 +334,7 @@ def dependency_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     specifier = _choose(key % 11, {i: _pieces(s) for i, s in enumerate(SPECIFIERS)})
     quoted = F.concat(F.lit('"'), name, F.lit('":"'))
     declared = F.when(key % 2 == 0, F.concat(quoted, specifier, F.lit('"')))
+    declared = F.when(key % 8 == 0, F.concat(quoted, F.lit('^0.0.1",'), declared)).otherwise(declared)
     for_tests = F.when(key % 3 == 0, F.concat(quoted, F.lit("~8."), (key % 20).cast("string"), F.lit('"')))
 
     def joined(text: Column) -> Column:
@@ -423,8 +427,8 @@ def build_advisories(spark: SparkSession, sf_dir: str) -> DataFrame:
     def entry(kind: str, score: Column) -> Column:
         return F.struct(F.lit(kind).alias("type"), score.alias("score"))
 
-    def bounds(introduced: Column, fixed: Column) -> Column:
-        return F.struct(introduced.alias("introduced"), fixed.alias("fixed"))
+    def bounds(introduced: Column, fixed: Column, last: Column = none) -> Column:
+        return F.struct(introduced.alias("introduced"), fixed.alias("fixed"), last.alias("last_affected"))
 
     vector = cvss_vector(F.col("p_partkey"))
     severity = (
@@ -436,12 +440,16 @@ def build_advisories(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     next_major = F.concat((2 + F.col("p_size") % 5).cast("string"), F.lit(".0.0"))
     ranges = (
-        F.when(s % 3 == 1, F.array(bounds(none, next_major)))
-        .when(s % 3 == 2, F.array(bounds(F.lit("1.0.0"), none), bounds(F.lit("0.0.1"), F.lit("0.9.0-rc.1"))))
-        .otherwise(F.array().cast("array<struct<introduced:string,fixed:string>>"))
+        F.when(s % 6 == 1, F.array(bounds(none, next_major)))
+        .when(s % 6 == 4, F.array(bounds(none, none, F.col("version"))))
+        .when(s % 6 == 2, F.array(bounds(F.lit("1.0.0"), none), bounds(F.lit("0.0.1"), F.lit("0.9.0-rc.1"))))
+        .when(s % 6 == 5, F.array(bounds(F.concat("version", F.lit("-rc.2")), F.concat("version", F.lit("-rc.10")))))
+        .otherwise(F.array().cast("array<struct<introduced:string,fixed:string,last_affected:string>>"))
     )
     labels = {i: F.lit(x) for i, x in enumerate(DB_SEVERITIES) if x}
-    return rows.select(
+    made = rows.select(
+        s.alias("s"),
+        F.col("version").alias("own_version"),
         F.concat(F.lit("ADV-"), s.cast("string")).alias("id"),
         F.lit("npm").alias("ecosystem"),
         "name",
@@ -451,6 +459,9 @@ def build_advisories(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(s % 3 == 0, F.array("version")).otherwise(F.array().cast("array<string>")).alias("versions"),
         ranges.alias("ranges"),
     )
+    # some advisories name their package a second time, with one version
+    again = made.filter(F.col("s") % 7 == 3).withColumn("versions", F.array("own_version"))
+    return made.unionByName(again).drop("s", "own_version")
 
 
 def _edited(rows: DataFrame, when: Column, addition: str) -> DataFrame:
@@ -486,6 +497,63 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(spark, sf_dir, "texts", build_texts)
 
 
+def advisory_records(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with the advisories as JSON lines: one record each, its events in a mixed order."""
+
+    def events(r: Column) -> Column:
+        def event(**given: Column) -> Column:
+            names = ("introduced", "fixed", "last_affected")
+            return F.struct(*[given.get(n, F.lit(None).cast("string")).alias(n) for n in names])
+
+        ends = F.array(event(fixed=r["fixed"]), event(last_affected=r["last_affected"]))
+        ends = F.filter(ends, lambda e: e["fixed"].isNotNull() | e["last_affected"].isNotNull())
+        return F.struct(
+            F.lit("SEMVER").alias("type"),
+            F.concat(ends, F.array(event(introduced=F.coalesce(r["introduced"], F.lit("0"))))).alias("events"),
+        )
+
+    def build() -> str:
+        package = F.struct(
+            F.struct("ecosystem", "name").alias("package"), "versions", F.transform("ranges", events).alias("ranges")
+        )
+        records = advisories(spark, sf_dir).groupBy("id").agg(
+            F.first("summary").alias("summary"),
+            F.first("severity").alias("severity"),
+            F.struct(F.first("db_severity").alias("severity")).alias("database_specific"),
+            F.collect_list(package).alias("affected"),
+        )
+        target = f"{shared_folder(spark)}/records-{uuid.uuid4().hex}"
+        records.write.json(target)
+        return target
+
+    return _folder(spark, sf_dir, "advisory-records", build)
+
+
+def arrivals(spark: SparkSession, sf_dir: str) -> str:
+    """A folder to which planted files came: all of them once, every third again, a year late."""
+
+    def build() -> str:
+        target = f"{shared_folder(spark)}/arrivals-{uuid.uuid4().hex}"
+        files = planted(spark, sf_dir)
+        columns = ["repo", "path", "size", "content"]
+        files.select(*columns, F.lit("2026-01-01 00:00:00").cast("timestamp").alias("arrived_at")).write.parquet(target)
+        late = files.filter(F.col("doc_id") % 3 == 0).select(*columns, F.lit("2025-01-01 00:00:00").cast("timestamp").alias("arrived_at"))
+        late.write.mode("append").parquet(target)
+        return target
+
+    return _folder(spark, sf_dir, "arrivals", build)
+
+
+_folders: dict[tuple[str, str, str], str] = {}
+
+
+def _folder(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], str]) -> str:
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _folders:
+        _folders[key] = build()
+    return _folders[key]
+
+
 def tracked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(spark, sf_dir, "tracked", build_tracked)
 

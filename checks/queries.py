@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import replace
 
@@ -18,9 +19,11 @@ from wardlake.operators import workflows
 from wardlake.operators.directives import inline_directives
 from wardlake.operators.rules import Rule, pattern_rule, scan_lines
 from wardlake.plans import report
-from wardlake.plans.scan import ScanOptions, ScanResult, scan
-from wardlake.session import written
+from wardlake.plans.scan import ScanOptions, ScanResult, diff_scan, scan
+from wardlake.session import shared_folder, written
 from wardlake.sources import corpus as C
+from wardlake.sources.advisories import read_advisories
+from wardlake.streaming.incremental import read_arrivals, scan_stream, store_findings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -131,7 +134,11 @@ def cvss_scores(spark, sf_dir):
 
 def advisory_severities(spark, sf_dir):
     rows = P.advisories(spark, sf_dir)
-    return rows.select("id", advisory_severity(F.col("db_severity"), F.col("severity")).alias("severity"))
+    return rows.select("id", advisory_severity(F.col("db_severity"), F.col("severity")).alias("severity")).distinct()
+
+
+def oversized_files(spark, sf_dir):
+    return C.oversized(all_files(spark, sf_dir))
 
 
 def _matches(spark, sf_dir):
@@ -198,9 +205,22 @@ def changed_files(spark, sf_dir):
 
 def changed_files_scan(spark, sf_dir):
     base, head = P.snapshots(spark, sf_dir)
-    changed = written(changes.changed_files(base, head), "changed")
-    result = scan(head, P.advisories(spark, sf_dir), P.tracked(spark, sf_dir), changed=changed)
-    return public(result.findings)
+    return public(diff_scan(base, head, P.advisories(spark, sf_dir), P.tracked(spark, sf_dir)).findings)
+
+
+def advisory_records(spark, sf_dir):
+    """Matches of advisories that are read from records in the published JSON format."""
+    known = read_advisories(spark, P.advisory_records(spark, sf_dir), multi_line=False)
+    matches = dependencies.advisory_matches(dependencies.resolved_dependencies(P.corpus(spark, sf_dir)), known)
+    return matches.select("repo", "name", "version", "origin", "id")
+
+
+def stream_findings(spark, sf_dir):
+    """Findings of the planted files as they arrive in a stream, some twice and some late."""
+    target = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    arrivals = read_arrivals(spark, P.arrivals(spark, sf_dir))
+    store_findings(scan_stream(arrivals), f"{target}/findings", f"{target}/checkpoint").awaitTermination()
+    return public(spark.read.parquet(f"{target}/findings"), "in_source")
 
 
 def diff_dependency_gate(spark, sf_dir):
@@ -331,6 +351,10 @@ QUERIES: dict[str, Query] = {
     "manifest_dependencies": of_dependency_files(dependencies.manifest_dependencies),
     "manifest_parse_errors": of_dependency_files(dependencies.manifest_parse_errors),
     "skipped_specifiers": of_dependency_files(dependencies.skipped_specifiers),
+    "skipped_specifier_rows": of_dependency_files(lambda files: dependencies.skipped_specifier_rows(files).drop("place")),
+    "advisory_records": advisory_records,
+    "stream_findings": stream_findings,
+    "oversized_files": oversized_files,
     "resolved_dependencies": of_dependency_files(dependencies.resolved_dependencies),
     "cvss_base_score": cvss_scores,
     "advisory_severity": advisory_severities,

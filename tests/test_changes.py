@@ -58,3 +58,9 @@ def test_stream(spark, tmp_path):
     assert run() == [("a.js", "misconfig.eval", 1)]
     arrive(("a.js", "eval(a)"), ("b.js", "\neval(b)"))
     assert run() == [("a.js", "misconfig.eval", 1), ("b.js", "misconfig.eval", 2)]
+    # late, in two files of one batch, and covered by a directive
+    late = spark.createDataFrame([("r", "c.js", 30, "eval(c) // scanner-ignore")], "repo string, path string, size long, content string")
+    for hour in ("2025-01-01 00:00:00", "2025-01-01 05:00:00"):
+        late.selectExpr("*", f"timestamp'{hour}' AS arrived_at").write.mode("append").parquet(source)
+    assert run() == [("a.js", "misconfig.eval", 1), ("b.js", "misconfig.eval", 2), ("c.js", "misconfig.eval", 1)]
+    assert {r.path: r.in_source for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"a.js": False, "b.js": False, "c.js": True}

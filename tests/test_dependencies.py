@@ -111,7 +111,8 @@ def test_advisory_severity(spark, label, entries, expected):
 
 
 def test_version_order(spark):
-    ordered = ["0.9", "1.0.0-rc.1", "1", "1.0.1", "1.2", "1.10.0", "2.0.0-a", "2.0.0+b", "10"]
+    ordered = ["0.9", "1.0.0-alpha", "1.0.0-alpha.1", "1.0.0-alpha.beta", "1.0.0-beta", "1.0.0-beta.2", "1.0.0-beta.11",
+               "1.0.0-rc.1", "1", "1.0.1", "1.2", "1.10.0", "2.0.0-9", "2.0.0-10", "2.0.0-99999999999999999999", "2.0.0-a", "2.0.0+b", "10"]
     df = spark.createDataFrame([(v,) for v in [*ordered[::-1], "x", "1.2.3.4"]], "v string")
     keyed = df.withColumn("k", version_key(F.col("v"))).orderBy("k").collect()
     assert [r.v for r in keyed if r.k] == ordered
@@ -120,28 +121,32 @@ def test_version_order(spark):
 
 def test_matches_against_brute_force(spark):
     """All (dependency, advisory) pairs tried one by one in Python."""
-    versions = ["0.9.0", "1.0.0", "1.4.0", "2.0.0-rc.1", "2.0.0", "odd"]
+    versions = ["0.9.0", "1.0.0", "1.4.0", "2.0.0-beta.10", "2.0.0-rc.1", "2.0.0", "odd"]
     deps = [(f"r{i % 5}", n, v, "lock") for i, (n, v) in enumerate((n, v) for n in "abc" for v in versions)]
     deps += [(f"r{i}", "a", "1.0.0", "lock") for i in range(5, 60)]
     advisories = [
         ("A1", "npm", "a", None, "HIGH", [], ["1.0.0", "odd"], []),
-        ("A2", "npm", "a", None, None, [], [], [(None, "1.4.0")]),
-        ("A3", "npm", "b", None, None, [], [], [("1.0.0", None)]),
-        ("A4", "npm", "c", None, None, [], ["0.9.0"], [("0.1.0", "1.0.0"), ("1.4.0", "2.0.0")]),
+        ("A2", "npm", "a", None, None, [], [], [(None, "1.4.0", None)]),
+        ("A2", "npm", "a", None, None, [], ["2.0.0"], []),
+        ("A3", "npm", "b", None, None, [], [], [("1.0.0", None, None)]),
+        ("A4", "npm", "c", None, None, [], ["0.9.0"], [("0.1.0", "1.0.0", None), ("1.4.0", "2.0.0", None)]),
+        ("A7", "npm", "c", None, None, [], [], [(None, None, "1.0.0")]),
+        ("A8", "npm", "a", None, None, [], [], [("2.0.0-beta.9", "2.0.0-rc.1", None), ("2.0.0-rc.1", "2.0.0", None)]),
         ("A5", "PyPI", "a", None, None, [], ["1.0.0"], []),
-        ("A6", "npm", "b", None, None, [], [], [("bad", None)]),
+        ("A6", "npm", "b", None, None, [], [], [("bad", None, None)]),
     ]
-    order = {v: i for i, v in enumerate(["0.1.0", "0.9.0", "1.0.0", "1.4.0", "2.0.0-rc.1", "2.0.0"])}
+    order = {v: i for i, v in enumerate(["0.1.0", "0.9.0", "1.0.0", "1.4.0", "2.0.0-beta.9", "2.0.0-beta.10", "2.0.0-rc.1", "2.0.0"])}
 
     def applies(version, adv):
         if version in adv[6]:
             return True
         at = order.get(version)
         return at is not None and any(
-            low != "bad" and (low is None or order[low] <= at) and (high is None or at < order[high]) for low, high in adv[7]
+            low != "bad" and (low is None or order[low] <= at) and (high is None or at < order[high]) and (last is None or at <= order[last])
+            for low, high, last in adv[7]
         )
 
-    expected = sorted((d[0], d[1], d[2], a[0]) for d in deps for a in advisories if a[1] == "npm" and a[2] == d[1] and applies(d[2], a))
+    expected = sorted({(d[0], d[1], d[2], a[0]) for d in deps for a in advisories if a[1] == "npm" and a[2] == d[1] and applies(d[2], a)})
     d = spark.createDataFrame(deps, "repo string, name string, version string, origin string")
     a = spark.createDataFrame(advisories, ADVISORIES_SCHEMA)
     assert rows(D.advisory_matches(d, a), "repo", "name", "version", "id") == expected
@@ -166,9 +171,23 @@ def test_read_osv_records(spark, tmp_path):
         "id": "X-1", "summary": "s", "severity": [{"type": "CVSS_V3", "score": "v"}], "database_specific": {"severity": "HIGH"},
         "affected": [{"package": {"ecosystem": "npm", "name": "p"}, "versions": ["1.0.0"], "ranges": [
             {"type": "GIT", "events": [{"introduced": "abc"}]},
-            {"type": "SEMVER", "events": [{"introduced": "0"}, {"fixed": "1.2.0"}, {"introduced": "2.0.0"}]}]}],
+            {"type": "SEMVER", "events": [{"introduced": "2.0.0"}, {"fixed": "1.2.0"}, {"introduced": "0"}]},
+            {"type": "ECOSYSTEM", "events": [{"introduced": "3.0.0-rc.1"}, {"last_affected": "3.1.0"}, {"introduced": "10.0.0"}]}]}],
     }
     (tmp_path / "x.json").write_text(json.dumps(record, indent=1))
     row = read_advisories(spark, str(tmp_path)).first()
     assert (row.id, row.ecosystem, row.name, row.db_severity, row.versions) == ("X-1", "npm", "p", "HIGH", ["1.0.0"])
-    assert [tuple(r) for r in row.ranges] == [(None, "1.2.0"), ("2.0.0", None)]
+    assert [tuple(r) for r in row.ranges] == [
+        (None, "1.2.0", None), ("2.0.0", None, None), ("3.0.0-rc.1", None, "3.1.0"), ("10.0.0", None, None)
+    ]
+
+
+def test_json_as_a_browser_reads_it(spark, corpus_of):
+    """Of equal keys the last counts, and an odd entry is only itself left out."""
+    lock = '{"packages":{"node_modules/a":{"version":"1.0.0"},"node_modules/a":{"version":"2.0.0"},"node_modules/b":"odd","node_modules/c":null,"node_modules/d":{"version":"3.0.0"}}}'
+    manifest = '{"dependencies":{"x":"1.0.0","y":"*","x":"^2.0.0"},"name":"n","name":"m"}'
+    files = corpus_of({("r", "package-lock.json"): lock, ("s", "package.json"): manifest})
+    assert rows(D.lock_dependencies(files), "name", "version") == [("a", "2.0.0"), ("d", "3.0.0")]
+    assert rows(D.manifest_dependencies(files), "name", "version") == [("x", "2.0.0")]
+    assert D.manifest_parse_errors(files).count() == 0
+    assert rows(D.skipped_specifier_rows(files), "repo", "name", "specifier") == [("s", "y", "*")]

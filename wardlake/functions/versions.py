@@ -22,21 +22,36 @@ def is_concrete_version(version: Column) -> Column:
 
 
 def version_key(version: Column) -> Column:
-    """Array that orders like the version: major, minor, patch, 0 for a pre-release else 1.
+    """Struct that orders like the version by semver precedence; null if the text is no version.
 
-    Missing parts are 0, build metadata is ignored and pre-releases of one version are
-    equal to each other. Null if the text is no version.
+    ``core`` is major, minor, patch and 0 for a pre-release else 1; missing parts are 0.
+    ``pre`` has the parts of the pre-release: numbers come before words and compare by
+    length, then digits; of equal beginnings the shorter is less. Build metadata is ignored.
     """
 
     def part(group: int) -> Column:
         digits = F.regexp_extract(version, _VERSION_PARTS, group)
         return F.when(digits == "", F.lit(0)).otherwise(digits.try_cast("bigint"))
 
-    released = F.when(F.regexp_extract(version, _VERSION_PARTS, 4) == "", 1).otherwise(0)
-    key = F.array(part(1), part(2), part(3), released.cast("bigint"))
-    return F.when(version.rlike(_VERSION_PARTS) & ~F.exists(key, lambda p: p.isNull()), key)
+    suffix = F.regexp_extract(version, _VERSION_PARTS, 4)
+    released = F.when(suffix == "", 1).otherwise(0)
+    core = F.array(part(1), part(2), part(3), released.cast("bigint"))
 
+    def parts(word: Column) -> Column:
+        number = word.rlike(r"^[0-9]+\z")
+        digits = F.regexp_replace(word, r"^0+(?=[0-9])", "")
+        return F.struct(
+            F.when(number, 0).otherwise(1).alias("is_word"),
+            F.when(number, F.length(digits)).otherwise(0).alias("digits"),
+            F.when(number, digits).otherwise(word).alias("text"),
+        )
 
-def in_range(key: Column, introduced: Column, fixed: Column) -> Column:
-    """introduced <= key < fixed over version keys; null bounds are open."""
-    return (introduced.isNull() | (introduced <= key)) & (fixed.isNull() | (key < fixed))
+    words = F.filter(F.split(F.substring(suffix, 2, 1 << 20), r"\.", -1), lambda w: w != "")
+    key = F.struct(core.alias("core"), F.transform(words, parts).alias("pre"))
+    return F.when(version.rlike(_VERSION_PARTS) & ~F.exists(core, lambda p: p.isNull()), key)
+
+
+def in_range(key: Column, introduced: Column, fixed: Column, last_affected: Column) -> Column:
+    """introduced <= key < fixed and key <= last_affected over version keys; null bounds are open."""
+    above = introduced.isNull() | (introduced <= key)
+    return above & (fixed.isNull() | (key < fixed)) & (last_affected.isNull() | (key <= last_affected))

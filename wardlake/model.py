@@ -19,7 +19,7 @@ FINDINGS_SCHEMA = (
 ADVISORIES_SCHEMA = (
     "id string, ecosystem string, name string, summary string, db_severity string, "
     "severity array<struct<type string, score string>>, versions array<string>, "
-    "ranges array<struct<introduced string, fixed string>>"
+    "ranges array<struct<introduced string, fixed string, last_affected string>>"
 )
 
 FINDING_COLUMNS = (
@@ -68,7 +68,7 @@ def severity_at_least(findings: DataFrame, threshold: str) -> DataFrame:
     return findings.filter(severity_rank(F.col("severity")) >= rank)
 
 
-def public(findings: DataFrame) -> DataFrame:
-    """A findings table without its ordering and bookkeeping columns."""
-    extra = [c for c in ("suppression_kind",) if c in findings.columns]
+def public(findings: DataFrame, *more: str) -> DataFrame:
+    """A findings table without its ordering and bookkeeping columns, but with those named in ``more``."""
+    extra = [c for c in ("suppression_kind", *more) if c in findings.columns]
     return findings.select(*FINDING_COLUMNS, *extra)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import operator
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +20,6 @@ REMEDIATION = "Review https://osv.dev/vulnerability/{id} and upgrade {name} to a
 SUMMARY_LENGTH = 160
 LISTED_SPECIFIERS = 5
 
-_LOCK_SCHEMA = "packages map<string, struct<version: string>>"
 _MANIFEST_SCHEMA = "dependencies map<string, string>, devDependencies map<string, string>"
 _STRICT = {"allowSingleQuotes": "false"}
 _PACKAGE_KEY = r"(?:^|/)node_modules/((?:@[^/]+/)?[^/]+)\z"
@@ -27,20 +29,27 @@ def _is_json(content: Column) -> Column:
     return F.try_parse_json(content).isNotNull()
 
 
+def _json_files(files: DataFrame, name: str) -> DataFrame:
+    """A control file of every repository. Of equal keys in one object the last counts."""
+    files.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    return control_files(files, name)
+
+
 def _locked(files: DataFrame) -> DataFrame:
     """One row per lock file with its distinct ``name NUL version`` pairs.
 
     A lock file is one row, so this needs no shuffle, and ``array_distinct`` on plain
     strings is hash-based.
     """
-    lock = control_files(files, LOCK_FILE).filter(_is_json(F.col("content")))
-    packages = F.from_json("content", _LOCK_SCHEMA, _STRICT)["packages"]
+    lock = _json_files(files, LOCK_FILE).filter(_is_json(F.col("content")))
+    packages = F.try_variant_get(F.try_parse_json("content"), "$.packages", "map<string, variant>")
+    # every entry is read on its own, so that one that is no object is only itself left out
     pairs = F.transform(
         F.map_entries(packages),
         lambda e: F.concat(
             F.nullif(F.regexp_extract(e["key"], _PACKAGE_KEY, 1), F.lit("")),
             F.lit("\0"),
-            F.nullif(e["value"]["version"], F.lit("")),
+            F.nullif(F.try_variant_get(e["value"], "$.version", "string"), F.lit("")),
         ),
     )
     present = F.array_distinct(F.filter(pairs, lambda p: p.isNotNull()))
@@ -96,32 +105,38 @@ def _concrete(declared: DataFrame) -> DataFrame:
 
 def manifest_dependencies(files: DataFrame) -> DataFrame:
     """Dependencies declared with something that cleans to a version."""
-    return _concrete(_declared(control_files(files, MANIFEST_FILE)))
+    return _concrete(_declared(_json_files(files, MANIFEST_FILE)))
 
 
 def manifest_parse_errors(files: DataFrame) -> DataFrame:
     """Manifests that are no JSON; their repositories only look free of dependencies."""
     return (
-        control_files(files, MANIFEST_FILE).filter(~_is_json(F.col("content"))).select("repo", "path", "size")
+        _json_files(files, MANIFEST_FILE).filter(~_is_json(F.col("content"))).select("repo", "path", "size")
     )
 
 
 def _unlocked_manifests(files: DataFrame) -> DataFrame:
     with_lock = _locked(files).filter(F.size("pairs") > 0).select("repo")
-    return control_files(files, MANIFEST_FILE).join(with_lock, "repo", "left_anti")
+    return _json_files(files, MANIFEST_FILE).join(with_lock, "repo", "left_anti")
+
+
+def skipped_specifier_rows(files: DataFrame) -> DataFrame:
+    """Every specifier that is no version, of repositories that rely on their manifest."""
+    return (
+        _declared(_unlocked_manifests(files))
+        .filter(~F.coalesce(is_concrete_version(F.col("version")), F.lit(False)))
+        .select("repo", "place", "name", F.coalesce("specifier", F.lit("")).alias("specifier"))
+    )
 
 
 def skipped_specifiers(files: DataFrame) -> DataFrame:
     """Per repository that relies on its manifest: specifiers that are no version.
 
-    Their number and the first five in manifest order. The five come from a rank with
-    a limit, which Spark applies before and after the shuffle.
+    Their number and, as the text of the report, the first five in manifest order;
+    ``skipped_specifier_rows`` has all. The five come from a rank with a limit, which Spark
+    applies before and after the shuffle.
     """
-    skipped = (
-        _declared(_unlocked_manifests(files))
-        .filter(~F.coalesce(is_concrete_version(F.col("version")), F.lit(False)))
-        .withColumn("label", F.concat("name", F.lit("@"), F.coalesce("specifier", F.lit(""))))
-    )
+    skipped = skipped_specifier_rows(files).withColumn("label", F.concat("name", F.lit("@"), "specifier"))
     ranked = skipped.withColumn("rank", F.row_number().over(Window.partitionBy("repo").orderBy("place")))
     first = ranked.filter(F.col("rank") <= LISTED_SPECIFIERS).select(
         "repo", F.lit(0).cast("bigint").alias("n"), "rank", "label"
@@ -143,7 +158,10 @@ def skipped_specifiers(files: DataFrame) -> DataFrame:
 
 
 def resolved_dependencies(files: DataFrame) -> DataFrame:
-    """Locked packages, or the declared ones of repositories whose lock has none."""
+    """Locked packages, or the declared ones of repositories whose lock has none.
+
+    ``advisory_matches`` reads the result several times; pass it through ``written`` first.
+    """
     return lock_dependencies(files).unionByName(_concrete(_declared(_unlocked_manifests(files))))
 
 
@@ -166,29 +184,29 @@ def advisory_matches(dependencies: DataFrame, advisories: DataFrame, salts: int
         "name",
         version_key(F.col("range.introduced")).alias("from_key"),
         version_key(F.col("range.fixed")).alias("to_key"),
-        _unreadable(F.col("range.introduced"), F.col("range.fixed")).alias("unreadable"),
+        version_key(F.col("range.last_affected")).alias("last_key"),
+        _unreadable(*(F.col(f"range.{bound}") for bound in ("introduced", "fixed", "last_affected"))).alias("unreadable"),
     )
     keyed = versions.withColumn("key", version_key(F.col("version"))).filter(F.col("key").isNotNull())
     ranged = (
         salted_join(
             keyed, ranges.filter(~F.col("unreadable")), ["name"], "inner", [F.col("version")], salts
         )
-        .filter(in_range(F.col("key"), F.col("from_key"), F.col("to_key")))
+        .filter(in_range(F.col("key"), F.col("from_key"), F.col("to_key"), F.col("last_key")))
         .select("name", "version", "id")
     )
 
     severity = advisory_severity(F.col("db_severity"), F.col("severity"))
-    details = known.select("id", "name", "summary", severity.alias("severity"))
+    # an advisory may list a package several times; its text and rating are the advisory's
+    details = known.select("id", "name", "summary", severity.alias("severity")).dropDuplicates(["id", "name"])
     matches = exact.unionByName(ranged).distinct().join(details, ["id", "name"])
     joined = salted_join(dependencies, matches, ["name", "version"], "inner", [F.col("repo")], salts)
     return joined.select("repo", "name", "version", "origin", "id", "summary", "severity")
 
 
-def _unreadable(introduced: Column, fixed: Column) -> Column:
+def _unreadable(*bounds: Column) -> Column:
     """Ranges with a bound that is no version; they match nothing."""
-    return (introduced.isNotNull() & version_key(introduced).isNull()) | (
-        fixed.isNotNull() & version_key(fixed).isNull()
-    )
+    return reduce(operator.or_, [b.isNotNull() & version_key(b).isNull() for b in bounds])
 
 
 def dependency_findings(matches: DataFrame) -> DataFrame:

@@ -254,7 +254,7 @@ def _expressions_for(files: DataFrame, rules: Sequence[Rule]) -> _Expressions:
     return _expressions(files.sparkSession.sparkContext.applicationId, tuple(rules))
 
 
-def candidate_lines(files: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+def candidate_lines(files: DataFrame, rules: Sequence[Rule], keep: Sequence[str] = ()) -> DataFrame:
     """Lines worth matching, with their predecessor where it can matter and file facts.
 
     A file is searched for the rules' literals as a whole; without any it is not split,
@@ -282,6 +282,7 @@ def candidate_lines(files: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     exploded = searched.select(
         "repo",
         "path",
+        *keep,
         *flags,
         "present",
         *facts,
@@ -292,6 +293,7 @@ def candidate_lines(files: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     return exploded.select(
         "repo",
         "path",
+        *keep,
         *flags,
         "present",
         *facts,
@@ -302,9 +304,9 @@ def candidate_lines(files: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     ).filter(expressions.candidate_line)
 
 
-def scan_lines(files: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """Findings of all rules over all lines of the given files."""
-    lines = candidate_lines(files, rules)
+def scan_lines(files: DataFrame, rules: Sequence[Rule], keep: Sequence[str] = ()) -> DataFrame:
+    """Findings of all rules over all lines of the given files, with the file columns named in ``keep``."""
+    lines = candidate_lines(files, rules, keep)
     code = F.col("is_code")
     if any(rule.scope == "code" for rule in rules):
         lines = lines.withColumns(
@@ -319,6 +321,7 @@ def scan_lines(files: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     matched = lines.select(
         "repo",
         "path",
+        *keep,
         "line_no",
         "line",
         "above",
@@ -345,4 +348,5 @@ def scan_lines(files: DataFrame, rules: Sequence[Rule]) -> DataFrame:
                 | covers(F.coalesce("above", F.lit("")), F.col("rule.rule_id"))
             )
         ).alias("inline_hit"),
+        *keep,
     )

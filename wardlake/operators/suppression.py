@@ -83,8 +83,8 @@ def finding_keys(path: Column, rule_id: Column) -> Column:
 def suppress_external(findings: DataFrame, files: DataFrame, salts: int = 16) -> DataFrame:
     """Findings with ``external_hit``: covered by their repository's ignore file.
 
-    One equality join on the repository, whose right side has one row per ignore file;
-    rules are compared by a hash lookup of the finding's few keys, never pairwise.
+    One equality join on the repository, whose right side has one row per ignore file. The
+    finding's few keys (two for each directory of its path) are looked up in the file's.
     """
     spread = [F.col("path"), F.col("line"), F.col("rule_id")]
     joined = salted_join(findings, ignore_keys(files), ["repo"], "left", spread, salts)
@@ -116,12 +116,12 @@ def suppress_inline(findings: DataFrame, files: DataFrame) -> DataFrame:
     )
 
 
-def apply_suppressions(findings: DataFrame, files: DataFrame, no_ignore: bool = False) -> DataFrame:
+def apply_suppressions(findings: DataFrame, files: DataFrame, no_ignore: bool = False, salts: int = 16) -> DataFrame:
     """Findings with ``suppression_kind``; null means active. Ignore files come first."""
     if no_ignore:
         return findings.withColumn("suppression_kind", F.lit(None).cast("string"))
     kind = F.when(F.col("external_hit"), EXTERNAL).when(F.col("inline_hit"), IN_SOURCE)
-    return suppress_external(findings, files).withColumn("suppression_kind", kind).drop("external_hit")
+    return suppress_external(findings, files, salts).withColumn("suppression_kind", kind).drop("external_hit")
 
 
 def active(findings: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from wardlake.operators.rules import Rule, scan_lines
 from wardlake.operators.secrets import SECRET_RULES
 from wardlake.operators.suppression import apply_suppressions
 from wardlake.operators.workflows import WORKFLOW_RULES
+from wardlake.session import written
 from wardlake.sources.corpus import scanned_files
 
 DEFAULT_RULES: list[Rule] = [*SECRET_RULES, *DOCKER_RULES, *CODE_RULES, *WORKFLOW_RULES]
@@ -29,6 +30,8 @@ class ScanOptions:
     exclude_dirs: tuple[str, ...] = ()
     no_ignore: bool = False
     rules: Sequence[Rule] = tuple(DEFAULT_RULES)
+    max_file_bytes: int | None = None
+    salts: int = 16
 
 
 @dataclass(frozen=True)
@@ -50,8 +53,11 @@ def scan(
 
     A restricted scan runs the dependency check for repositories with a changed
     manifest, and reports all committed environment files of those where one changed.
+    Files above ``max_file_bytes``, if that is set, are not scanned; ``sources.corpus.oversized``
+    lists them. Dependencies are resolved once and kept in the shared folder. Set ``salts``
+    to about the number of tasks that the findings of one repository should spread over.
     """
-    scanned = scanned_files(files, options.include_test_dirs, options.exclude_dirs)
+    scanned = scanned_files(files, options.include_test_dirs, options.exclude_dirs, options.max_file_bytes)
     if changed is not None:
         scanned = only_changed(scanned, changed)
     findings = scan_lines(scanned, options.rules)
@@ -59,11 +65,12 @@ def scan(
         dependencies = resolved_dependencies(files)
         if changed is not None:
             dependencies = open_repos(dependencies, dependency_gate(changed), "name")
-        findings = findings.unionByName(dependency_findings(advisory_matches(dependencies, advisories)))
+        matches = advisory_matches(written(dependencies, "dependencies"), advisories, options.salts)
+        findings = findings.unionByName(dependency_findings(matches))
     if tracked is not None:
         paths = tracked if changed is None else open_repos(tracked, env_gate(changed), "path")
         findings = findings.unionByName(committed_env_files(paths))
-    return ScanResult(apply_suppressions(findings, files, options.no_ignore), scanned)
+    return ScanResult(apply_suppressions(findings, files, options.no_ignore, options.salts), scanned)
 
 
 def diff_scan(
@@ -73,5 +80,8 @@ def diff_scan(
     tracked: DataFrame | None = None,
     options: ScanOptions = ScanOptions(),
 ) -> ScanResult:
-    """Scan what changed from one snapshot of a corpus to another."""
-    return scan(head, advisories, tracked, options, changed_files(base, head))
+    """Scan what changed from one snapshot of a corpus to another.
+
+    The changes are compared once and kept in the shared folder for their several uses.
+    """
+    return scan(head, advisories, tracked, options, written(changed_files(base, head), "changed"))

@@ -23,7 +23,7 @@ SCANNED_EXTENSIONS = (
     ".js", ".jsx", ".ts", ".tsx", ".mjs", ".cjs", ".json", ".env", ".yml", ".yaml", ".sh",
 )
 
-# Fixed value: larger files are skipped.
+# Fixed value: the limit that a scan may set; it has none by itself.
 MAX_FILE_BYTES = 1_000_000
 
 # Files at a repository's root that steer the scan.
@@ -84,14 +84,16 @@ def write_corpus(files: DataFrame, target: str, mode: str = "errorifexists") ->
     """Store a corpus so that later jobs read only what they need.
 
     ``role`` is a partition column: files that are never scanned are never opened, and
-    the dependency and suppression steps open the small ``control`` part only.
+    the dependency and suppression steps open the small ``control`` part only. With
+    ``content_hash`` snapshots are compared without reading texts.
     """
     role = (
         F.when(F.col("path").isin(*CONTROL_FILES), "control")
         .when(is_scannable(F.col("path")), "source")
         .otherwise("other")
     )
-    files.withColumn("role", role).write.mode(mode).partitionBy("role").parquet(target)
+    hashed = files if "content_hash" in files.columns else files.withColumn("content_hash", F.sha2("content", 256))
+    hashed.withColumn("role", role).write.mode(mode).partitionBy("role").parquet(target)
 
 
 def read_corpus(spark: SparkSession, source: str) -> DataFrame:
@@ -143,8 +145,13 @@ def scannable(files: DataFrame) -> DataFrame:
     return files.filter(is_scannable(F.col("path")))
 
 
-def within_size(files: DataFrame, limit: int = MAX_FILE_BYTES) -> DataFrame:
-    return files.filter(F.col("size") <= limit)
+def within_size(files: DataFrame, limit: int | None = MAX_FILE_BYTES) -> DataFrame:
+    return files if limit is None else files.filter(F.col("size") <= limit)
+
+
+def oversized(files: DataFrame, limit: int = MAX_FILE_BYTES) -> DataFrame:
+    """The files that a scan with this limit leaves out, without their content."""
+    return scannable(files).filter(F.col("size") > limit).select("repo", "path", "size")
 
 
 def route(files: DataFrame) -> DataFrame:
@@ -163,11 +170,12 @@ def scanned_files(
     files: DataFrame,
     include_test_dirs: bool = False,
     exclude_dirs: list[str] | tuple[str, ...] = (),
+    max_file_bytes: int | None = None,
 ) -> DataFrame:
     """The files a scan reads, with their routing."""
     kept = files.filter("role <> 'other'") if "role" in files.columns else files
     kept = prune_directories(kept, skipped_directories(include_test_dirs, exclude_dirs))
-    return route(within_size(scannable(kept)))
+    return route(within_size(scannable(kept), max_file_bytes))
 
 
 def explode_lines(files: DataFrame) -> DataFrame:

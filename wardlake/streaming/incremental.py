@@ -22,32 +22,33 @@ def read_arrivals(spark: SparkSession, source: str, files_per_batch: int = 1000)
     return reader.parquet(source)
 
 
-def scan_stream(
-    arrivals: DataFrame, rules: Sequence[Rule] = tuple(DEFAULT_RULES), delay: str = "1 hour"
-) -> DataFrame:
-    """Findings of files that are new or changed since they last arrived within ``delay``.
-
-    State is one digest per file and lasts no longer than the delay. Findings carry
-    ``inline_hit``; ignore files and fingerprints belong to a whole repository and are
-    applied to the stored findings.
+def scan_stream(arrivals: DataFrame, rules: Sequence[Rule] = tuple(DEFAULT_RULES)) -> DataFrame:
+    """Findings of every arriving file, however late, with ``digest`` of the file's content.
+
+    Findings carry ``inline_hit``; ignore files and fingerprints belong to a whole repository
+    and are applied to the stored findings. The stream has no state.
     """
-    fresh = (
-        scanned_files(arrivals)
-        .withColumn("digest", F.sha2("content", 256))
-        .withWatermark("arrived_at", delay)
-        .dropDuplicatesWithinWatermark(["repo", "path", "digest"])
-    )
-    return scan_lines(fresh, rules)
+    return scan_lines(scanned_files(arrivals).withColumn("digest", F.sha2("content", 256)), rules, keep=("digest",))
 
 
 def store_findings(findings: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Append findings to a parquet table, taking everything available and then stopping."""
-    kept = findings.withColumn("in_source", F.col("inline_hit"))
-    return (
-        public(kept)
-        .writeStream.format("parquet")
-        .option("path", target)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    """Append findings to a parquet table, taking everything available and then stopping.
+
+    A file that arrives again with the same content adds nothing: findings whose file and
+    digest are stored already are left out, as are repeats within a batch. A batch that is
+    run again after a failure is recognised in the same way. ``in_source`` says whether a
+    directive in the file covers the finding.
+    """
+    key = ["repo", "path", "digest"]
+
+    def store(batch: DataFrame, number: int) -> None:
+        once = batch.dropDuplicates([*key, "rule_id", "line", "excerpt", "seq_check", "seq_occurrence"])
+        rows = public(once.withColumn("in_source", F.col("inline_hit")), "in_source", "digest")
+        spark = batch.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(target)
+        if path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(path):
+            stored = spark.read.schema(rows.schema).parquet(target).select(*key).distinct()
+            rows = rows.join(stored, key, "left_anti")
+        rows.write.mode("append").parquet(target)
+
+    return findings.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
