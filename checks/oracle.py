@@ -723,6 +723,7 @@ FINAL: dict[str, str] = {
     "manifest_dependencies": f"SELECT repo, name, version, 'manifest' AS origin FROM declared WHERE {CONCRETE}",
     "manifest_parse_errors": "SELECT repo, path, strlen(content) AS size FROM corpus WHERE path = 'package.json' AND NOT json_valid(content)",
     "skipped_specifier_rows": f"SELECT repo, name, coalesce(specifier, '') AS specifier FROM ({_skipped})",
+    "tree_files": "SELECT repo, path, strlen(content) AS size, sha256(content) AS digest FROM corpus",
     "stream_findings": f"SELECT {PUBLIC}, {inline('_c')} AS in_source FROM line_found f WHERE starts_with(repo, 'repo_')",
     "advisory_records": "SELECT repo, name, version, origin, id FROM matches",
     "oversized_files": f"SELECT repo, path, size FROM routed WHERE {SCANNABLE} AND size > {MAX_FILE_BYTES}",

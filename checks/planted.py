@@ -14,6 +14,8 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -544,6 +546,29 @@ def arrivals(spark: SparkSession, sf_dir: str) -> str:
     return _folder(spark, sf_dir, "arrivals", build)
 
 
+def tree(spark: SparkSession, sf_dir: str) -> str:
+    """The planted files as a tree of directories, one for each repository, written by tasks."""
+
+    def build() -> str:
+        target = f"{shared_folder(spark)}/tree-{uuid.uuid4().hex}"
+
+        def run(batches):
+            system, base = pafs.FileSystem.from_uri(target) if "://" in target else (pafs.LocalFileSystem(), target)
+            for batch in batches:
+                for repo, path, content in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                    place = f"{base}/{repo}/{path}"
+                    system.create_dir(place.rsplit("/", 1)[0], recursive=True)
+                    with system.open_output_stream(place) as stream:
+                        stream.write(content.encode())
+                yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["written"])
+
+        files = corpus(spark, sf_dir).select("repo", "path", "content")
+        files.mapInArrow(run, "written long").agg(F.sum("written")).collect()
+        return target
+
+    return _folder(spark, sf_dir, "tree", build)
+
+
 _folders: dict[tuple[str, str, str], str] = {}
 
 

@@ -137,6 +137,12 @@ def advisory_severities(spark, sf_dir):
     return rows.select("id", advisory_severity(F.col("db_severity"), F.col("severity")).alias("severity")).distinct()
 
 
+def tree_files(spark, sf_dir):
+    """The planted files, written out as directories and read back."""
+    rows = C.read_tree(spark, P.tree(spark, sf_dir), skip_dirs=())
+    return rows.select("repo", "path", "size", F.sha2("content", 256).alias("digest"))
+
+
 def oversized_files(spark, sf_dir):
     return C.oversized(all_files(spark, sf_dir))
 
@@ -355,6 +361,7 @@ QUERIES: dict[str, Query] = {
     "advisory_records": advisory_records,
     "stream_findings": stream_findings,
     "oversized_files": oversized_files,
+    "tree_files": tree_files,
     "resolved_dependencies": of_dependency_files(dependencies.resolved_dependencies),
     "cvss_base_score": cvss_scores,
     "advisory_severity": advisory_severities,

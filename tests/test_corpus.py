@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from wardlake.plans.scan import ScanOptions, scan
 from wardlake.sources import corpus as C
 
 
@@ -21,6 +22,36 @@ def test_read_tree(spark, tmp_path):
     assert paths(single) == {"one/src/a.js", "one/b c%.js", "two/deep/er/c.ts", "top.js"}
 
 
+def test_read_tree_keeps_every_name_and_scans_it(spark, tmp_path):
+    texts = {
+        ".env": 'API_KEY="abcd1234efgh5678ijkl"', ".github/workflows/a.yml": "on: pull_request_target\n  - uses: a/b@main",
+        ".scannerignore": "src/_d.js\n", "_helper/b.js": "eval(b)", "__tests__/c.js": "eval(c)", "src/_d.js": "eval(d)",
+        "src/e.js": "eval(e)", "node_modules/m/f.js": "eval(f)",
+    }
+    for name, text in texts.items():
+        (tmp_path / "r" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "r" / name).write_text(text)
+    (tmp_path / "r/loop").symlink_to(tmp_path / "r")
+    files = C.read_tree(spark, str(tmp_path))
+    assert paths(files) == set(texts) - {"node_modules/m/f.js"}
+    assert paths(C.read_tree(spark, f"file://{tmp_path}", skip_dirs=())) == set(texts)
+    found = scan(files, options=ScanOptions(include_test_dirs=True)).findings.collect()
+    active = {(r.path, r.rule_id.split(".")[0]) for r in found if r.suppression_kind is None}
+    assert {p for p, _ in active} == {".env", ".github/workflows/a.yml", "_helper/b.js", "__tests__/c.js", "src/e.js"}
+    assert {r.path for r in found if r.suppression_kind} == {"src/_d.js"}
+    assert C.unreadable(spark, str(tmp_path)).count() == 0
+
+
+def test_unreadable_files_are_listed(spark, tmp_path, monkeypatch):
+    from wardlake.sources import tree
+
+    class Broken:
+        def get_file_info(self, path):
+            raise PermissionError(path)
+
+    assert list(tree._walked(Broken(), "x", frozenset())) == [("x", 0, None, "PermissionError: x")]
+
+
 def test_read_tree_rejects_bad_roots(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         C.read_tree(spark, str(tmp_path / "absent"))

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardlake.functions.text import base_name, directories, extension, split_lines
+from wardlake.sources.tree import walk_tree
 
 # Directories that never hold sources of their own.
 ALWAYS_SKIPPED = ("node_modules", ".git", "dist", "build", "coverage", ".next", ".cache")
@@ -33,41 +32,23 @@ IGNORE_FILE = ".scannerignore"
 CONTROL_FILES = (LOCK_FILE, MANIFEST_FILE, IGNORE_FILE)
 
 
-def read_tree(spark: SparkSession, root: str, repo: str | None = None) -> DataFrame:
-    """File rows below a directory.
+def read_tree(
+    spark: SparkSession, root: str, repo: str | None = None, skip_dirs: list[str] | tuple[str, ...] = ALWAYS_SKIPPED
+) -> DataFrame:
+    """File rows below a directory, also of names that begin with a dot or an underscore.
 
-    ``repo`` names the one repository at ``root``; without it every first-level
-    directory is a repository. Files that vanish or cannot be read are left out.
+    ``repo`` names the one repository at ``root``; without it every first-level directory
+    is a repository. Directories named in ``skip_dirs`` are not entered and links are not
+    followed. ``unreadable`` lists the files that this leaves out because they can't be read.
     """
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    folder = hadoop.Path(root)
-    file_system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not file_system.exists(folder):
-        raise FileNotFoundError(f"scan path does not exist: {root}")
-    if not file_system.getFileStatus(folder).isDirectory():
-        raise NotADirectoryError(f"scan path is not a directory: {root}")
-    rows = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("ignoreCorruptFiles", True)
-        .option("ignoreMissingFiles", True)
-        .load(root)
-    )
-    prefix = file_system.makeQualified(folder).toUri().getPath().rstrip("/")
-    relative = F.regexp_replace("path", rf"^.*?{re.escape(prefix)}/", "")
-    # Bytes that are no UTF-8 become replacement characters; ``decode`` would fail.
-    text = F.make_valid_utf8(F.col("content").cast("string")).alias("content")
-    if repo is not None:
-        return rows.select(
-            F.lit(repo).alias("repo"), relative.alias("path"), F.col("length").alias("size"), text
-        )
-    inner = F.regexp_replace(relative, r"^[^/]*/", "")
-    return rows.filter(relative.contains("/")).select(
-        F.substring_index(relative, "/", 1).alias("repo"),
-        inner.alias("path"),
-        F.col("length").alias("size"),
-        text,
-    )
+    return walk_tree(spark, root, repo, skip_dirs).filter("error IS NULL").drop("error")
+
+
+def unreadable(
+    spark: SparkSession, root: str, repo: str | None = None, skip_dirs: list[str] | tuple[str, ...] = ALWAYS_SKIPPED
+) -> DataFrame:
+    """What ``read_tree`` couldn't read, and why: repo, path, error."""
+    return walk_tree(spark, root, repo, skip_dirs).filter("error IS NOT NULL").select("repo", "path", "error")
 
 
 def file_rows(table: DataFrame, repo: Column, path: Column, content: Column) -> DataFrame:
