@@ -81,10 +81,12 @@ def corpus(seed):
 @pytest.mark.parametrize("seed", range(4))
 def test_against_all_pairs(spark, monkeypatch, seed):
     if seed % 2:
-        monkeypatch.setattr(J, "SHARD_SETS", 5)
-        monkeypatch.setattr(J, "BLOCK_SETS", 3)
+        monkeypatch.setattr(J, "SHARD_SHINGLES", 400)
+        monkeypatch.setattr(J, "BLOCK_SHINGLES", 200)
         monkeypatch.setattr(J, "BROADCAST_IDS", 0)
         monkeypatch.setattr(J, "FREQUENT", 20)
+        monkeypatch.setattr(J, "LONG", 3)
+        monkeypatch.setattr(J, "LONG_BLOCK_SHINGLES", 200)
     docs = corpus(seed)
     docs += [(None, docs[3][1]), (docs[5][0], docs[5][1]), (docs[6][0], docs[9][1])]
     frame = spark.createDataFrame([(*d, "clash", "clash") for d in docs], "doc_id long, text string, n string, shingle string")

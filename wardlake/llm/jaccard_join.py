@@ -10,15 +10,18 @@ have a partner:
 
 * Documents with equal sets are one entity, known by its set's hash; copies are never
   expanded into pairs.
-* Two sets that reach the threshold share a shingle among the first n - ceil(t n) + 1 of
-  each, in any order that all documents share. Frequent shingles come last in it. Any
-  order gives the same links, it only decides how long the lists become, so a lower bound
-  of the frequencies is enough: each task counts the shingles of its documents and reports
-  those it met more than once.
-* In each shingle's list, all meet the first entity. Verified links give components, and
-  of a list only members of different components meet again, each of those outside the
-  list's largest component with the others. A list is thus never expanded into pairs
-  within a group of like documents.
+* Two sets that reach the threshold share SHARED shingles (or as many as the threshold
+  asks of small ones) among the first n - ceil(t n) + SHARED of each, in any order that
+  all documents share. Frequent shingles come last in it. Any order gives the same links,
+  it only decides how long the lists become, so a lower bound of the frequencies is
+  enough: each task counts the shingles of its documents and reports those it met more
+  than once.
+* In each shingle's list, all meet the first entity. Verified links give components. In
+  long lists those outside the list's largest component then meet one member of it, twice
+  with another one. Last, members that still are in different components meet: in short
+  lists as pairs, in long ones by a search of those outside the largest component in the
+  shards that hold the list's members. A list is thus not expanded into pairs within a
+  group of like documents, though nothing is left out.
 * Before sets are moved, a histogram of each set's hashes bounds the overlap of a pair.
 
 Everything is exact but for hash collisions (64 bits for shingles, 64 bits and the size
@@ -54,8 +57,14 @@ from wardlake.session import written
 COUNTED, FREQUENT = 4_000_000, 200_000
 #: Ids of documents whose sets are fetched that are broadcast, at most; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-#: Index sets of a shard and queries of a block, on average.
-SHARD_SETS, BLOCK_SETS = 1_000, 2_000
+#: Shingles of the index sets of a shard and of the queries of a block, on average.
+SHARD_SHINGLES, BLOCK_SHINGLES = 500_000, 1_000_000
+#: The same of queries to shards that long lists ask, where a query meets many members.
+LONG_BLOCK_SHINGLES = 40_000
+#: Shingles of the prefixes that a pair must share.
+SHARED = 3
+#: Lists of so many rows are long; how often their members meet one of the largest component.
+LONG, MEETINGS = 64, 2
 BINS = 128
 MU = 0.0085
 
@@ -66,31 +75,38 @@ def least_overlap(size: int, percent: int) -> int:
 
 
 def prefix_size(size: int, percent: int) -> int:
-    return size - least_overlap(size, percent) + 1
+    return min(size, size - least_overlap(size, percent) + SHARED)
 
 
 class Index:
-    """Inverted lists over the sets of one shard."""
+    """Inverted lists over the sets of one shard, as one array of members sorted by shingle."""
 
     def __init__(self, sets: list[np.ndarray]):
         self.sizes = [len(s) for s in sets]
-        self.lists: dict[int, list[int]] = {}
-        for i, own in enumerate(sets):
-            for shingle in own.tolist():
-                self.lists.setdefault(shingle, []).append(i)
+        shingles = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        order = np.argsort(shingles, kind="stable")
+        self.members = np.repeat(np.arange(len(sets), dtype=np.int32), self.sizes)[order]
+        self.shingles, self.first = np.unique(shingles[order], return_index=True)
+        self.last = np.append(self.first[1:], len(shingles))
 
     def search(self, query: np.ndarray, percent: int) -> list[tuple[int, int]]:
         """The members that reach the threshold, and their overlaps."""
         size = len(query)
         least = least_overlap(size, percent)
-        found = [self.lists[s] for s in query.tolist() if s in self.lists]
-        if len(found) < least:
+        if not len(self.shingles):
             return []
-        found.sort(key=len)
-        aside = min(least - 1, int(least / (MU * math.log2(max(2, len(found[-1]))) + 1)))
-        short, long = found[: len(found) - aside], found[len(found) - aside :]
+        at = np.minimum(np.searchsorted(self.shingles, query), len(self.shingles) - 1)
+        at = at[self.shingles[at] == query]
+        if len(at) < least:
+            return []
+        lengths = self.last[at] - self.first[at]
+        at = at[np.argsort(lengths, kind="stable")]
+        lists = [self.members[a:b] for a, b in zip(self.first[at].tolist(), self.last[at].tolist(), strict=True)]
+        aside = min(least - 1, int(least / (MU * math.log2(max(2, len(lists[-1]))) + 1)))
+        short, long = lists[: len(lists) - aside], lists[len(lists) - aside :]
+        long = [postings.tolist() for postings in long]
         out = []
-        for member, group in groupby(heapq.merge(*short)):
+        for member, group in groupby(heapq.merge(*(postings.tolist() for postings in short))):
             count = sum(1 for _ in group)
             if count < least - aside:
                 continue
@@ -99,8 +115,8 @@ class Index:
             for k, postings in enumerate(long):
                 if count + len(long) - k < needed:
                     break
-                at = bisect_left(postings, member)
-                count += at < len(postings) and postings[at] == member
+                place = bisect_left(postings, member)
+                count += place < len(postings) and postings[place] == member
             if 100 * count >= percent * (size + other - count):
                 out.append((member, count))
         return out
@@ -246,6 +262,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def _links(docs: DataFrame, entities: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b), and perhaps further pairs met on the way, that reach the threshold."""
+    # a pair's first member is the query, its second the index
     sides = [entities.select(F.col("entity").alias(c), F.col("n").alias(f"{c}_n"), F.col("bins").alias(f"{c}_bins")) for c in "ab"]
     known = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "a_n", "b_n", "a_bins", "b_bins")
 
@@ -262,18 +279,31 @@ def _links(docs: DataFrame, entities: DataFrame, pairs: DataFrame, percent: int)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(kept))
 
     likely = written(known.mapInArrow(bounded, "a long, b long"), "likely-pairs")
-    ends = likely.select(F.col("a").alias("entity")).unionByName(likely.select(F.col("b").alias("entity"))).distinct()
+    held = likely.select(F.col("b").alias("member")).distinct()
+    shard = _shard(entities, held, "b")
+    asked = likely.select(shard, F.col("a").alias("entity")).distinct()
+    return _searched(docs, entities, asked, likely.select(shard, F.col("b").alias("member")).distinct(), percent, BLOCK_SHINGLES)
+
+
+def _shard(entities: DataFrame, held: DataFrame, name: str):
+    """The shard of an index entity, so that shards hold about SHARD_SHINGLES."""
+    in_all = held.join(entities.select(F.col("entity").alias("member"), "n"), "member").agg(F.sum("n")).first()[0]
+    return F.pmod(F.xxhash64(name), F.lit(max(1, math.ceil((in_all or 0) / SHARD_SHINGLES)))).cast("int").alias("shard")
+
+
+def _searched(docs: DataFrame, entities: DataFrame, asked: DataFrame, held: DataFrame, percent: int, block_shingles: int) -> DataFrame:
+    """All pairs (a, b) of an asked entity and a held member of the same shard that reach the threshold."""
+    asked, held = written(asked, "asked"), written(held, "held")
+    ends = asked.select("entity").unionByName(held.select(F.col("member").alias("entity"))).distinct()
     wanted = written(entities.join(ends, "entity").select("text_hash").distinct(), "wanted-texts")
     sets = written(_sets(docs, wanted), "shingle-sets")
-    shards = max(1, math.ceil(likely.select("b").distinct().count() / SHARD_SETS))
-    shard = F.pmod(F.xxhash64("b"), F.lit(shards)).cast("int").alias("shard")
     held_sets = sets.select(F.col("entity").alias("member"), F.col("shingles").alias("member_shingles"))
-    index = likely.select(shard, F.col("b").alias("member")).distinct().join(held_sets, "member")
-    asked = written(likely.select(shard, F.col("a").alias("entity")).distinct(), "queries")
-    many = asked.groupBy("shard").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("blocks"))
+    weights = asked.join(entities.select("entity", "n"), "entity").groupBy("shard")
+    many = weights.agg(F.ceil(F.sum("n") / block_shingles).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("entity", F.lit("block")), F.col("blocks")).cast("int").alias("block")
-    asked = asked.join(many, "shard").select("shard", block, "entity").join(sets.select("entity", "shingles"), "entity")
-    index = index.join(many, "shard").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    queries = asked.join(many, "shard").select("shard", block, "entity").join(sets.select("entity", "shingles"), "entity")
+    every_block = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    index = held.join(held_sets, "member").join(many, "shard").withColumn("block", every_block)
 
     def search(key: tuple, queries: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         queries, held = queries.drop_duplicates("entity"), held.drop_duplicates("member")
@@ -284,15 +314,33 @@ def _links(docs: DataFrame, entities: DataFrame, pairs: DataFrame, percent: int)
             out += [(entity, names[m]) for m, _ in lists.search(np.frombuffer(shingles, np.uint64), percent) if names[m] != entity]
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
-    searched = asked.groupBy("shard", "block").cogroup(index.groupBy("shard", "block"))
+    searched = queries.groupBy("shard", "block").cogroup(index.groupBy("shard", "block"))
     return written(searched.applyInPandas(search, "a long, b long"), "links")
 
 
+def _apart(lists: DataFrame, labels: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+    """The list rows with their labels, and of each list with several labels the largest.
+
+    ``top`` is the label that most rows of the list have, ``one`` a member with it that a hash
+    picks anew in every turn, ``rows`` the length of the list.
+    """
+    known = labels.withColumnRenamed("node", "entity")
+    named = lists.join(known, "entity", "left").select("shingle", "entity", "n", F.coalesce("label", "entity").alias("label"))
+    named = written(named, "labelled-lists")
+    pick = F.struct(F.xxhash64("entity", "shingle", F.lit(turn)).alias("hash"), "entity", "n")
+    sizes = named.groupBy("shingle", "label").agg(F.count("*").alias("many"), F.min(pick).alias("one"))
+    largest = sizes.groupBy("shingle").agg(
+        F.max(F.struct("many", "label", "one")).alias("top"), F.count("*").alias("labels"), F.sum("many").alias("rows")
+    )
+    largest = largest.where("labels > 1").select("shingle", F.col("top.label").alias("top"), F.col("top.one").alias("one"), "rows")
+    return named, largest
+
+
 def near_groups(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``component_id``, ``entity`` and ``text_hash`` of every row.
+    """``doc_id``, ``n_shingles``, ``component_id``, ``component`` and ``text_hash`` of every row.
 
-    ``component_id`` is the smallest doc_id that links reach; ``entity`` names the set and
-    ``text_hash`` (xxhash64) the text, for joining rows back.
+    ``component_id`` is the smallest doc_id that links reach; ``component`` names the component
+    where ids are missing (null: no words), and ``text_hash`` (xxhash64) the text.
     """
     spark = docs.sparkSession
     texts = id_and_text(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
@@ -301,26 +349,73 @@ def near_groups(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text
     rows = counted.where("n is not null").select("doc_id", "text_hash", "n", "entity", "bins")
     entities = rows.where("n > 0").groupBy("entity", "n").agg(F.min("text_hash").alias("text_hash"), F.first("bins").alias("bins"))
     entities = written(entities, "entities")
-    lists = written(_shared(_prefixes(texts, frequent, percent)), "shared-shingles")
+    prefixes = written(_prefixes(texts, frequent, percent), "prefixes")
+    lists = written(_shared(prefixes), "shared-shingles")
+    # a first try: documents that have the same first entity in two lists
     starts = lists.where(F.col("entity") != F.col("first")).where(_fits("n", "first_n", percent))
-    links = _links(texts, entities, starts.select(F.col("entity").alias("a"), F.col("first").alias("b")).distinct(), percent)
+    starts = starts.groupBy(F.col("entity").alias("a"), F.col("first").alias("b")).agg(F.count("*").alias("met"), F.max("n").alias("n"))
+    links = _links(texts, entities, starts.where((F.col("met") > 1) | (F.col("n") < 4)).select("a", "b"), percent)
     labels = components(links)
 
-    named = lists.join(labels.withColumnRenamed("node", "entity"), "entity", "left").select("shingle", "entity", "n", F.coalesce("label", "entity").alias("label"))
-    named = written(named, "labelled-lists")
-    sizes = named.groupBy("shingle", "label").agg(F.count("*").alias("many"))
-    largest = sizes.groupBy("shingle").agg(F.max(F.struct("many", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1")
-    outside = named.join(largest.select("shingle", F.col("top.label").alias("top")), "shingle").where("label != top")
-    left = outside.select("shingle", F.col("entity").alias("x"), F.col("n").alias("x_n"), F.col("label").alias("x_label"))
+    for turn in range(MEETINGS):
+        named, largest = _apart(lists, labels, turn)
+        met = named.join(largest.where(F.col("rows") >= LONG).select("shingle", "top", "one"), "shingle").where("label != top")
+        met = met.where(_fits("n", "one.n", percent)).select(F.col("entity").alias("a"), F.col("one.entity").alias("b"))
+        met = written(met.distinct(), "meetings")
+        if met.isEmpty():
+            break
+        links = links.unionByName(_links(texts, entities, met, percent))
+        labels = components(links)
+
+    named, largest = _apart(lists, labels, MEETINGS)
+    apart = written(named.join(largest.select("shingle", "top", "rows"), "shingle"), "apart")
+    outside = apart.where("label != top")
+    # short lists: pairs, which must share enough of the prefixes, counted over short lists
+    left = outside.where(F.col("rows") < LONG)
+    left = left.select("shingle", "top", F.col("entity").alias("x"), F.col("n").alias("x_n"), F.col("label").alias("x_label"))
     right = named.select("shingle", F.col("entity").alias("y"), F.col("n").alias("y_n"), F.col("label").alias("y_label"))
     rest = left.join(right, "shingle").where("x_label != y_label").where(_fits("x_n", "y_n", percent))
-    rest = rest.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+    rest = rest.where("y_label = top or x < y")  # each pair once in a list
+    rest = rest.groupBy(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).agg(
+        F.count("*").alias("met"), F.max(F.greatest("x_n", "y_n")).alias("n")
+    )
+    asked = F.ceil(F.col("n") * percent / 100)  # of the larger set
+    rest = rest.where(F.col("met") >= F.least(F.lit(SHARED), asked)).select("a", "b")
     more = _links(texts, entities, rest, percent)
+    # long lists: those outside the largest component go to the shards that hold members of the list
+    long = apart.where(F.col("rows") >= LONG)
+    if not long.isEmpty():
+        shard = _shard(entities, long.select(F.col("entity").alias("member")).distinct(), "entity")
+        places = long.select("shingle", shard).distinct()
+        asked = outside.where(F.col("rows") >= LONG).select("shingle", "entity").join(places, "shingle").select("shard", "entity").distinct()
+        held = long.select(shard, F.col("entity").alias("member")).distinct()
+        more = more.unionByName(_searched(texts, entities, asked, held, percent, LONG_BLOCK_SHINGLES))
     final = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more))
 
     own = rows.join(final.withColumnRenamed("node", "entity"), "entity", "left")
     own = own.withColumn("label", F.when(F.col("n") > 0, F.coalesce("label", "entity")))
     names = own.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     return own.join(names, "label", "left").select(
-        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "entity", "text_hash"
+        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.col("label").alias("component"), "text_hash"
     )
+
+
+def one_of_each(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows, with all columns, of one document of each component: that of the smallest id, then text hash.
+
+    Documents without words all stay; of repeated rows (same id and text) one stays.
+    """
+    groups = written(near_groups(docs, percent, id_col, text_col).where("component is not null"), "components")
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
+    first = groups.groupBy("component").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last")
+    gone = groups.join(first.select("component", "first"), "component").where(place != F.col("first"))
+    gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct()
+    again = groups.groupBy(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).count().where("count > 1").drop("count")
+    text_hash = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("gone_id")) & (text_hash == F.col("gone_hash"))
+    kept = docs.join(gone, same, "left_anti")
+    if again.isEmpty():
+        return kept
+    again = written(again, "repeated-rows")
+    extra = kept.join(again, same, "left_semi").dropDuplicates([id_col, text_col])
+    return kept.join(again, same, "left_anti").unionByName(extra)
