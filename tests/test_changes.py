@@ -64,3 +64,24 @@ def test_stream(spark, tmp_path):
         late.selectExpr("*", f"timestamp'{hour}' AS arrived_at").write.mode("append").parquet(source)
     assert run() == [("a.js", "misconfig.eval", 1), ("b.js", "misconfig.eval", 2), ("c.js", "misconfig.eval", 1)]
     assert {r.path: r.in_source for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"a.js": False, "b.js": False, "c.js": True}
+
+
+def test_a_restricted_scan_moves_no_content(spark, corpus_of, monkeypatch):
+    from wardlake.plans import scan as S
+
+    files = corpus_of({"a.js": "eval(a)", "b.js": "eval(b)", "c.js": "f()"})
+    changed = spark.createDataFrame([("r", "b.js", "modified"), ("r", "c.js", "added")], "repo string, path string, change string")
+    monkeypatch.setattr(S, "apply_suppressions", lambda findings, *rest: findings)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for limit in (10, 1):
+            monkeypatch.setattr(S, "BROADCAST_FILES", limit)
+            result = S.scan(files, changed=changed)
+            assert [(r.path, r.rule_id) for r in result.findings.collect()] == [("b.js", "misconfig.eval")]
+            assert {r.path for r in result.scanned.collect()} == {"b.js", "c.js"}
+            for frame in (result.findings, result.scanned):
+                plan = frame._jdf.queryExecution().executedPlan().toString()
+                assert not any("content" in line for line in plan.split("\n") if "Exchange" in line)
+                assert limit == 1 or "Exchange hashpartitioning" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

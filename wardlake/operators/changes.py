@@ -47,9 +47,18 @@ def changed_files(base: DataFrame, head: DataFrame) -> DataFrame:
     )
 
 
-def only_changed(files: DataFrame, changed: DataFrame) -> DataFrame:
-    """The files of the head snapshot that changed."""
-    return files.join(changed.select("repo", "path"), ["repo", "path"], "left_semi")
+#: Changed files that are broadcast, at most.
+BROADCAST_FILES = 1_000_000
+
+
+def only_changed(rows: DataFrame, changed: DataFrame, few: bool = False) -> DataFrame:
+    """The rows (files, or findings in them) of the head snapshot whose file changed.
+
+    ``few`` says that there are no more changed files than BROADCAST_FILES; they are then
+    broadcast and the rows are not moved. Otherwise pass rows without content.
+    """
+    names = changed.select("repo", "path")
+    return rows.join(F.broadcast(names) if few else names, ["repo", "path"], "left_semi")
 
 
 def dependency_gate(changed: DataFrame) -> DataFrame:

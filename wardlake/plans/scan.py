@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from wardlake.operators.changes import changed_files, dependency_gate, env_gate, only_changed, open_repos
+from wardlake.operators.changes import BROADCAST_FILES, changed_files, dependency_gate, env_gate, only_changed, open_repos
 from wardlake.operators.code_rules import CODE_RULES, FALLBACK_RULES
 from wardlake.operators.dependencies import advisory_matches, dependency_findings, resolved_dependencies
 from wardlake.operators.docker import DOCKER_RULES
@@ -53,14 +53,19 @@ def scan(
 
     A restricted scan runs the dependency check for repositories with a changed
     manifest, and reports all committed environment files of those where one changed.
-    Files above ``max_file_bytes``, if that is set, are not scanned; ``sources.corpus.oversized``
+    Neither moves file content: a list of few changed files is broadcast, a longer one is
+    compared with the findings. Files above ``max_file_bytes``, if that is set, are not scanned; ``sources.corpus.oversized``
     lists them. Dependencies are resolved once and kept in the shared folder. Set ``salts``
     to about the number of tasks that the findings of one repository should spread over.
     """
     scanned = scanned_files(files, options.include_test_dirs, options.exclude_dirs, options.max_file_bytes)
-    if changed is not None:
-        scanned = only_changed(scanned, changed)
+    few = changed is not None and changed.limit(BROADCAST_FILES + 1).count() <= BROADCAST_FILES
+    if few:
+        scanned = only_changed(scanned, changed, few)
     findings = scan_lines(scanned, options.rules)
+    if changed is not None and not few:
+        # scanning all files costs less than moving the text of a large part of them
+        scanned, findings = only_changed(scanned.drop("content"), changed), only_changed(findings, changed)
     if advisories is not None and not options.skip_dependencies:
         dependencies = resolved_dependencies(files)
         if changed is not None:
