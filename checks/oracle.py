@@ -226,8 +226,8 @@ BINDINGS = {
     "require_names": r"(?:const|let|var)\s*\{([^{}]*\}\s*=\s*require\s*\(\s*['\"]child_process['\"]\s*\)\s*\.?)",
     "require_whole": r"(?:const|let|var)\s+([\w$]+\s*=\s*require\s*\(\s*['\"]child_process['\"]\s*\)(?:\s*\.\s*[\w$]+)?\s*[.(\[]?)",
 }
-CALL = (
-    r'[^\w$.](?:[\w$]+\s*\??\.\s*)?(?:execSync|exec)\s*\(\s*'
+SITE = (
+    r'^(?:[\w$]+\s*\??\.\s*)?(?:execSync|exec)\s*\(\s*'
     r'(?:""\s*[,)]|""\s*$|\)|""\s*[^\s,)]|[^\s"])'
 )
 FIXED = r'(?:\(\s*""\s*[,)]?|\(\s*\)|\(\s*[0-9])$'
@@ -301,26 +301,75 @@ def secret(rule: Rule, lines: str) -> str:
 
 
 PLAIN_CODE = "is_code AND NOT comment"
-_tls = (
-    count("' ' || line", r"[^\w$.'\"]rejectUnauthorized\s*:\s*false(?:[^\w$]|$)")
-    + " + "
-    + count(
-        "line",
-        r"(?:\.\s*NODE_TLS_REJECT_UNAUTHORIZED|\[\s*['\"]NODE_TLS_REJECT_UNAUTHORIZED['\"]\s*\])\s*=\s*(?:'0'|\"0\"|0)(?:[^\w.'\"]|$)",
-    )
-)
 _weak = (
     r"([\w$]+)['\"]?\s*(?::\s*[A-Za-z_][\w.<>]*\s*)?(?::|[-+*/%&|^]?=)\s*Math\s*\.\s*random\s*\([^()]*\)\s*(?:[;,})\]]|$)"
 )
 COUNTED = {
-    code_rules.EVAL: count(f"' ' || replace({MASKED}, '(', '((')", r"[^\w$.]eval\s*\("),
-    code_rules.NEW_FUNCTION: count(f"' ' || {MASKED}", r"[^\w$.]new\s+Function\s*\("),
-    code_rules.TLS: _tls,
-    code_rules.CORS: count(
-        "' ' || line", r"[^\w$.]cors\s*\(\s*\{(?:[^}]*[\s,])?origin\s*:\s*['\"]\*['\"]"
-    ),
     code_rules.WEAK_RANDOM: f"len(list_filter(regexp_extract_all(line, {q(_weak)}, 1), lambda x: regexp_matches(x, '(?i){SENSITIVE}')))",
 }
+TOKEN = (
+    r'(?s)"(?:[^"\\\n]|\\.)*"'
+    r"|'(?:[^'\\\n]|\\.)*'"
+    r"|`(?:[^`\\$]|\\.|\$+[^`{\\$]|\$+\\.)*\$*`"
+    r"|//[^\n]*|/\*.*?\*/"
+    r"|[^\"'`/]+|."
+)
+# What must stand before, and the construct; which text it is looked for in.
+CONSTRUCTS = {
+    code_rules.EVAL: ("replace(masked, '(', '((')", r"([^\w$.])(eval\s*\()"),
+    code_rules.NEW_FUNCTION: ("masked", r"([^\w$.])(new\s+Function\s*\()"),
+    code_rules.EXEC: ("masked", r"([^\w$.])((?:[\w$]+\s*\??\.\s*)?(?:execSync|exec)\s*\()"),
+    code_rules.TLS: ("bare", r"([^\w$.'\"])(rejectUnauthorized\s*:\s*false(?:[^\w$]|$))"),
+    code_rules.CORS: ("bare", r"([^\w$.])(cors\s*\(\s*\{(?:[^}]*[\s,])?origin\s*:\s*['\"]\*['\"])"),
+}
+TLS_VARIABLE = (
+    r"()((?:\.\s*NODE_TLS_REJECT_UNAUTHORIZED|\[\s*['\"]NODE_TLS_REJECT_UNAUTHORIZED['\"]\s*\])"
+    r"\s*=\s*(?:'0'|\"0\"|0)(?:[^\w.'\"]|$))"
+)
+
+
+def newlines(text: str) -> str:
+    return f"(length({text}) - length(replace({text}, chr(10), '')))"
+
+
+def code_of(source: str) -> str:
+    """The code files with any construct's literal, masked as a whole; line breaks stay."""
+    blank = f"'\"\"' || repeat(chr(10), {newlines('t')})"
+    comment = "starts_with(t, '//') OR starts_with(t, '/*')"
+    text = "(length(t) > 1 AND left(t, 1) IN ('\"', chr(39), '`'))"
+    kept = r"regexp_full_match(t, '.[\w$*]+.')"
+    return f"""
+SELECT repo, path, array_to_string(list_transform(ts, lambda t: CASE WHEN {comment} OR {text} THEN {blank} ELSE t END), '') AS masked,
+  array_to_string(list_transform(ts, lambda t: CASE WHEN {comment} OR ({text} AND NOT {kept}) THEN {blank} ELSE t END), '') AS bare
+FROM (SELECT repo, path, regexp_extract_all(replace(content, chr(13) || chr(10), chr(10)), {q(TOKEN)}) AS ts FROM {source}
+  WHERE is_code AND regexp_matches(content, 'eval|Function|exec|cors|(?i:unauthorized)'))"""
+
+
+def starts(code: str, text: str, pattern: str) -> str:
+    """A row for every construct: the line it begins on, and the text from there on."""
+    marked = f"regexp_replace(' ' || {text}, {q(pattern)}, '\\1' || chr(1) || '\\2', 'g')"
+    before = "OVER (PARTITION BY repo, path ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    return f"""(SELECT * FROM (SELECT repo, path, k, site, CAST(1 + sum({newlines("site")}) {before} AS BIGINT) AS line_no
+  FROM (SELECT repo, path, unnest(ss) AS site, generate_subscripts(ss, 1) AS k
+    FROM (SELECT repo, path, string_split({marked}, chr(1)) AS ss FROM {code}))) WHERE k > 1)"""
+
+
+def construct(rule: Rule, suffix: str) -> str:
+    text, pattern = CONSTRUCTS[rule]
+    found = f"SELECT repo, path, line_no, site FROM {starts(f'code{suffix}', text, pattern)}"
+    if rule == code_rules.TLS:
+        found += f" UNION ALL SELECT repo, path, line_no, site FROM {starts(f'code{suffix}', text, TLS_VARIABLE)}"
+    if rule == code_rules.EXEC:
+        found = f"SELECT repo, path, line_no, regexp_extract(site, {q(SITE)}) AS site FROM ({found})"
+        owner = r"regexp_extract(site, '([\w$]+)\s*\??\.\s*(?:execSync|exec)\s*\(', 1)"
+        function = r"regexp_extract(site, '(execSync|exec)\s*\(', 1)"
+        found = f"""SELECT * FROM ({found}) l WHERE site <> '' AND NOT regexp_matches(site, {q(FIXED)}) AND EXISTS (SELECT 1 FROM bindings{suffix} b
+        WHERE b.repo = l.repo AND b.path = l.path AND CASE WHEN {owner} <> '' THEN b.kind = 'namespace' AND b.name = {owner}
+          ELSE b.kind = 'direct' AND b.name = {function} END)"""
+    lines = f"(SELECT l.*, c.many FROM lines{suffix} l JOIN (SELECT repo, path, line_no, count(*) AS many FROM ({found}) GROUP BY ALL) c USING (repo, path, line_no))"
+    return counted(rule, "many", "is_code", lines)
+
+
 _plain_url = q("['\"]http://[^'\"]+['\"]")
 MATCHING = {
     code_rules.INSECURE_HTTP: f"len(list_filter(regexp_extract_all(line, {_plain_url}), lambda x: NOT regexp_matches(x, '^.http://(localhost|127\\.0\\.0\\.1)'))) > 0",
@@ -341,18 +390,6 @@ MATCHING = {
 }
 
 
-def exec_calls(lines: str, bindings: str) -> str:
-    rule = code_rules.EXEC
-    columns = described(rule) % ("CAST(line_no AS INTEGER)", EXCERPT, "o")
-    owner = r"regexp_extract(site, '([\w$]+)\s*\??\.\s*(?:execSync|exec)\s*\(', 1)"
-    function = r"regexp_extract(site, '(execSync|exec)\s*\(', 1)"
-    return f"""SELECT {columns} FROM (SELECT *, unnest(ss) AS site, generate_subscripts(ss, 1) AS o
-      FROM (SELECT *, regexp_extract_all(' ' || {MASKED}, {q(CALL)}) AS ss FROM {lines} WHERE {PLAIN_CODE})) l
-      WHERE NOT regexp_matches(site, {q(FIXED)}) AND EXISTS (SELECT 1 FROM {bindings} b
-        WHERE b.repo = l.repo AND b.path = l.path AND CASE WHEN {owner} <> '' THEN b.kind = 'namespace' AND b.name = {owner}
-          ELSE b.kind = 'direct' AND b.name = {function} END)"""
-
-
 IMAGE = f"regexp_extract({trim('line')}, {q(rf'(?i)^FROM{W}+(?:--{NW}+{W}+)*({NW}+)')}, 1)"
 WHO = f"split_part(regexp_extract({trim('line')}, {q(rf'(?i)^USER{W}+({NW}+)')}, 1), ':', 1)"
 PLAIN_USER = (
@@ -429,6 +466,8 @@ def rule_sql(rule: Rule, suffix: str) -> str:
     lines, bindings, stages = f"lines{suffix}", f"bindings{suffix}", f"stages{suffix}"
     if rule in SECRET_PATTERNS:
         return secret(rule, lines)
+    if rule in CONSTRUCTS:
+        return construct(rule, suffix)
     if rule in COUNTED:
         return counted(rule, COUNTED[rule], PLAIN_CODE, lines)
     if rule in MATCHING:
@@ -437,7 +476,6 @@ def rule_sql(rule: Rule, suffix: str) -> str:
         pattern = q(r"(?i)\b(?:fixme|todo)\b|[0-9]{4,}")
         return matching(rule, f"regexp_matches(line, {pattern})", "TRUE", lines)
     special = {
-        code_rules.EXEC: lambda: exec_calls(lines, bindings),
         docker.LATEST_TAG: lambda: latest_tag(lines),
         docker.ROOT_USER: lambda: root_user(stages),
         docker.ENV_SECRET: lambda: env_secret(lines),
@@ -458,6 +496,7 @@ def scan_ctes(suffix: str, source: str, keep: str = SCANNED) -> None:
     CTES[f"routed{suffix}"] = routed(source)
     CTES[f"scanned{suffix}"] = f"SELECT * FROM routed{suffix} WHERE {keep}"
     CTES[f"lines{suffix}"] = lines_of(f"scanned{suffix}")
+    CTES[f"code{suffix}"] = code_of(f"scanned{suffix}")
     CTES[f"bindings{suffix}"] = bindings_of(f"scanned{suffix}")
     CTES[f"stages{suffix}"] = stages_of(f"lines{suffix}")
     CTES[f"directives{suffix}"] = (

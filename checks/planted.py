@@ -116,6 +116,15 @@ KINDS = {
             'app.use(cors({ origin: "https://a.example" }));',
             'x.cors({ origin: "*" });',
             "app.use(cors({ credentials: true, origin: '*' }));",
+            "app.use(cors({",
+            "  credentials: true,",
+            '  origin: "*",',
+            "}));",
+            "f(); // cors({ origin: '*' })",
+            "const s = 'cors({ origin: \"*\" })';",
+            "g({ // rejectUnauthorized: false",
+            "  rejectUnauthorized:",
+            "    false });",
         ),
     ),
     11: Kind(
@@ -140,7 +149,26 @@ KINDS = {
     ),
     13: Kind(
         "src/ns{n}.js",
-        ('import * as cp from "child_process";', "cp.exec(cmd);", 'cp.execSync("ls");', "run(cp.execSync(cmd));"),
+        (
+            'import * as cp from "child_process";',
+            "cp.exec(cmd);",
+            'cp.execSync("ls");',
+            "run(cp.execSync(cmd));",
+            "cp.exec(",
+            "  cmd,",
+            ");",
+            "cp.exec(",
+            '  "ls"',
+            ");",
+            "/* cp.exec(cmd)",
+            "   eval(c)",
+            "*/ eval(d",
+            ");",
+            "const t = `",
+            "eval(e) `;",
+            "const n = 2",
+            "  * eval(f);",
+        ),
     ),
     14: Kind(
         "src/mem{n}.js",

@@ -40,7 +40,11 @@ CASES = {
     "eval3.js": ("math.eval(x); retrieval(x); $eval(x)", []),
     "eval4.js": ("eval(eval(x)); eval(y)", [(EVAL, 1)] * 3),
     "eval5.js": ("const s = 'eval(x)'; // eval(y)", []),
-    "eval6.js": ("/* eval(x) */ f();\n * eval(y)\n// eval(z)", []),
+    "eval6.js": ("/* eval(x) */ f();\n/*\n * eval(y)\n */\n// eval(z)", []),
+    "eval10.js": ("const n = 2\n * eval(y)", [(EVAL, 2)]),
+    "eval11.js": ("const t = `\n eval(x)`;\n/* eval(y)\n*/ eval(z)", [(EVAL, 4)]),
+    "eval12.js": ("eval(\r\n  x);\r\nf(); eval\n(y)", [(EVAL, 1), (EVAL, 3)]),
+    "eval13.js": ("it's a note\neval(x)", [(EVAL, 2)]),
     "eval7.js": ('const u = "http:/" + "/x"; eval(u)', [(EVAL, 1)]),
     "eval8.JS": ("eval(x)", []),
     "eval9.json": ("eval(x)", []),
@@ -59,7 +63,8 @@ CASES = {
     "exec10.js": ("const { exec: run } = require('child_process');\nrun(cmd); exec(cmd)", []),
     "exec11.js": ("import { exec as run } from 'child_process'\nrun(cmd)", []),
     "exec12.js": ("const { exec } = require('node:child_process');\nexec(cmd)", []),
-    "exec13.js": (REQUIRE + "exec(\n  cmd)", []),
+    "exec13.js": (REQUIRE + "exec(\n  cmd)", [(EXEC, 2)]),
+    "exec16.js": (REQUIRE + "exec(\n  'ls'\n)", []),
     "exec14.js": (REQUIRE + 'exec("ls"\n  , cb); exec(`cost $5`)', []),
     "exec15.js": ("const s = require('child_process').spawn;\nexec(cmd)", []),
     # TLS, CORS, randomness, URLs
@@ -69,6 +74,9 @@ CASES = {
     "tls4.ts": ("process.env.NODE_TLS_REJECT_UNAUTHORIZED = 0;", [(TLS, 1)]),
     "tls5.ts": ("process.env.NODE_TLS_REJECT_UNAUTHORIZED = '1';", []),
     "cors1.js": ("app.use(cors({ origin: '*' }))", [(CORS, 1)]),
+    "cors3.js": ("app.use(cors({\n  credentials: true,\n  origin: '*',\n}))", [(CORS, 1)]),
+    "cors4.js": ("f(); // cors({ origin: '*' })\nconst s = \"cors({ origin: '*' })\";", []),
+    "tls6.ts": ("g({ // rejectUnauthorized: false\n  rejectUnauthorized:\n    false })", [(TLS, 2)]),
     "cors2.js": ("app.use(cors({ origin: 'https://a' })); x.cors({ origin: '*' }); cors()", []),
     "rnd1.js": ("const authToken = Math.random();", [(RANDOM, 1)]),
     "rnd2.js": ("const x = Math.random(); const token = Math.random().toString(36);", []),

@@ -94,3 +94,57 @@ MASK = (
 def mask_code(line: Column) -> Column:
     """A code line with strings and comments replaced by an empty string literal."""
     return F.regexp_replace(line, MASK, '""')
+
+
+# A whole source as tokens: strings of one line, templates without ${...}, comments, and
+# what lies between. A quote that isn't closed stands alone.
+_TOKEN = (
+    r'(?s)"(?:[^"\\\n]|\\.)*+"'
+    r"|'(?:[^'\\\n]|\\.)*+'"
+    r"|`(?:[^`\\$]|\\.|\$+[^`{\\$]|\$+\\.)*+\$*`"
+    r"|//[^\n]*+"
+    r"|/\*.*?\*/"
+    r"|[^\"'`/]++"
+    r"|."
+)
+_MARK = "\x01"
+
+
+def newlines(text: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+
+
+def mask_source(content: Column, keep: str | None = None) -> Column:
+    """A whole source with strings and comments replaced by an empty string literal.
+
+    Line breaks stay, so lines keep their numbers. Strings whose text matches ``keep`` stay too.
+    """
+    tokens = F.regexp_extract_all(F.replace(content, F.lit("\r\n"), F.lit("\n")), F.lit(_TOKEN), F.lit(0))
+
+    def masked(token: Column) -> Column:
+        comment = token.startswith("//") | token.startswith("/*")
+        text = F.substring(token, 1, 1).isin('"', "'", "`") & (F.length(token) > 1)
+        if keep is not None:
+            text = text & ~token.rlike(f"^.{keep}.\\z")
+        return F.when(comment | text, F.concat(F.lit('""'), F.repeat(F.lit("\n"), newlines(token)))).otherwise(token)
+
+    return F.array_join(F.transform(tokens, masked), "")
+
+
+def construct_lines(code: Column, pattern: str, wanted: Callable[[Column], Column] | None = None) -> Column:
+    """The line on which each construct of a source begins, in order.
+
+    ``pattern`` has two groups: what must stand before, and the construct. ``wanted`` is a
+    condition on the text from the construct on.
+    """
+    marked = F.regexp_replace(F.concat(F.lit(" "), code), pattern, f"$1{_MARK}$2")
+    pieces = F.split(marked, _MARK, -1)
+
+    def step(state: Column, piece: Column) -> Column:
+        found = F.array(state["line"])
+        if wanted is not None:
+            found = F.when(wanted(piece), found).otherwise(F.array().cast("array<int>"))
+        return F.struct((state["line"] + newlines(piece)).alias("line"), F.concat(state["lines"], found).alias("lines"))
+
+    start = F.struct((newlines(F.get(pieces, F.lit(0))) + 1).alias("line"), F.array().cast("array<int>").alias("lines"))
+    return F.aggregate(F.slice(pieces, F.lit(2), F.size(pieces)), start, step, lambda state: state["lines"])

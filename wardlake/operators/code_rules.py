@@ -3,9 +3,10 @@
 Each rule comes in two modes. ``structural`` (the default) asks for the construct: text
 in strings and comments is masked, identifiers are matched whole, every occurrence
 counts and shell calls must be bound to ``child_process``. ``fallback`` is the plain
-line pattern that is meant for sources no parser accepts. There is no parser here, so a
-construct that is spread over several lines is not seen in structural mode; the lines
-inside a block comment are recognised by their leading ``*``.
+line pattern that is meant for sources no parser accepts. There is no parser here: strings,
+templates and comments are masked over the whole source, and a construct may be spread over
+several lines; it is reported on the line on which it begins. Assigned random values and
+plain URLs are looked for line by line, where lines that begin with ``*`` count as comment.
 """
 
 from __future__ import annotations
@@ -13,9 +14,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from wardlake.functions.text import DOT, LEFT, RIGHT, S, excerpt
-from wardlake.operators.exec_calls import EXEC_FACTS, MODULE, dynamic_calls
-from wardlake.operators.rules import Context, Rule, once, pattern_rule, repeated
+from wardlake.functions.text import DOT, LEFT, RIGHT, S, construct_lines, excerpt, mask_source
+from wardlake.operators.exec_calls import EXEC_LINES, MODULE
+from wardlake.operators.rules import Context, Fact, Rule, once, pattern_rule, repeated
 
 # Ids, titles and remediation texts of the reports.
 _EVAL = dict(
@@ -67,14 +68,17 @@ _INSECURE_HTTP = dict(
 # Fixed value: words that make an assigned name security-sensitive.
 _SENSITIVE = "token|secret|password|otp|nonce|salt"
 
-_EVAL_CALL = r"[^\w$.]eval\s*\("
-_NEW_FUNCTION_CALL = r"[^\w$.]new\s+Function\s*\("
-_TLS_PROPERTY = r"[^\w$.'\"]rejectUnauthorized\s*:\s*false(?:[^\w$]|\z)"
+# What must stand before, and the construct.
+_EVAL_CALL = r"([^\w$.])(eval\s*\()"
+_NEW_FUNCTION_CALL = r"([^\w$.])(new\s+Function\s*\()"
+_TLS_PROPERTY = r"([^\w$.'\"])(rejectUnauthorized\s*:\s*false(?:[^\w$]|\z))"
 _TLS_VARIABLE = (
-    r"(?:\.\s*NODE_TLS_REJECT_UNAUTHORIZED|\[\s*['\"]NODE_TLS_REJECT_UNAUTHORIZED['\"]\s*\])"
-    r"\s*=\s*(?:'0'|\"0\"|0)(?:[^\w.'\"]|\z)"
+    r"()((?:\.\s*NODE_TLS_REJECT_UNAUTHORIZED|\[\s*['\"]NODE_TLS_REJECT_UNAUTHORIZED['\"]\s*\])"
+    r"\s*=\s*(?:'0'|\"0\"|0)(?:[^\w.'\"]|\z))"
 )
-_CORS_CALL = r"[^\w$.]cors\s*\(\s*\{(?:[^}]*[\s,])?origin\s*:\s*['\"]\*['\"]"
+_CORS_CALL = r"([^\w$.])(cors\s*\(\s*\{(?:[^}]*[\s,])?origin\s*:\s*['\"]\*['\"])"
+# Strings that say something to these constructs: names, numbers and the wildcard.
+_TELLING = r"[\w$*]+"
 _RANDOM_ASSIGNED = (
     r"([\w$]+)['\"]?\s*(?::\s*[A-Za-z_][\w.<>]*\s*)?(?::|[-+*/%&|^]?=)\s*"
     r"Math\s*\.\s*random\s*\([^()]*\)\s*(?:[;,})\]]|\z)"
@@ -82,44 +86,43 @@ _RANDOM_ASSIGNED = (
 _PLAIN_URL = r"['\"]http://(?!localhost|127\.0\.0\.1)[^'\"]+['\"]"
 
 
-def _count(text: Column, pattern: str) -> Column:
-    return F.regexp_count(F.concat(F.lit(" "), text), F.lit(pattern))
-
-
 def _rule(meta: dict, hits, check_order: int, **options) -> Rule:
     return Rule(
         category="misconfig",
         hits=hits,
         scope="code",
-        skip_comments=True,
         check_order=check_order,
-        **meta,
-        **options,
+        **{"skip_comments": True, **meta, **options},
     )
 
 
-def _eval_hits(c: Context) -> Column:
-    # A doubled parenthesis keeps the one before a nested call for that call's own match.
-    doubled = F.replace(c.masked, F.lit("("), F.lit("(("))
-    return repeated(excerpt(c.line), _count(doubled, _EVAL_CALL))
+def _construct(meta: dict, fact: Fact, check_order: int, **options) -> Rule:
+    """A rule whose hits are the lines that a fact about the file lists."""
+
+    def hits(c: Context) -> Column:
+        here = F.filter(c.fact(fact.name), lambda line: line == c.line_no)
+        return repeated(excerpt(c.line), F.size(here))
 
+    return _rule(meta, hits, check_order, skip_comments=False, facts=(fact,), **options)
 
-def _new_function_hits(c: Context) -> Column:
-    return repeated(excerpt(c.line), _count(c.masked, _NEW_FUNCTION_CALL))
 
+def _eval_lines(content: Column, lines: Column) -> Column:
+    # A doubled parenthesis keeps the one before a nested call for that call's own match.
+    return construct_lines(F.replace(mask_source(content), F.lit("("), F.lit("((")), _EVAL_CALL)
 
-def _exec_hits(c: Context) -> Column:
-    calls = dynamic_calls(c.masked, c.fact("exec_direct"), c.fact("exec_namespaces"))
-    return repeated(excerpt(c.line), F.size(calls))
 
+def _new_function_lines(content: Column, lines: Column) -> Column:
+    return construct_lines(mask_source(content), _NEW_FUNCTION_CALL)
 
-def _tls_hits(c: Context) -> Column:
-    found = _count(c.line, _TLS_PROPERTY) + F.regexp_count(c.line, F.lit(_TLS_VARIABLE))
-    return repeated(excerpt(c.line), found)
 
+def _tls_lines(content: Column, lines: Column) -> Column:
+    named = F.lower(content).contains("unauthorized")
+    code = mask_source(F.when(named, content), _TELLING)
+    return F.concat(construct_lines(code, _TLS_PROPERTY), construct_lines(code, _TLS_VARIABLE))
 
-def _cors_hits(c: Context) -> Column:
-    return repeated(excerpt(c.line), _count(c.line, _CORS_CALL))
+
+def _cors_lines(content: Column, lines: Column) -> Column:
+    return construct_lines(mask_source(content, _TELLING), _CORS_CALL)
 
 
 def _weak_random_hits(c: Context) -> Column:
@@ -132,13 +135,15 @@ def _insecure_http_hits(c: Context) -> Column:
     return once(c.line.rlike(_PLAIN_URL), excerpt(c.line))
 
 
-EVAL = _rule(_EVAL, _eval_hits, 20, triggers=("eval",))
-NEW_FUNCTION = _rule(_NEW_FUNCTION, _new_function_hits, 21, triggers=("Function",))
-EXEC = _rule(_EXEC, _exec_hits, 22, triggers=("exec",), needs=MODULE, facts=EXEC_FACTS)
+EVAL = _construct(_EVAL, Fact("eval_lines", "code", _eval_lines, needs="eval"), 20, triggers=("eval",))
+NEW_FUNCTION = _construct(
+    _NEW_FUNCTION, Fact("function_lines", "code", _new_function_lines, needs="Function"), 21, triggers=("Function",)
+)
+EXEC = _construct(_EXEC, EXEC_LINES, 22, triggers=("exec",), needs=MODULE)
 # Both spellings, rejectUnauthorized and NODE_TLS_REJECT_UNAUTHORIZED, in one search.
 _TLS_NAMES = ("unauthorized",)
-TLS = _rule(_TLS, _tls_hits, 23, any_case_triggers=_TLS_NAMES)
-CORS = _rule(_CORS, _cors_hits, 24, triggers=("cors",))
+TLS = _construct(_TLS, Fact("tls_lines", "code", _tls_lines), 23, any_case_triggers=_TLS_NAMES)
+CORS = _construct(_CORS, Fact("cors_lines", "code", _cors_lines, needs="cors"), 24, triggers=("cors",))
 WEAK_RANDOM = _rule(_WEAK_RANDOM, _weak_random_hits, 25, triggers=("random",))
 INSECURE_HTTP = _rule(_INSECURE_HTTP, _insecure_http_hits, 26, triggers=("http://",))
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wardlake.functions.text import bind, construct_lines, mask_source
 from wardlake.operators.rules import Fact
 from wardlake.sources.corpus import route
 
@@ -22,8 +23,9 @@ _REQUIRE_NAMES = rf"(?:const|let|var)\s*\{{([^{{}}]*\}}\s*=\s*{_REQUIRE}\s*\.?)"
 _REQUIRE_WHOLE = rf"(?:const|let|var)\s+([\w$]+\s*=\s*{_REQUIRE}(?:\s*\.\s*[\w$]+)?\s*[.(\[]?)"
 
 # A call of exec or execSync in masked code, up to what tells its first argument.
-_CALL = (
-    r'[^\w$.](?:[\w$]+\s*\??\.\s*)?(?:execSync|exec)\s*\(\s*'
+_CALL = r"([^\w$.])((?:[\w$]+\s*\??\.\s*)?(?:execSync|exec)\s*\()"
+_SITE = (
+    r'^(?:[\w$]+\s*\??\.\s*)?(?:execSync|exec)\s*\(\s*'
     r'(?:""\s*[,)]|""\s*\z|\)|""\s*[^\s,)]|[^\s"])'
 )
 _FIXED_ARGUMENT = r'(?:\(\s*""\s*[,)]?|\(\s*\)|\(\s*[0-9])\z'
@@ -66,25 +68,30 @@ def namespace_bindings(content: Column) -> Column:
     return F.array_distinct(_named(F.concat(_all(content, _IMPORT_WHOLE), required)))
 
 
-EXEC_FACTS = (
-    Fact("exec_direct", "code", lambda content, lines: direct_bindings(content), needs=MODULE),
-    Fact("exec_namespaces", "code", lambda content, lines: namespace_bindings(content), needs=MODULE),
-)
-
-
-def dynamic_calls(masked: Column, direct: Column, namespaces: Column) -> Column:
-    """Call sites on a line whose name is bound and whose argument is not fixed text."""
-    sites = F.regexp_extract_all(F.concat(F.lit(" "), masked), F.lit(_CALL), F.lit(0))
+def dynamic_call_lines(content: Column, direct: Column, namespaces: Column) -> Column:
+    """Lines of the calls whose name is bound and whose first argument is not fixed text."""
 
-    def flagged(site: Column) -> Column:
+    def flagged(text: Column) -> Column:
+        site = F.regexp_extract(text, _SITE, 0)
         owner = F.regexp_extract(site, r"([\w$]+)\s*\??\.\s*(?:execSync|exec)\s*\(", 1)
         function = F.regexp_extract(site, r"(execSync|exec)\s*\(", 1)
         bound = F.when(owner != "", F.array_contains(namespaces, owner)).otherwise(
             F.array_contains(direct, function)
         )
-        return bound & ~site.rlike(_FIXED_ARGUMENT)
+        return (site != "") & bound & ~site.rlike(_FIXED_ARGUMENT)
 
-    return F.filter(sites, flagged)
+    return construct_lines(mask_source(content), _CALL, flagged)
+
+
+EXEC_LINES = Fact(
+    "exec_lines",
+    "code",
+    lambda content, lines: bind(
+        direct_bindings(content),
+        lambda direct: bind(namespace_bindings(content), lambda spaces: dynamic_call_lines(content, direct, spaces)),
+    ),
+    needs=MODULE,
+)
 
 
 def exec_bindings(files: DataFrame) -> DataFrame:
