@@ -73,7 +73,7 @@ def texts(rng):
         yield rng.choice([" ", "  ", "\n"]).join(rng.choice(words) for _ in range(rng.randint(1, 60)))
 
 
-@pytest.mark.parametrize("block_chars", [24_000_000, 300])
+@pytest.mark.parametrize("block_chars", [30_000_000, 300])
 def test_against_a_plain_trie(spark, block_chars):
     docs = list(enumerate(texts(random.Random(3)))) + [(2, "again"), (None, "no id")]
     frame = spark.createDataFrame([(*d, "clash", "clash") for d in docs], "doc_id long, text string, block string, held_out string")

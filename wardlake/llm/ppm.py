@@ -37,7 +37,7 @@ from wardlake.session import shared_folder, written
 
 ORDER = 5
 #: Characters of a block, about.
-BLOCK_CHARS = 24_000_000
+BLOCK_CHARS = 30_000_000
 #: Grams that a task resolves together, about.
 RESOLVED = 400_000
 _LOW_MASK = (1 << 8 * (LOW + 1)) - 1
@@ -70,13 +70,15 @@ def _blocked(docs: DataFrame, limit: int) -> DataFrame:
 
 
 class _Tally:
-    """Distinct grams and words of one block with their counts among the documents that are learned from."""
+    """Distinct grams and words of one block with their counts among the documents that are learned from.
+
+    Grams are settled every few texts into one sorted list, so that a block's grams are never held whole.
+    """
 
     def __init__(self, order: int):
         self.order = order
         self.words: Counter[bytes] = Counter()
-        self.keys: list[np.ndarray] = []
-        self.counts: list[np.ndarray] = []
+        self.keys, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.waiting: dict[bool, list[np.ndarray]] = {False: [], True: []}
         self.size = 0
 
@@ -92,19 +94,19 @@ class _Tally:
         for learn, waiting in self.waiting.items():
             if waiting:
                 keys, counts = np.unique(np.concatenate(waiting), return_counts=True)
-                self.keys.append(keys)
-                self.counts.append(counts * learn)
                 waiting.clear()
+                keys, counts = np.concatenate([self.keys, keys]), np.concatenate([self.counts, counts * learn])
+                order = np.argsort(keys, kind="stable")  # two sorted runs
+                keys, counts = keys[order], counts[order]
+                first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+                self.keys, self.counts = keys[first], np.add.reduceat(counts, first)
         self.size = 0
 
     def rows(self) -> tuple[np.ndarray, np.ndarray]:
         self.settle()
-        words = [word_keys(list(self.words)), np.fromiter(self.words.values(), np.int64, len(self.words))]
-        if not self.keys:
-            return words[0], words[1]
-        keys, inverse = np.unique(np.concatenate(self.keys), return_inverse=True)
-        counts = np.bincount(inverse, np.concatenate(self.counts), len(keys)).astype(np.int64)
-        return np.concatenate([keys, words[0]]), np.concatenate([counts, words[1]])
+        words = word_keys(list(self.words))
+        counts = np.fromiter(self.words.values(), np.int64, len(self.words))
+        return np.concatenate([self.keys, words]), np.concatenate([self.counts, counts])
 
 
 def _tallied(blocked: DataFrame, order: int) -> DataFrame:
@@ -122,12 +124,13 @@ def _tallied(blocked: DataFrame, order: int) -> DataFrame:
                 )
 
         for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("block", "text", "held_out")), strict=True)
-            for block, text, held_out in rows:
-                if block != current:
-                    yield from out()
-                    current, tally = block, _Tally(order)
-                tally.add(text.encode("utf-8", "surrogatepass").lower(), not held_out)
+            for part in blocks(batch, "text"):
+                rows = zip(*(part.column(c).to_pylist() for c in ("block", "text", "held_out")), strict=True)
+                for block, text, held_out in rows:
+                    if block != current:
+                        yield from out()
+                        current, tally = block, _Tally(order)
+                    tally.add(text.encode("utf-8", "surrogatepass").lower(), not held_out)
         yield from out()
 
     return blocked.select("block", "text", "held_out").mapInArrow(run, "block long, key long, count long")
@@ -221,7 +224,7 @@ def _scored(blocked: DataFrame, mine: DataFrame, order: int) -> DataFrame:
         for doc_id, held_out, text in zip(docs.column("doc_id").to_pylist(), flags, docs.column("text"), strict=True):
             raw = text.as_py().encode("utf-8", "surrogatepass").lower()
             words = raw.split()
-            new = list(set(words) - known_logs.keys())
+            new = [w for w in set(words) if w not in known_logs]
             known_logs.update(zip(new, np.log10(counts.get(word_keys(new), 0.0) + 1).tolist(), strict=True))
             logs = np.fromiter(map(known_logs.__getitem__, words), float, len(words))
             own = grams(raw, order)
