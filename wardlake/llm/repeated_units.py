@@ -10,9 +10,11 @@ original text.
 Lines that fall short of ``least_words``, such as headings or closing words, are no
 units and stay. A line that loses all of its text goes with its line break.
 
-Digests are aggregated before they are shuffled, so a unit that a third of all documents
-share costs each task one row; joining the repeated ones back is left to a join whose
-skewed partitions are split. Only ids and digests take part, not the texts.
+What a text has itself before is cut where the text is read; only the first unit of each
+digest in a text takes part in the grouping. Digests are aggregated before they are
+shuffled, so a unit that a third of all documents share costs each task one row; joining
+the repeated ones back is left to a join whose skewed partitions are split. Only ids and
+digests take part, not the texts.
 
 Defined results: null text is empty; an empty text stays as it is; repeated rows (same id
 and text) are one document and stay alike; a null id ranks first; an empty table gives
@@ -31,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardlake.llm.common import blocks, id_and_text
+from wardlake.session import written
 
 LEAST_WORDS = 8
 #: Units that a task holds as Python objects before it hands them on.
@@ -61,6 +64,19 @@ def units(text: str, least_words: int = LEAST_WORDS) -> Iterator[tuple[int, int,
         at += len(line) + 1
 
 
+def first_and_again(text: str, least_words: int) -> tuple[list[tuple[int, int, bytes]], list[tuple[int, int]]]:
+    """The units whose digest the text has for the first time, and the spans of those that it has again."""
+    seen: set[bytes] = set()
+    first, again = [], []
+    for start, end, digest in units(text, least_words):
+        if digest in seen:
+            again.append((start, end))
+        else:
+            seen.add(digest)
+            first.append((start, end, digest))
+    return first, again
+
+
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for start, end in sorted(spans):
@@ -91,7 +107,7 @@ def cut(text: str, spans: list[tuple[int, int]]) -> tuple[str, list[tuple[int, i
 
 
 def _spans(docs: DataFrame, least_words: int, id_col: str, text_col: str) -> DataFrame:
-    """``_gone_id``, ``_gone_hash`` (of the text) and ``_gone_spans``: what each document loses."""
+    """``_gone_id``, ``_gone_hash`` (of the text) and ``_gone_spans``: what each document loses to earlier ones."""
     texts = id_and_text(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,7 +125,7 @@ def _spans(docs: DataFrame, least_words: int, id_col: str, text_col: str) -> Dat
             for part in blocks(batch, "text"):
                 own = zip(*(part.column(c).to_pylist() for c in ("doc_id", "text_hash", "text")), strict=True)
                 for doc_id, text_hash, text in own:
-                    for start, end, digest in units(text, least_words):
+                    for start, end, digest in first_and_again(text, least_words)[0]:
                         rows.append((doc_id, text_hash, start, end, digest))
                         if len(rows) >= HELD:
                             yield out(rows)
@@ -120,7 +136,8 @@ def _spans(docs: DataFrame, least_words: int, id_col: str, text_col: str) -> Dat
     found = texts.mapInArrow(run, "doc_id long, text_hash long, start int, end int, high long, low long")
     place = F.struct("doc_id", "text_hash", "start")
     first = found.groupBy("high", "low").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    repeated = first.where(F.col("first") != F.col("last")).select("high", "low", "first")
+    # kept in the shared folder, so that the join below has two plain sides and can split a hot digest
+    repeated = written(first.where(F.col("first") != F.col("last")).select("high", "low", "first"), "repeated-units")
     gone = found.join(repeated, ["high", "low"]).where(~place.eqNullSafe(F.col("first")))
     spans = gone.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     return spans.select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_hash"), F.col("spans").alias("_gone_spans"))
@@ -143,7 +160,8 @@ def without_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, id_col: str
             for part in blocks(batch, text_col):
                 texts_left, removed = [], []
                 for own, gone in zip(part.column(text_col).to_pylist(), part.column(named).to_pylist(), strict=True):
-                    left, gone_spans = cut(own, [(s["start"], s["end"]) for s in gone or ()])
+                    again = first_and_again(own, least_words)[1]
+                    left, gone_spans = cut(own, again + [(s["start"], s["end"]) for s in gone or ()])
                     texts_left.append(left)
                     removed.append([{"start": a, "end": b} for a, b in gone_spans])
                 new = {text_col: pa.array(texts_left, pa.string()), named: pa.array(removed, kind)}
