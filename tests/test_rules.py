@@ -45,6 +45,10 @@ CASES = {
     "eval11.js": ("const t = `\n eval(x)`;\n/* eval(y)\n*/ eval(z)", [(EVAL, 4)]),
     "eval12.js": ("eval(\r\n  x);\r\nf(); eval\n(y)", [(EVAL, 1), (EVAL, 3)]),
     "eval13.js": ("it's a note\neval(x)", [(EVAL, 2)]),
+    "eval14.js": ("const a = `x ${y}`;\neval(z);\nconst b = `w ${q}`;", [(EVAL, 2)]),
+    "eval15.js": ("const u = `http://h/${p}`; eval(z)", [(EVAL, 1)]),
+    "eval16.js": ("s = `eval(a)\n${f(`eval(b) ${eval(c)}`, 'eval(d) }')} eval(e)\n${{k: {l: `${eval(g)}`}}}`; eval(h)", [(EVAL, 2), (EVAL, 3), (EVAL, 3)]),
+    "eval17.js": ("s.replace(/`/g, ''); eval(x);\nt.split( /[/`]/ ); eval(y)\nz = a / b; eval(c) / d", [(EVAL, 1), (EVAL, 2), (EVAL, 3)]),
     "eval7.js": ('const u = "http:/" + "/x"; eval(u)', [(EVAL, 1)]),
     "eval8.JS": ("eval(x)", []),
     "eval9.json": ("eval(x)", []),
@@ -54,6 +58,7 @@ CASES = {
     "exec1.js": (REQUIRE + "exec(cmd)", [(EXEC, 2)]),
     "exec2.js": (REQUIRE + "exec('ls'); exec(\"ls\", cb); exec(`ls`); exec()", []),
     "exec3.js": (REQUIRE + "exec(`ls ${d}`); execSync('ls ' + d)", [(EXEC, 2)] * 2),
+    "exec15.js": (REQUIRE + "exec(`ls ${a}`)\nf()\nexec(`rm ${b}`)", [(EXEC, 2), (EXEC, 4)]),
     "exec4.js": ("exec(cmd); re.exec(cmd)", []),
     "exec5.js": ("import { execSync } from 'child_process'\nexecSync(cmd)\nexec(cmd)", [(EXEC, 2)]),
     "exec6.js": ("import * as cp from 'child_process'\ncp.exec(cmd); other.exec(cmd)", [(EXEC, 2)]),
