@@ -93,6 +93,28 @@ def test_against_all_pairs(spark, monkeypatch, seed):
     assert got(J.near_groups(frame)) == plain(docs)
 
 
+@pytest.mark.parametrize("broadcast_ids", [0, J.BROADCAST_IDS])
+def test_sets_of_copies_are_moved_once(spark, monkeypatch, broadcast_ids):
+    """Copies, some with the same id and some without, and a near copy of them."""
+    words = [f"w{i}" for i in range(100)]
+    text, near = " ".join(words), " ".join(words[:-1])
+    docs = [(i, text) for i in range(50)] + [(7, text)] * 20 + [(None, near)] * 20 + [(99, "other words")]
+    sets = []
+
+    def recorded(frame, name, written=J.written):
+        out = written(frame, name)
+        if name == "shingle-sets":
+            sets.append(out)
+        return out
+
+    monkeypatch.setattr(J, "written", recorded)
+    monkeypatch.setattr(J, "BROADCAST_IDS", broadcast_ids)
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    assert got(J.near_groups(frame)) == plain(docs)
+    assert sorted(r.n for r in sets[-1].collect()) in ([], [95, 96]) and any(s.count() == 2 for s in sets)
+    assert max(s.count() for s in sets) <= 2 + 2 * 4  # a copy for each task at most
+
+
 def test_empty_table_and_lone_rows(spark):
     frame = spark.createDataFrame([(1, None), (2, "a b")], "doc_id long, text string")
     assert got(J.near_groups(frame.limit(0))) == []

@@ -9,7 +9,7 @@ So that not every document meets every index shard, a document is only sent wher
 have a partner:
 
 * Documents with equal sets are one entity, known by its set's hash; copies are never
-  expanded into pairs.
+  expanded into pairs, and the set of only one of them is moved.
 * Two sets that reach the threshold share SHARED shingles (or as many as the threshold
   asks of small ones) among the first n - ceil(t n) + SHARED of each, in any order that
   all documents share. Frequent shingles come last in it. Any order gives the same links,
@@ -246,18 +246,35 @@ def _fits(a: str, b: str, percent: int):
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``entity``, ``n`` and ``shingles`` (binary) of the wanted entities, from a text of each."""
+    """``entity``, ``n`` and ``shingles`` (binary), once for each of the wanted rows (doc_id, text_hash), one of each entity.
+
+    Repeated rows are left out in tasks, and between tasks by an aggregate of those alone.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             for part in blocks(batch, "text"):
-                own = [shingle_set(t) for t in part.column("text").to_pylist()]
+                own = []
+                for text_hash, text in zip(part.column("text_hash").to_pylist(), part.column("text").to_pylist(), strict=True):
+                    if text_hash not in seen:
+                        seen.add(text_hash)
+                        own.append(shingle_set(text))
+                if len(seen) > 1_000_000:
+                    seen.clear()
                 columns = [pa.array([entity_of(s) for s in own], pa.int64()), pa.array([len(s) for s in own], pa.int32()), pa.array([s.tobytes() for s in own], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["entity", "n", "shingles"])
 
-    few = wanted.count() <= BROADCAST_IDS
-    texts = docs.join(F.broadcast(wanted) if few else wanted, "text_hash", "left_semi").select("text")
-    return texts.mapInArrow(run, "entity long, n int, shingles binary")
+    many = wanted.count()
+    wanted = wanted.select(F.col("doc_id").alias("own_id"), F.col("text_hash").alias("own_hash"))
+    same = F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("text_hash") == F.col("own_hash"))
+    texts = docs.join(F.broadcast(wanted) if many <= BROADCAST_IDS else wanted, same, "left_semi").select("text_hash", "text")
+    sets = written(texts.mapInArrow(run, "entity long, n int, shingles binary"), "shingle-sets")
+    if sets.count() == many:
+        return sets
+    again = written(sets.groupBy("entity").count().where("count > 1").select("entity"), "repeated-sets")
+    once = sets.join(again, "entity", "left_semi").groupBy("entity").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"))
+    return written(sets.join(again, "entity", "left_anti").unionByName(once), "shingle-sets")
 
 
 def _links(docs: DataFrame, entities: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
@@ -295,8 +312,8 @@ def _searched(docs: DataFrame, entities: DataFrame, asked: DataFrame, held: Data
     """All pairs (a, b) of an asked entity and a held member of the same shard that reach the threshold."""
     asked, held = written(asked, "asked"), written(held, "held")
     ends = asked.select("entity").unionByName(held.select(F.col("member").alias("entity"))).distinct()
-    wanted = written(entities.join(ends, "entity").select("text_hash").distinct(), "wanted-texts")
-    sets = written(_sets(docs, wanted), "shingle-sets")
+    wanted = written(entities.join(ends, "entity").select("doc_id", "text_hash").distinct(), "wanted-texts")
+    sets = _sets(docs, wanted)
     held_sets = sets.select(F.col("entity").alias("member"), F.col("shingles").alias("member_shingles"))
     weights = asked.join(entities.select("entity", "n"), "entity").groupBy("shard")
     many = weights.agg(F.ceil(F.sum("n") / block_shingles).cast("int").alias("blocks"))
@@ -347,8 +364,10 @@ def near_groups(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text
     counted = written(_counted(texts), "shingle-counts")
     frequent = spark.sparkContext.broadcast(_frequent(counted))  # at most FREQUENT shingles
     rows = counted.where("n is not null").select("doc_id", "text_hash", "n", "entity", "bins")
-    entities = rows.where("n > 0").groupBy("entity", "n").agg(F.min("text_hash").alias("text_hash"), F.first("bins").alias("bins"))
-    entities = written(entities, "entities")
+    # one row stands for all copies; only its text is fetched
+    own = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("own")
+    entities = rows.where("n > 0").groupBy("entity", "n").agg(own, F.first("bins").alias("bins"))
+    entities = written(entities.select("entity", "n", "own.doc_id", "own.text_hash", "bins"), "entities")
     prefixes = written(_prefixes(texts, frequent, percent), "prefixes")
     lists = written(_shared(prefixes), "shared-shingles")
     # a first try: documents that have the same first entity in two lists
