@@ -8,8 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlake.llm import byte_bpe, chat, edit_embedding, jaccard_join, packing, ppm, quality, repeated_units, toxicity, vector_graph
+from wardlake.llm import binary_packing, byte_bpe, chat, edit_embedding, jaccard_join, merkle, packing, ppm, quality, repeated_units, toxicity
+from wardlake.llm import vector_graph, whitening
 from wardlake.llm.common import held_out, table
+from wardlake.llm.oracle import ORACLE_SQL as ORACLE_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -69,6 +71,22 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(given.unionByName(extra)))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op12_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    return binary_packing.summary(binary_packing.decompose(table(spark, sf_dir, "documents"), vocabulary))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    without_breaks = F.replace("text", F.lit("\n"), F.lit(""))
+    tampered = F.when(F.coalesce(~held_out("doc_id", 2, 0), F.lit(True)) | F.col("doc_id").isNull(), F.col("text")).otherwise(without_breaks)
+    return merkle.checked(merkle.manifest(docs, claimed=tampered))
+
+
 QUERIES: dict[str, Query] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_edit_embedding": op2_edit_embedding,
@@ -80,6 +98,7 @@ QUERIES: dict[str, Query] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_quality": op9_quality,
     "op10_chat_formatting": op10_chat_formatting,
+    "op11_whitening": op11_whitening,
+    "op12_binary_packing": op12_binary_packing,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
-
-ORACLE_SQL: dict[str, str] = {}
