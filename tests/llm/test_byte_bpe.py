@@ -1,6 +1,8 @@
 import base64
 import hashlib
+import itertools
 import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -51,6 +53,59 @@ def test_both_trees_agree():
             assert merges._one(word) == merges.pieces([word])[0]
 
 
+@pytest.fixture(scope="module")
+def merges():
+    with open(RANKS, "rb") as file:
+        return byte_bpe.Merges(file.read(), public_tokenizers.PATTERN)
+
+
+def hard_texts():
+    chance = random.Random(4)
+    pick = lambda letters, n: "".join(chance.choice(letters) for _ in range(n))
+    yield "han", "".join(chr(chance.randint(0x4E00, 0x9FA5)) for _ in range(60_000))
+    yield "common han", pick("的一是不了人我在有他这中大来上国", 60_000)
+    yield "kana", "".join(chr(chance.randint(0x3041, 0x3096)) for _ in range(60_000))
+    yield "base64", base64.b64encode(chance.randbytes(120_000)).decode()
+    yield "addresses", " ".join("https://ex.com/" + pick("abcdefghijklmnop/-_%20", 600) for _ in range(300))
+    yield "letters", pick("etaoinshrdlu", 150_000)
+    yield "marks", pick("!@#$%^&*()_+-=[]{}|;:,.<>?/~", 150_000)
+
+
+def test_long_pieces_keep_pace(merges, reference):
+    """Texts that are one piece, or few, take at most three times as long per byte as words
+    between spaces; common letters without any space, which hardly ever can be cut, six times."""
+    chance = random.Random(3)
+    english = " ".join("".join(chance.choice("etaoinshrdlu") for _ in range(chance.randint(2, 9))) for _ in range(40_000))
+
+    def pace(text):
+        merges.seen.clear()
+        start = time.process_time()
+        ids = merges.encode([text])[0]
+        took = time.process_time() - start
+        assert np.frombuffer(ids, "<u4").tolist() == reference.encode_ordinary(text)
+        return took / len(text.encode())
+
+    usual = min(pace(english) for _ in range(2))
+    for name, text in hard_texts():
+        assert min(pace(text) for _ in range(2)) < (6 if name == "letters" else 3) * usual, name
+    for run in ("=" * 20_000, " " * 20_000, "ab" * 10_000):
+        pace(run)
+
+
+def test_no_token_reaches_over_a_cut(merges):
+    chance = random.Random(6)
+    tokens = [t for t in merges.rank if len(t) > 1]
+    for _ in range(300):
+        word = b"".join(chance.choice(tokens) for _ in range(12))
+        parts = merges.parts(word)
+        assert b"".join(parts) == word
+        cuts = set(itertools.accumulate(map(len, parts[:-1])))
+        for start in range(len(word)):
+            for end in range(start + 2, min(len(word), start + 20) + 1):
+                if word[start:end] in merges.rank:
+                    assert not cuts & set(range(start + 1, end))
+
+
 def test_empty_table(spark):
     rows = spark.createDataFrame([], "doc_id long, text string")
     assert byte_bpe.encode(rows, RANKS, public_tokenizers.PATTERN).count() == 0

@@ -6,6 +6,11 @@ three leaves (the pair's, the swallowed one's and the left neighbour's), so it c
 logarithmic number of node updates. Short pieces go through their trees in lockstep, one
 numpy row per piece; longer ones use one tree each.
 
+A long piece (a script without spaces, base64, an address) is first cut where no token
+of the vocabulary can reach across: a token over the cut would hold the two bytes beside
+it alone, or with the one before or after. No merge crosses such a place, so the parts'
+ids are the piece's ids, and nearly all parts are short.
+
 Defined results: null text is empty; empty text has no ids; repeated rows are encoded
 each; nothing is ever special, so control strings in a text are ordinary text.
 """
@@ -24,10 +29,14 @@ from pyspark.sql import functions as F
 
 from wardlake.llm.common import blocks, id_and_text
 
-#: Pieces whose ids a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 300_000
+#: Pieces whose ids a worker remembers, and their characters; beyond it the memory starts anew.
+REMEMBERED, REMEMBERED_CHARS = 300_000, 16_000_000
+#: Longer pieces (in bytes) are cut before they are merged.
+CUT = 24
 #: Pieces of up to so many bytes are merged in lockstep.
-LOCKSTEP = 64
+LOCKSTEP = 512
+#: Leaves of the trees that go in lockstep at once.
+LEAVES = 1 << 19
 #: Matches of a long text that are held at once.
 MATCHES = 200_000
 _NONE = np.int64(1) << 40
@@ -47,6 +56,13 @@ class Merges:
                 left, right = self.rank.get(token[:cut]), self.rank.get(token[cut:])
                 if left is not None and right is not None:
                     pairs[left << 32 | right] = rank
+        self.pair_of = pairs
+        self.two, self.three = np.zeros(1 << 16, bool), np.zeros(1 << 24, bool)
+        for token in self.rank:
+            if len(token) == 2:
+                self.two[token[0] << 8 | token[1]] = True
+            for a, b, c in zip(token, token[1:], token[2:]):
+                self.three[a << 16 | b << 8 | c] = True
         keys = np.fromiter(pairs, np.int64, len(pairs))
         order = np.argsort(keys)
         self.pair_keys = np.append(keys[order], np.iinfo(np.int64).max)
@@ -55,6 +71,7 @@ class Merges:
         if (self.byte_ids < 0).any():
             raise ValueError("the ranks must hold every single byte")
         self.seen: dict[str, bytes] = {}
+        self.seen_chars = 0
 
     def pair(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of the merge of each pair, ``_NONE`` where there is none or an id is missing (-1)."""
@@ -63,8 +80,27 @@ class Merges:
         at = np.searchsorted(self.pair_keys, key)
         return np.where(self.pair_keys[at] == key, self.pair_ranks[at], _NONE)
 
+    def parts(self, word: bytes) -> list[bytes]:
+        """``word`` cut at every place that no token can reach across."""
+        b = np.frombuffer(word, np.uint8).astype(np.int32)
+        two = b[:-1] << 8 | b[1:]
+        three = self.three[two[:-1] << 8 | b[2:]]
+        reach = self.two[two]
+        reach[1:] |= three
+        reach[:-1] |= three
+        cuts = [0, *(np.flatnonzero(~reach) + 1).tolist(), len(word)]
+        return [word[x:y] for x, y in zip(cuts, cuts[1:])]
+
     def pieces(self, words: list[bytes]) -> list[bytes]:
         """The ids of each piece, as little-endian unsigned 32-bit integers."""
+        cut = {word: self.parts(word) for word in words if len(word) > CUT and word not in self.rank}
+        if not cut:
+            return self._merged(words)
+        own = list(set().union(*cut.values(), (word for word in words if word not in cut)))
+        ids = dict(zip(own, self._merged(own), strict=True))
+        return [b"".join([ids[p] for p in cut[word]]) if word in cut else ids[word] for word in words]
+
+    def _merged(self, words: list[bytes]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(words)
         classes: dict[int, list[int]] = {}
         for i, word in enumerate(words):
@@ -76,8 +112,13 @@ class Merges:
             else:
                 classes.setdefault(max(2, 1 << (len(word) - 1).bit_length()), []).append(i)
         for size, members in classes.items():
-            for at in range(0, len(members), 20_000):
-                part = members[at : at + 20_000]
+            if len(members) * 64 < size:  # too few to be worth a numpy step for each merge
+                for i in members:
+                    out[i] = self._one(words[i])
+                continue
+            step = max(1, LEAVES // size)
+            for at in range(0, len(members), step):
+                part = members[at : at + step]
                 for i, ids in zip(part, self._lockstep([words[k] for k in part], size), strict=True):
                     out[i] = ids
         return out  # type: ignore[return-value]
@@ -131,42 +172,46 @@ class Merges:
             size >>= 1
 
     def _one(self, word: bytes) -> bytes:
-        """The same merges for one long piece."""
+        """The same merges for one long piece; a node is rank * size + place, a change goes up while it changes nodes."""
         count = len(word)
         size = 1 << (count - 1).bit_length()
-        none = (int(_NONE), 0)
+        none = int(_NONE) * size
         start = self.byte_ids[np.frombuffer(word, np.uint8)]
         ids = [*start.tolist(), -1]
-        ranks = np.append(self.pair(start[:-1], start[1:]), _NONE).tolist()
-        tree = [none] * size + [(r, i) if r < _NONE else none for i, r in enumerate(ranks)] + [none] * (size - count)
-        for node in range(size - 1, 0, -1):
-            tree[node] = min(tree[2 * node], tree[2 * node + 1])
-        pairs = dict(zip(self.pair_keys.tolist(), self.pair_ranks.tolist(), strict=True))
+        ranks = self.pair(start[:-1], start[1:])
+        level = np.full(size, none, np.int64)
+        level[: count - 1] = np.where(ranks < _NONE, ranks * size + np.arange(count - 1), none)
+        levels = [level]
+        while len(level) > 1:
+            level = np.minimum(level[::2], level[1::2])
+            levels.append(level)
+        tree = [none, *np.concatenate(levels[::-1]).tolist()]
+        pairs = self.pair_of.get
         after, before = list(range(1, count + 2)), list(range(-1, count))
 
-        def put(leaf: int, right: int) -> None:
-            rank = pairs.get(ids[leaf] << 32 | ids[right], none[0]) if right < count else none[0]
+        def put(leaf: int, rank: int | None) -> None:
             node = size + leaf
-            tree[node] = (rank, leaf) if rank < none[0] else none
-            while node > 1:
+            value = none if rank is None else rank * size + leaf
+            while tree[node] != value:
+                tree[node] = value
+                if node == 1:
+                    break
+                other = tree[node ^ 1]
+                if other < value:
+                    value = other
                 node >>= 1
-                tree[node] = min(tree[2 * node], tree[2 * node + 1])
 
         while tree[1] < none:
-            rank, at = tree[1]
+            rank, at = divmod(tree[1], size)
             gone = after[at]
+            far = after[at] = after[gone]
             ids[at], ids[gone] = rank, -1
-            after[at] = after[gone]
-            if after[at] < count:
-                before[after[at]] = at
-            node = size + gone
-            tree[node] = none
-            while node > 1:
-                node >>= 1
-                tree[node] = min(tree[2 * node], tree[2 * node + 1])
-            put(at, after[at])
-            if before[at] >= 0:
-                put(before[at], at)
+            before[far] = at
+            put(gone, None)
+            put(at, pairs(rank << 32 | ids[far]) if far < count else None)
+            left = before[at]
+            if left >= 0:
+                put(left, pairs(ids[left] << 32 | rank))
         return np.array([i for i in ids if i >= 0], "<u4").tobytes()
 
     def _ids(self, found: list[str]) -> bytes:
@@ -174,9 +219,11 @@ class Merges:
         return b"".join([seen[p] for p in found])
 
     def _learn(self, wanted: set[str]) -> None:
-        if len(self.seen) + len(wanted) > REMEMBERED:
+        if len(self.seen) + len(wanted) > REMEMBERED or self.seen_chars > REMEMBERED_CHARS:
             self.seen.clear()
+            self.seen_chars = 0
         new = [p for p in wanted if p not in self.seen]
+        self.seen_chars += sum(map(len, new))
         self.seen.update(zip(new, self.pieces([p.encode("utf-8", "surrogatepass") for p in new]), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
