@@ -167,3 +167,11 @@ def test_components(spark):
     rows = components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert {r.node: r.label for r in rows} == {i: root(i) for a, b in edges if a != b for i in (a, b)}
     assert len(rows) == len({r.node for r in rows})
+
+
+def test_one_of_each_with_columns_of_any_names(spark):
+    names = ["gone_id", "gone_hash", "gone_id_2", "a.b", "component"]
+    text = "one two three four five six seven"
+    frame = spark.createDataFrame([(i, text, *names) for i in (1, 1, 2, 3)], ["doc_id", "text", *names])
+    kept = J.one_of_each(frame)
+    assert kept.columns == ["doc_id", "text", *names] and [r.doc_id for r in kept.collect()] == [1]

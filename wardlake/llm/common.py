@@ -26,6 +26,16 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
+def unused(name: str, columns: list[str], *others: str) -> str:
+    """``name``, or the first of ``others``, or the last of these with a number, that no column has (in any case)."""
+    taken = {c.lower() for c in columns}
+    names = (name, *others)
+    for candidate in (*names, *(f"{names[-1]}_{k}" for k in range(2, len(taken) + 3))):
+        if candidate.lower() not in taken:
+            return candidate
+    raise ValueError("no name is left")
+
+
 def fold(key: str | Column, parts: int) -> Column:
     """The fold of a row: crc32 of its key as text, modulo ``parts`` (null key: null)."""
     column = F.col(key) if isinstance(key, str) else key
@@ -37,7 +47,13 @@ def held_out(key: str | Column, parts: int, remainder: int) -> Column:
     return F.coalesce(fold(key, parts) == remainder, F.lit(False))
 
 
-def blocks(batch: pa.RecordBatch, column: str, limit: int = BLOCK_CHARS) -> Iterator[pa.RecordBatch]:
+def mapped(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """``mapInArrow`` that keeps the schema, for columns of any names: batches name them by place."""
+    plain = rows.toDF(*(f"c{k}" for k in range(len(rows.columns))))
+    return plain.mapInArrow(run, plain.schema).toDF(*rows.columns)
+
+
+def blocks(batch: pa.RecordBatch, column: str | int, limit: int = BLOCK_CHARS) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about ``limit`` bytes of ``column`` each; a longer value stands alone."""
     if not batch.num_rows:
         return
@@ -57,10 +73,12 @@ def keep_rows(docs: DataFrame, scorer: Callable[[], Callable[[list[str]], np.nda
     ``scorer`` makes, in a task, the function from texts to scores.
     """
 
+    text_at = docs.columns.index(text_col)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = scorer()
         for batch in batches:
-            for part in blocks(batch, text_col):
-                yield part.filter(pa.array(keep(score([t or "" for t in part.column(text_col).to_pylist()]))))
+            for part in blocks(batch, text_at):
+                yield part.filter(pa.array(keep(score([t or "" for t in part.column(text_at).to_pylist()]))))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run)

@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wardlake.llm.common import blocks, id_and_text
+from wardlake.llm.common import blocks, id_and_text, unused
 from wardlake.llm.components import components
 from wardlake.llm.shingles import shingle_set
 from wardlake.session import written
@@ -428,10 +428,12 @@ def one_of_each(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text
     place = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
     first = groups.groupBy("component").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last")
     gone = groups.join(first.select("component", "first"), "component").where(place != F.col("first"))
-    gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct()
-    again = groups.groupBy(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).count().where("count > 1").drop("count")
+    key, mark = unused("gone_id", docs.columns), unused("gone_hash", docs.columns)
+    named = [F.col("doc_id").alias(key), F.col("text_hash").alias(mark)]
+    gone = gone.select(*named).distinct()
+    again = groups.groupBy(*named).count().where("count > 1").drop("count")
     text_hash = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("gone_id")) & (text_hash == F.col("gone_hash"))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(key)) & (text_hash == F.col(mark))
     kept = docs.join(gone, same, "left_anti")
     if again.isEmpty():
         return kept

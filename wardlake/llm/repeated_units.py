@@ -1,14 +1,27 @@
 """Exact removal of repeated lines and passages by hashing their units.
 
-A text is cut into lines and these into sentences. Each sentence opens a unit: itself
-and, while that has fewer than ``least_words`` words, the sentences after it in its
-line. Units are normalised (lower case, white space as one space), digested to 128 bits
-and grouped over all documents. Of equal units the earliest in rank (doc_id, then place)
-stays; the others are cut out of their texts. Offsets always are code points of the
-original text.
+A text is cut into paragraphs (at blank lines), lines and sentences, and gives these units:
 
-Lines that fall short of ``least_words``, such as headings or closing words, are no
-units and stay. A line that loses all of its text goes with its line break.
+- line units: each sentence of a line opens one, itself and, while that has fewer than
+  ``least_words`` words, the sentences after it in its line; the short rest of a line is
+  taken together with what stands before it, counted from the line's end;
+- paragraph units: a sentence that goes on over a line break, or lies in a line that falls
+  short of ``least_words``, opens one with the sentences after it in its paragraph. Line
+  breaks count as any other white space, so it is the same however the lines are wrapped;
+- parts of long sentences (over ``LONG`` words, as in lists, verse or text without full
+  stops): cuts lie where the hash of a word and the one before is the least among its
+  ``NEAR`` neighbours on either side, so that they are the same wherever the words stand;
+  each cut opens a unit that goes on over the next cuts to ``least_words``, and the rest
+  at the sentence's end is taken with what stands before it.
+
+Words are counted with their length: a letter of a script without spaces is half a word,
+32 characters without white space are a further word. Units are normalised (lower case,
+white space as one space, none between letters of a script without spaces), digested to
+128 bits and grouped over all documents. Of equal units the earliest in rank (doc_id, then
+place) stays; the others are cut out of their texts, but for what overlaps the one that
+stays. Offsets always are code points of the original text. Paragraphs and lines that
+fall short of ``least_words`` altogether, such as headings, stay. A line that loses all of
+its text goes with its line break.
 
 What a text has itself before is cut where the text is read; only the first unit of each
 digest in a text takes part in the grouping. Digests are aggregated before they are
@@ -18,13 +31,14 @@ digests take part, not the texts.
 
 Defined results: null text is empty; an empty text stays as it is; repeated rows (same id
 and text) are one document and stay alike; a null id ranks first; an empty table gives
-an empty result.
+an empty result; columns may have any names.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -32,51 +46,189 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardlake.llm.common import blocks, id_and_text
+from wardlake.llm.common import blocks, id_and_text, mapped, unused
 from wardlake.session import written
 
 LEAST_WORDS = 8
 #: Units that a task holds as Python objects before it hands them on.
 HELD = 100_000
-_SENTENCE = re.compile(r"[^.!?]*(?:[.!?]+\s*|$)")
-
-
-def units(text: str, least_words: int = LEAST_WORDS) -> Iterator[tuple[int, int, bytes]]:
-    """Start, end and digest of every unit, in order of their starts."""
-    at = 0
-    for line in text.split("\n"):
-        spans = []
-        for found in _SENTENCE.finditer(line):
-            if found.end() > found.start():
-                spans.append((found.start(), found.end(), found.group().lower().split()))
-        for i, (start, end, words) in enumerate(spans):
-            if len(words) < least_words:
-                if not words:
-                    continue
+#: Words beyond which a sentence is also cut by its words, and the neighbours that decide on a cut.
+LONG, NEAR = 32, 4
+_SENTENCE = re.compile(r"[^.!?。！？]*(?:[.!?。！？]+\s*|$)")
+_STOPS = ".!?。！？"
+# scripts written without spaces: Thai, Lao, Myanmar, Khmer, kana and Han
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+_LENGTHY = re.compile(r"\S{32}")
+_WORD = re.compile(r"\S+")
+
+
+def _digest(words: list[str]) -> bytes:
+    return xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass"))
+
+
+class Units:
+    """The units of one text; weights are in half words."""
+
+    def __init__(self, text: str, least_words: int = LEAST_WORDS):
+        self.text, self.least = text, 2 * least_words
+        self.unspaced = not text.isascii() and _UNSPACED.search(text) is not None
+        self.lengthy = self.unspaced or _LENGTHY.search(text) is not None
+        self.found: dict[tuple[int, int], bytes] = {}
+
+    def words(self, text: str) -> list[str]:
+        if self.unspaced:
+            text = _UNSPACED.sub(r" \g<0> ", text)
+        return text.lower().split()
+
+    def weight(self, words: list[str]) -> int:
+        if not self.lengthy:
+            return 2 * len(words)
+        return sum(1 if self.unspaced and len(w) == 1 and _UNSPACED.match(w) else 2 + 2 * (len(w) >> 5) for w in words)
+
+    def add(self, start: int, end: int, words: list[str]) -> None:
+        if (start, end) not in self.found:
+            self.found[start, end] = _digest(words)
+
+    def all(self) -> list[tuple[int, int, bytes]]:
+        """Start, end and digest of every unit, in order of their starts."""
+        at, lines = 0, []
+        for line in self.text.split("\n"):
+            pieces = []
+            for found in _SENTENCE.finditer(line):
+                words = self.words(found.group())
+                if words:
+                    pieces.append((at + found.start(), at + found.end(), words, self.weight(words)))
+            if pieces:
+                self.line(pieces)
+                lines.append((pieces, line.rstrip()[-1] in _STOPS))
+            elif lines:
+                self.paragraph(lines)
+                lines = []
+            at += len(line) + 1
+        if lines:
+            self.paragraph(lines)
+        return sorted((start, end, digest) for (start, end), digest in self.found.items())
+
+    def line(self, pieces: list[tuple[int, int, list[str], int]]) -> None:
+        short = False
+        for i, (start, end, words, weight) in enumerate(pieces):
+            if weight < self.least:
                 words = list(words)
-                for _, end, more in spans[i + 1 :]:
+                for _, end, more, further in pieces[i + 1 :]:
                     words += more
-                    if len(words) >= least_words:
+                    weight += further
+                    if weight >= self.least:
                         break
                 else:
-                    continue
-            yield at + start, at + end, xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass"))
-        at += len(line) + 1
+                    short = True
+                    break
+            self.add(start, end, words)
+        if short:
+            self.rest(pieces)
 
+    def rest(self, pieces: list[tuple[int, int, list[str], int]]) -> None:
+        """The fewest last pieces that make a unit."""
+        weight = 0
+        for i in range(len(pieces) - 1, -1, -1):
+            weight += pieces[i][3]
+            if weight >= self.least:
+                self.add(pieces[i][0], pieces[-1][1], [w for p in pieces[i:] for w in p[2]])
+                return
 
-def first_and_again(text: str, least_words: int) -> tuple[list[tuple[int, int, bytes]], list[tuple[int, int]]]:
-    """The units whose digest the text has for the first time, and the spans of those that it has again."""
-    seen: set[bytes] = set()
+    def paragraph(self, lines: list[tuple[list[tuple[int, int, list[str], int]], bool]]) -> None:
+        # sentences over line breaks: start, end, words, weight, whether a line break lies inside, whether their line is short
+        sentences: list[list] = []
+        going = False
+        for pieces, stopped in lines:
+            short = sum(p[3] for p in pieces[:16]) < self.least and len(lines) > 1
+            for start, end, words, weight in pieces:
+                if going:
+                    before = sentences[-1]
+                    if not before[4]:
+                        before[2], before[4] = list(before[2]), True
+                    before[1] = end
+                    before[2] += words
+                    before[3] += weight
+                    going = False
+                else:
+                    sentences.append([start, end, words, weight, False, short])
+            going = not stopped
+        for i, (start, end, words, weight, broken, short) in enumerate(sentences):
+            if weight > 2 * LONG:
+                self.long(start, end)
+            if not broken and not (short and weight < self.least):
+                continue
+            if weight < self.least:
+                words, k = list(words), i
+                while weight < self.least and k + 1 < len(sentences):
+                    k += 1
+                    words += sentences[k][2]
+                    weight += sentences[k][3]
+                if weight < self.least:
+                    self.rest([tuple(s[:4]) for s in sentences[-self.least :]])
+                    break
+                end = sentences[k][1]
+            self.add(start, end, words)
+
+    def long(self, start: int, end: int) -> None:
+        text = self.text[start:end]
+        if self.unspaced:
+            spans = [(m.start() + a, m.start() + b) for m in _WORD.finditer(text) for a, b in self._letters(m.group())]
+            words = [text[a:b].lower() for a, b in spans]
+            starts = [a for a, _ in spans]
+        else:
+            words = text.lower().split()
+            starts = [m.start() for m in _WORD.finditer(text)]
+        if len(words) <= 2 * NEAR:
+            return
+        own = np.fromiter(map(crc32, " ".join(words).encode("utf-8", "surrogatepass").split(b" ")), np.uint64, len(words))
+        value = own * np.uint64(0x9E3779B97F4A7C15)
+        value[1:] ^= own[:-1] * np.uint64(0xC2B2AE3D27D4EB4F)
+        value ^= value >> np.uint64(29)
+        middle = value[NEAR : len(value) - NEAR]
+        least = np.ones(len(middle), bool)
+        for k in range(1, NEAR + 1):
+            least &= middle < value[NEAR - k : len(value) - NEAR - k]
+            least &= middle <= value[NEAR + k : len(value) - NEAR + k]
+        cuts = [0, *(np.flatnonzero(least) + NEAR).tolist(), len(words)]
+        places = [start, *(start + starts[c] for c in cuts[1:-1]), end]
+        parts = [words[a:b] for a, b in zip(cuts, cuts[1:])]
+        self.line([(a, b, part, self.weight(part)) for a, b, part in zip(places, places[1:], parts)])
+
+    @staticmethod
+    def _letters(word: str) -> list[tuple[int, int]]:
+        out, at = [], 0
+        for m in _UNSPACED.finditer(word):
+            if m.start() > at:
+                out.append((at, m.start()))
+            out.append(m.span())
+            at = m.end()
+        return out if at == len(word) else [*out, (at, len(word))]
+
+
+def units(text: str, least_words: int = LEAST_WORDS) -> list[tuple[int, int, bytes]]:
+    return Units(text, least_words).all()
+
+
+def first_and_again(text: str, least_words: int) -> tuple[list[tuple[int, int, bytes]], list[tuple[int, int, int, int]]]:
+    """The units whose digest the text has for the first time; the spans of those that it has again, each with the first's span."""
+    seen: dict[bytes, tuple[int, int]] = {}
     first, again = [], []
     for start, end, digest in units(text, least_words):
         if digest in seen:
-            again.append((start, end))
+            again.append((start, end, *seen[digest]))
         else:
-            seen.add(digest)
+            seen[digest] = (start, end)
             first.append((start, end, digest))
     return first, again
 
 
+def lost(again: list[tuple[int, int, int, int]], gone: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """All spans that go, when ``gone`` of the first ones go: a first one that stays keeps what overlaps it."""
+    taken = set(gone)
+    return gone + [(start, end) for start, end, *first in again if tuple(first) in taken or start >= first[1]]
+
+
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for start, end in sorted(spans):
@@ -135,37 +287,39 @@ def _spans(docs: DataFrame, least_words: int, id_col: str, text_col: str) -> Dat
 
     found = texts.mapInArrow(run, "doc_id long, text_hash long, start int, end int, high long, low long")
     place = F.struct("doc_id", "text_hash", "start")
-    first = found.groupBy("high", "low").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    # a document states each digest once; where only the same row says it twice, nothing goes below
+    first = found.groupBy("high", "low").agg(F.min(place).alias("first"), F.count("*").alias("n"))
     # kept in the shared folder, so that the join below has two plain sides and can split a hot digest
-    repeated = written(first.where(F.col("first") != F.col("last")).select("high", "low", "first"), "repeated-units")
+    repeated = written(first.where("n > 1").select("high", "low", "first"), "repeated-units")
     gone = found.join(repeated, ["high", "low"]).where(~place.eqNullSafe(F.col("first")))
-    spans = gone.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    return spans.select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_hash"), F.col("spans").alias("_gone_spans"))
+    return gone.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
 
 def without_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with all columns, the text as left over (null: empty), and one column more.
 
-    ``removed`` (``removed_spans`` where the name is taken) has the spans of the original text that are gone.
+    ``removed`` (``removed_spans``, ``removed_spans_2`` and so on where the name is taken) has
+    the spans of the original text that are gone.
     """
+    named = unused("removed", docs.columns, "removed_spans")
+    key, mark, gone = (unused(n, docs.columns) for n in ("gone_id", "gone_hash", "gone_spans"))
     spans = _spans(docs, least_words, id_col, text_col)
-    named = "removed" if "removed" not in docs.columns else "removed_spans"
+    spans = spans.select(F.col("doc_id").alias(key), F.col("text_hash").alias(mark), F.col("spans").alias(gone))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_gone_id")) & (F.xxhash64(text) == F.col("_gone_hash"))
-    joined = docs.join(spans, same, "left").select(*[text.alias(c) if c == text_col else docs[c] for c in docs.columns], F.col("_gone_spans").alias(named))
-    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(key)) & (F.xxhash64(text) == F.col(mark))
+    joined = docs.join(spans, same, "left").select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], F.col(gone).alias(named))
+    text_at, kind = docs.columns.index(text_col), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in blocks(batch, text_col):
+            for part in blocks(batch, text_at):
                 texts_left, removed = [], []
-                for own, gone in zip(part.column(text_col).to_pylist(), part.column(named).to_pylist(), strict=True):
+                for own, gone in zip(part.column(text_at).to_pylist(), part.column(part.num_columns - 1).to_pylist(), strict=True):
                     again = first_and_again(own, least_words)[1]
-                    left, gone_spans = cut(own, again + [(s["start"], s["end"]) for s in gone or ()])
+                    left, gone_spans = cut(own, lost(again, [(s["start"], s["end"]) for s in gone or ()]))
                     texts_left.append(left)
                     removed.append([{"start": a, "end": b} for a, b in gone_spans])
-                new = {text_col: pa.array(texts_left, pa.string()), named: pa.array(removed, kind)}
-                names = part.schema.names
-                yield pa.RecordBatch.from_arrays([new.get(c, part.column(c)) for c in names], names)
+                columns = [pa.array(texts_left, pa.string()) if k == text_at else c for k, c in enumerate(part.columns[:-1])]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(removed, kind)], part.schema.names)
 
-    return joined.mapInArrow(apply, joined.schema)
+    return mapped(joined, apply)
