@@ -30,7 +30,7 @@ def test_every_stage_against_a_plain_version(spark, sf_dir):
 
     scores = scored(quality, spark, kept, sf_dir, (4, 2))
     good = written(stages[1](spark, kept, sf_dir), "t")
-    assert rows_of(good) == [r for r in rows_of(kept) if scores[r[0]] >= 0.5]
+    assert rows_of(good) == [r for r in rows_of(kept) if scores[r[0]] >= 0.7]
     assert 0 <= kept.count() - good.count() < 0.3 * kept.count()
 
     components = test_jaccard_join.plain([(r[0], r[1]) for r in rows_of(good)])

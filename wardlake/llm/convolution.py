@@ -91,6 +91,32 @@ class Network:
         features, _ = self.combined(best, counts)
         return 1 / (1 + np.exp(-np.clip(features @ self.top + self.shift, -30, 30).astype(float)))
 
+    def slopes(self, chunks: np.ndarray, index: np.ndarray, counts: np.ndarray, y: np.ndarray, step: int = 256) -> dict[str, np.ndarray]:
+        """The loss's slope by every parameter over some documents; ``index`` has their chunks, ``counts`` of each.
+
+        Chunks go through ``step`` at a time, twice: for the documents' features, then for the slopes.
+        """
+        blocks = [slice(i, i + step) for i in range(0, len(index), step)]
+        best, place = (np.concatenate(parts) for parts in zip(*(self.pooled(chunks[index[b]]) for b in blocks), strict=True))
+        features, _ = self.combined(best, counts)
+        chance = 1 / (1 + np.exp(-np.clip(features @ self.top + self.shift, -30, 30)))
+        slope = ((chance - y) / len(y)).astype(np.float32)
+        from_doc = slope[:, None] * self.top
+        owner = np.repeat(np.arange(len(y)), counts)
+        back = from_doc[owner, :FILTERS] * (best >= features[owner, :FILTERS])
+        back += (from_doc[:, FILTERS:] / counts[:, None])[owner]
+        back *= best > 0
+        filters, table = np.zeros_like(self.filters), np.zeros_like(self.table)
+        for b in blocks:
+            part, answer, at = chunks[index[b]], back[b], place[b]
+            which = self.windows(part)[np.arange(len(part))[:, None], at]  # chunks x filters x inputs
+            filters += np.einsum("cf,cfi->if", answer, which)
+            inputs = (answer[..., None] * self.filters.T).reshape(len(part), FILTERS, WIDTH, CHANNELS)[..., :EMBED]
+            bytes_at = part[np.arange(len(part))[:, None, None], at[..., None] * STRIDE + np.arange(WIDTH)]
+            np.add.at(table, bytes_at.ravel(), inputs.reshape(-1, EMBED))
+        table[0] = 0
+        return {"table": table, "filters": filters, "bias": back.sum(0), "top": features.T @ slope + 1e-4 * self.top, "shift": slope.sum(keepdims=True)}
+
     def fit(self, chunks: np.ndarray, counts: np.ndarray, y: np.ndarray, epochs: int = 5, size: int = 48, rate: float = 0.01) -> Network:
         """Adam on the logistic loss. ``counts`` chunks belong to each row of ``y``."""
         random = np.random.default_rng(11)
@@ -103,25 +129,8 @@ class Network:
                 rows = order[at : at + size]
                 own = counts[rows]
                 index = np.concatenate([np.arange(begin[r], begin[r] + counts[r]) for r in rows])
-                part = chunks[index]
-                best, place = self.pooled(part)
-                features, first = self.combined(best, own)
-                chance = 1 / (1 + np.exp(-np.clip(features @ self.top + self.shift, -30, 30)))
-                slope = ((chance - y[rows]) / len(rows)).astype(np.float32)
-                from_doc = slope[:, None] * self.top
-                owner = np.repeat(np.arange(len(rows)), own)
-                top_of = best >= features[owner, :FILTERS]
-                back = from_doc[owner, :FILTERS] * top_of + (from_doc[:, FILTERS:] / own[:, None])[owner]
-                back *= best > 0
-                which = self.windows(part)[np.arange(len(part))[:, None], place]  # chunks x filters x inputs
-                filters = np.einsum("cf,cfi->if", back, which)
-                inputs = (back[..., None] * self.filters.T).reshape(len(part), FILTERS, WIDTH, CHANNELS)[..., :EMBED]
-                table = np.zeros_like(self.table)
-                bytes_at = part[np.arange(len(part))[:, None, None], place[..., None] * STRIDE + np.arange(WIDTH)]
-                np.add.at(table, bytes_at.ravel(), inputs.reshape(-1, EMBED))
-                table[0] = 0
+                slopes = self.slopes(chunks, index, own, y[rows])
                 moved += 1
-                slopes = {"table": table, "filters": filters, "bias": back.sum(0), "top": features.T @ slope + 1e-4 * self.top, "shift": slope.sum(keepdims=True)}
                 for key, slope_of in slopes.items():
                     mean, square = state[key]
                     mean += 0.1 * (slope_of - mean)
