@@ -9,7 +9,8 @@ change few written characters: edit distance becomes Hamming distance.
 The fingerprint samples ``SLOTS`` times of the walk, over the whole of it, and keeps a
 byte of each written character. The times depend on the walk's length only through
 running minima of a hash, so that texts of nearly equal length share nearly all of them.
-All walks of a block advance together, one character of each text per numpy step.
+The walks of a block advance together, one character of each text per numpy step; where
+fewer than ``FEW`` texts of the block are that long, each goes on alone.
 
 ``linked`` finds like fingerprints: equal ones are one class; bands of sampled slots
 propose pairs, each class with the first of its band's group; the share of agreeing
@@ -39,6 +40,8 @@ PERIOD = 1024  # the coins repeat after so many steps
 CLASSES = 256
 #: Characters whose walks advance together in one task.
 BLOCK = 6_000_000
+#: Walks that are worth a numpy step.
+FEW = 64
 #: Rows in a run of neighbours that one task walks through, on average, and runs at most.
 RUN_ROWS, RUNS = 2_000, 20_000
 
@@ -65,6 +68,7 @@ class Walks:
 
     def __init__(self):
         self.stays = _stays().ravel()
+        self.listed = self.stays.tolist()
         self.best = np.zeros((0, SLOTS), np.int64)
 
     def times(self, length: int) -> np.ndarray:
@@ -80,6 +84,18 @@ class Walks:
         counts = (length - slot + SLOTS - 1) // SLOTS
         return np.where(counts > 0, self.best[np.maximum(counts, 1) - 1, slot] * SLOTS + slot, -1)
 
+    def _alone(self, classes: np.ndarray, ends: np.ndarray, at: int, stop: int, now: int) -> None:
+        """Walks through the characters from ``at`` to ``stop`` of one text."""
+        listed, last = self.listed, PERIOD - 1
+        while at < stop:
+            part = classes[at : min(stop, at + 100_000)].tolist()
+            written = []
+            for c in part:
+                now += listed[c + (now & last)]
+                written.append(now)
+            ends[at : at + len(part)] = written
+            at += len(part)
+
     def fingerprints(self, texts: list[str]) -> np.ndarray:
         """A row of SLOTS bytes for each text; 0 where a slot has no time."""
         out = np.zeros((len(texts), SLOTS), np.uint8)
@@ -94,11 +110,14 @@ class Walks:
         # texts with more than i characters are the first active[i]
         active = len(texts) - np.searchsorted(sizes[::-1], np.arange(sizes[0] if len(sizes) else 0), side="right")
         at = start.copy()
-        for many in active.tolist():
+        together = int(np.searchsorted(-active, 1 - FEW))  # characters that at least FEW texts have
+        for many in active[:together].tolist():
             now, place = time[:many], at[:many]
             now += self.stays[classes[place] + (now & (PERIOD - 1))]
             ends[place] = now
             place += 1
+        for k in range(int(active[together]) if together < len(active) else 0):
+            self._alone(classes, ends, int(start[k]) + together, int(start[k] + sizes[k]), int(time[k]))
         slot = np.arange(SLOTS, dtype=np.uint64)
         for k, i in enumerate(order.tolist()):
             size = int(sizes[k])
