@@ -51,8 +51,9 @@ KINDS = {
             "exec();",
             "execSync(d);",
         ),
+        "// ",
     ),
-    2: Kind("lib/f{n}.js", ("// scanner-ignore: misconfig.eval", "eval(body);", "eval(other);")),
+    2: Kind("lib/f{n}.js", ("// scanner-ignore: misconfig.eval", "eval(body);", "eval(other);"), "// "),
     3: Kind(
         "Dockerfile.{n}",
         (
@@ -76,7 +77,7 @@ KINDS = {
         ),
         "# ",
     ),
-    5: Kind("test/f{n}.js", ("eval(x);",)),
+    5: Kind("test/f{n}.js", ("eval(x);",), "// "),
     6: Kind(
         "src/cfg{n}.js",
         (
@@ -108,6 +109,7 @@ KINDS = {
             "const b = { rejectUnauthorized: true };",
             "f({ rejectUnauthorized: false }, { rejectUnauthorized: false });",
         ),
+        "// ",
     ),
     10: Kind(
         "src/cors{n}.js",
@@ -116,6 +118,9 @@ KINDS = {
             'app.use(cors({ origin: "https://a.example" }));',
             'x.cors({ origin: "*" });',
             "app.use(cors({ credentials: true, origin: '*' }));",
+            "app.use(cors({ headers: { a: 1 }, origin: '*' }));",
+            "app.use(cors({ x: { origin: '*' } }));",
+            "cors({ f() { return [g({ origin: '*' })]; }, a: `${{ origin: '*' }}` });",
             "app.use(cors({",
             "  credentials: true,",
             '  origin: "*",',
@@ -126,6 +131,7 @@ KINDS = {
             "  rejectUnauthorized:",
             "    false });",
         ),
+        "// ",
     ),
     11: Kind(
         "src/rnd{n}.js",
@@ -135,7 +141,12 @@ KINDS = {
             "const salt = Math.random().toString(36);",
             "const o = { nonce: Math.random() };",
             "this.resetPassword = Math.random();",
+            "const otp =",
+            "  Math.random();",
+            "// const secret = Math.random();",
+            'const q = "token = Math.random()";',
         ),
+        "// ",
     ),
     12: Kind(
         "src/eval{n}.js",
@@ -146,6 +157,7 @@ KINDS = {
             "eval(a); eval(eval(b));",
             " * eval(c) in a block comment",
         ),
+        "// ",
     ),
     13: Kind(
         "src/ns{n}.js",
@@ -157,7 +169,7 @@ KINDS = {
             "cp.exec(",
             "  cmd,",
             ");",
-            "cp.exec(",
+            "cp.exec( // fixed",
             '  "ls"',
             ");",
             "/* cp.exec(cmd)",
@@ -169,6 +181,7 @@ KINDS = {
             "const n = 2",
             "  * eval(f);",
         ),
+        "// ",
     ),
     14: Kind(
         "src/mem{n}.js",
@@ -180,6 +193,7 @@ KINDS = {
             "run(cmd);",
             "regex.exec(s);",
         ),
+        "// ",
     ),
     15: Kind("{n}/dockerfile", ("FROM ubuntu:latest", "USER 00"), "# "),
     16: Kind("{n}/svc.dockerfile", ("FROM scratch", "USER app", "USER root", "ENV SECRET_TOKEN val"), "# "),
@@ -202,10 +216,39 @@ KINDS = {
     20: Kind("{n}/.env.example", ("DB=",), "# "),
     21: Kind("{n}/.env.local", ("DB=2",), "# "),
     22: Kind("node_modules/m/f{n}.js", ("eval(x);",)),
-    23: Kind("src/big{n}.js", ("// scanner-ignore", "eval(z); // scanner-ignored")),
-    24: Kind("vendor/f{n}.js", ("eval(x);",)),
+    23: Kind("src/big{n}.js", ("// scanner-ignore", "eval(z); // scanner-ignored"), "// "),
+    24: Kind("vendor/f{n}.js", ("eval(x);",), "// "),
     25: Kind("src/big{n}.js", ("x" * 8,)),
+    26: Kind(
+        "lib/broken{n}.js",
+        (
+            "const s = 'it is open;",
+            "// eval(a)",
+            " * eval(b)",
+            "math.eval(c); eval(d);",
+            "exec(`ls ${d}`);",
+            "const token = g(Math.random());",
+            "x.cors({ origin: '*' });",
+            "const f = { rejectUnauthorized: true };",
+            "new  Function (x);",
+        ),
+    ),
+    27: Kind(
+        "src/tpl{n}.js",
+        (
+            "const a = `x ${y}`;",
+            "eval(z);",
+            "const b = `w ${f(`eval(b) ${eval(c)}`, 'eval(d) }')} v`;",
+            "if (x) /`/.test(y); eval(e); const r = `${{ k: { l: `${eval(g)}` } }}`;",
+            "const u = `http://h/${p}`; eval(h) / 2; /* eval(i)",
+            "eval(j) */ const t = `line",
+            "eval(k)`;",
+        ),
+        "// ",
+    ),
 }
+#: Documents of a kind that get another: of every so many the one with this remainder.
+INSTEAD = {0: (2, 1, 27), 5: (2, 1, 26), 22: (2, 1, 24), 23: (20, 3, 25)}
 UNTRACKED_KIND = 21
 BIG_KIND, BIG_REPEAT = 25, 125_001
 
@@ -283,18 +326,16 @@ def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One file per document: ``doc_id, kind, repo, path, size, content``."""
     number = F.col("doc_id")
     k = (F.floor(number / 20) % KIND_COUNT).cast("int")
-    kind = (
-        F.when((k == 22) & (number % 2 == 1), 24)
-        .when((k == 23) & (number % 20 == 3), BIG_KIND)
-        .otherwise(k)
-    )
+    kind = k
+    for code, (every, remainder, other) in INSTEAD.items():
+        kind = F.when((k == code) & (number % every == remainder), other).otherwise(kind)
     schema = "kind int, before string, after string, comment string, tail string"
     kinds = spark.createDataFrame(kind_rows(), schema)
     text = F.concat("comment", F.replace("text", F.lit("\n"), F.concat(F.lit("\n"), "comment")))
     rows = (
         table(spark, sf_dir, "documents")
         .withColumn("kind", kind)
-        .join(F.broadcast(kinds), "kind")  # 26 fixed rows
+        .join(F.broadcast(kinds), "kind")  # a fixed row for each kind
         .select("doc_id", "kind", "source", "before", "after", F.concat(text, F.lit("\n"), "tail").alias("content"))
     )
     path = F.concat("before", number.cast("string"), "after")

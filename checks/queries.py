@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from checks import planted as P
 from wardlake.functions.cvss import advisory_severity, cvss_base_score
+from wardlake.functions.code import HIDDEN, code_text, without_marks
 from wardlake.functions.text import mask_code
 from wardlake.model import public, severity_at_least
 from wardlake.operators import changes, code_rules, dependencies, docker, env_files, exec_calls, secrets
@@ -107,6 +108,20 @@ def mask_code_lines(spark, sf_dir):
     return C.explode_lines(code).select("repo", "path", "line_no", mask_code(F.col("line")).alias("masked"))
 
 
+#: Planted sources whose masked text the checks state in full.
+STATED = r"^(src/(eval|ns|tpl)\d+\.js|src/f\d+\.ts|lib/f\d+\.js)$"
+
+
+def masked_sources(spark, sf_dir):
+    """Lines of code that are left of sources that close; hidden strings are empty, hidden text of templates is one #."""
+    files = C.scanned_files(P.corpus(spark, sf_dir)).filter(F.col("is_code") & F.col("path").rlike(STATED))
+    code = files.select("repo", "path", code_text(F.col("content")).alias("code")).filter("code.whole")
+    strings = F.regexp_replace(without_marks(F.col("code.text")), f'"([^"{HIDDEN}]*)"|"[^"]*"', '"$1"')
+    text = F.regexp_replace(strings, f"{HIDDEN}+", "#")
+    lines = code.select("repo", "path", F.posexplode(F.split(text, "\n", -1)).alias("place", "line"))
+    return lines.select("repo", "path", (F.col("place") + 1).alias("line_no"), F.trim("line").alias("code")).filter("code <> ''")
+
+
 def exec_bindings(spark, sf_dir):
     return exec_calls.exec_bindings(C.scanned_files(all_files(spark, sf_dir)))
 
@@ -347,6 +362,7 @@ QUERIES: dict[str, Query] = {
     "filter_max_size": filter_max_size,
     "explode_lines": explode_lines,
     "mask_code_lines": mask_code_lines,
+    "masked_sources": masked_sources,
     **{key: rule_query([rule]) for key, rule in SINGLE_RULES.items()},
     **{key: rule_query(rules) for key, rules in RULE_GROUPS.items()},
     "exec_bindings": exec_bindings,

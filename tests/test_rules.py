@@ -86,6 +86,26 @@ CASES = {
     "rnd1.js": ("const authToken = Math.random();", [(RANDOM, 1)]),
     "rnd2.js": ("const x = Math.random(); const token = Math.random().toString(36);", []),
     "rnd3.js": ("const o = { salt: Math.random(), 'otp': Math.random() }", [(RANDOM, 1)] * 2),
+    "cors5.js": ("app.use(cors({ headers: { a: 1 }, origin: '*' }))", [(CORS, 1)]),
+    "cors6.js": ("cors({ x: { origin: '*' } }); cors(f({ origin: '*' })); cors(a, { origin: '*' }); cors({ a: [b, { origin: '*' }], c })", []),
+    "cors7.js": ("cors({ f() { return g({ a: {} }, [1]) },\n  origin : \"*\" }); cors({ 'origin': '*' }); cors({ origin: '*' + x })", [(CORS, 1)]),
+    "cors8.js": ("cors({ a: b ? origin : '*' }); cors({ a: `${f({ origin: '*' })}`, origin: '*' })", [(CORS, 1)]),
+    "rnd4.js": ("const token =\n  Math.random();\nthis.secret = Math\n  .random()\n// const salt = Math.random()\nconst s = 'otp = Math.random()'", [(RANDOM, 1), (RANDOM, 3)]),
+    "rnd5.js": ("const nonce: number = Math.random()\nlet t = { 'otp':\n Math.random(), b: token ? salt : Math.random() }", [(RANDOM, 1), (RANDOM, 2)]),
+    "rnd6.js": ("const token = Math.random() * 2, otp = (Math.random())\nsalt = Math.random()\n  .toString()", []),
+    "rnd7.js": ("const token = Math.random(a(b, [c]));x.mySecret += Math.random()", [(RANDOM, 1)] * 2),
+    "eval18.js": ("if (x) /`/.test(y); eval(z); const s = `a`;", [(EVAL, 1)]),
+    "eval19.js": ("const a = (b) / c; eval(d) / e; const q = '/'; f(eval)", [(EVAL, 1)]),
+    "eval20.js": ("while (a) /'/.exec(b)\n{ }\n/\"/.test(eval(c))\nmath . eval(d); eval?.(e)", [(EVAL, 3), (EVAL, 4)]),
+    "eval21.js": ("".join("`${" for _ in range(9)) + "eval(a)" + "}`" * 9 + "\neval(b)", [(EVAL, 1), (EVAL, 2)]),
+    # sources that do not close are matched line by line
+    "broken1.js": ("const s = 'it;\n// eval(a)\n * eval(b)\nmath.eval(c); eval(d); eval(e)", [(EVAL, 4)]),
+    "broken2.js": ("f(]\nexec(`ls ${d}`)\nconst token = g(Math.random())\nx.cors({ origin: '*' })", [(EXEC, 2), (RANDOM, 3), (CORS, 4)]),
+    "broken3.js": ("f({ a: `x ${y} })\nNODE_TLS_REJECT_UNAUTHORIZED: 0\nnew  Function (x)\n$eval(y)", [(TLS, 2), (NEWFN, 3), (EVAL, 4)]),
+    "broken4.js": ("a = [1, 2\nexec(cmd)\nconst t = Math.random()\ncors({ x: 1 })", []),
+    "exec17.js": (REQUIRE + "const m = /a'b/.exec(s);\nfoo(exec(`${a}`), exec(`b`), exec(1), exec(`$5`, c))", [(EXEC, 3)]),
+    "exec18.js": ("import * as cp from 'child_process'\ncp\n  .exec(cmd)", [(EXEC, 2)]),
+    "tls7.js": ("process.env[ 'NODE_TLS_REJECT_UNAUTHORIZED' ] = 0; env.NODE_TLS_REJECT_UNAUTHORIZED == 0; f('rejectUnauthorized: false')", [(TLS, 1)]),
     "url1.js": ("f('http://api.example'); g(\"http://b\")", [(HTTP, 1)]),
     "url2.js": ("f('http://localhost:1'); g('http://127.0.0.1'); h('https://x')", []),
     "url3.js": ("// f('http://a.b')\n* 'http://a.b'\n/* 'http://a.b'", [(HTTP, 3)]),

@@ -96,89 +96,13 @@ def mask_code(line: Column) -> Column:
     return F.regexp_replace(line, MASK, '""')
 
 
-# A whole source as tokens: strings of one line, templates, comments, regular expressions
-# (a / where no value can end before it), and what lies between. A quote that isn't closed
-# stands alone. A template's ${...} hold code: strings, comments, templates and braces,
-# which Java can only follow to a given depth.
-TEMPLATE_DEPTH = 6
-_STRING = r'"(?:[^"\\\n]|\\.)*+"' r"|'(?:[^'\\\n]|\\.)*+'"
-_COMMENT = r"//[^\n]*+|/\*.*?\*/"
-_REGEX = (
-    r"(?<=[(,=:\[!&|?;{][ \t]{0,9}|=>[ \t]{0,9}|[^\w$.]return[ \t]{0,9})"
-    r"/(?![/*])(?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*+\])++/"
-)
-_TEMPLATE_TEXT = r"(?:[^`\\$]|\\.|\$(?!\{))"
-
-
-def _interpolation(depth: int) -> str:
-    """A ${...} whose braces and templates are nested ``depth`` deep at most."""
-    inner = ""
-    for _ in range(depth):
-        template = rf"`(?:{_TEMPLATE_TEXT}|\$\{{{inner}\}})*+`" if inner else rf"`{_TEMPLATE_TEXT}*+`"
-        braces = rf"\{{{inner}\}}" if inner else r"\{\}"
-        inner = rf"(?:[^\"'`/{{}}]++|{_STRING}|{_COMMENT}|{_REGEX}|{template}|{braces}|[^`{{}}])*+"
-    return rf"\$\{{{inner}\}}"
-
-
-_INTERPOLATION = _interpolation(TEMPLATE_DEPTH)
-_TOKEN = (
-    rf"(?s){_STRING}"
-    rf"|`(?:{_TEMPLATE_TEXT}|{_INTERPOLATION})*+`"
-    rf"|{_COMMENT}"
-    rf"|{_REGEX}"
-    r"|[^\"'`/]++"
-    r"|."
-)
-_TEMPLATE_PART = rf"(?s){_TEMPLATE_TEXT}++|{_INTERPOLATION}|`"
 _MARK = "\x01"
-_BACKTICK = "\x02"  # one that is done with: it opens nothing any more
 
 
 def newlines(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
 
 
-def mask_source(content: Column, keep: str | None = None) -> Column:
-    """A whole source with strings and comments replaced by an empty string literal.
-
-    Line breaks stay, so lines keep their numbers. Strings whose text matches ``keep`` stay too.
-    Of a template with ${...} the text goes and the code stays; each turn opens one level of them.
-    """
-
-    def blank(token: Column) -> Column:
-        return F.repeat(F.lit("\n"), newlines(token))
-
-    def opened(part: Column) -> Column:
-        # the code between spaces, so that it joins no word or string outside
-        return (
-            F.when(part == "`", F.lit(_BACKTICK))
-            .when(part.startswith("${"), F.concat(F.lit("${ "), part.substr(F.lit(3), F.length(part) - 3), F.lit(" }")))
-            .otherwise(blank(part))
-        )
-
-    def masked(token: Column) -> Column:
-        comment = token.startswith("//") | token.startswith("/*")
-        text = F.substring(token, 1, 1).isin('"', "'", "`") & (F.length(token) > 1)
-        if keep is not None:
-            text = text & ~token.rlike(f"^.{keep}.\\z")
-        parts = F.regexp_extract_all(token, F.lit(_TEMPLATE_PART), F.lit(0))
-        holds_code = token.startswith("`") & (F.length(token) > 1) & token.contains("${") & F.exists(parts, lambda part: part.startswith("${"))
-        return (
-            F.when(token == "`", F.lit(_BACKTICK))
-            .when(holds_code, F.array_join(F.transform(parts, opened), ""))
-            .when(comment | text, F.concat(F.lit('""'), blank(token)))
-            .otherwise(token)
-        )
-
-    def turn(code: Column, k: Column) -> Column:
-        tokens = F.regexp_extract_all(code, F.lit(_TOKEN), F.lit(0))
-        return F.when((k == 0) | code.contains("`"), F.array_join(F.transform(tokens, masked), "")).otherwise(code)
-
-    turns = F.sequence(F.lit(0), F.lit(TEMPLATE_DEPTH))
-    code = F.aggregate(turns, F.replace(content, F.lit("\r\n"), F.lit("\n")), turn)
-    return F.replace(code, F.lit(_BACKTICK), F.lit("`"))
-
-
 def construct_lines(code: Column, pattern: str, wanted: Callable[[Column], Column] | None = None) -> Column:
     """The line on which each construct of a source begins, in order.
 

@@ -1,12 +1,15 @@
 """Dangerous code patterns in JavaScript and TypeScript sources.
 
-Each rule comes in two modes. ``structural`` (the default) asks for the construct: text
-in strings and comments is masked, identifiers are matched whole, every occurrence
-counts and shell calls must be bound to ``child_process``. ``fallback`` is the plain
-line pattern that is meant for sources no parser accepts. There is no parser here: strings,
-templates and comments are masked over the whole source, and a construct may be spread over
-several lines; it is reported on the line on which it begins. Assigned random values and
-plain URLs are looked for line by line, where lines that begin with ``*`` count as comment.
+A source whose strings, templates, comments and brackets all close is searched for the
+construct: in its masked text (see ``functions.code``), which is made once per file, so that
+identifiers are matched whole, every occurrence counts, brackets nest to any depth and a
+construct may be spread over several lines; it is reported on the line on which it begins.
+Shell calls must be bound to ``child_process``.
+
+A source that does not close is one that no parser accepts; its lines are matched with plain
+patterns instead, comment lines left out. Both kinds of sources go through one scan. The
+plain patterns are rules of their own as well (``FALLBACK_RULES``). Plain URLs are always
+looked for line by line.
 """
 
 from __future__ import annotations
@@ -14,8 +17,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from wardlake.functions.text import DOT, LEFT, RIGHT, S, construct_lines, excerpt, mask_source
-from wardlake.operators.exec_calls import EXEC_LINES, MODULE
+from wardlake.functions.code import MARK, bracketed, code_text
+from wardlake.functions.text import DOT, LEFT, RIGHT, S, construct_lines, excerpt
+from wardlake.operators.exec_calls import MODULE, exec_lines
 from wardlake.operators.rules import Context, Fact, Rule, once, pattern_rule, repeated
 
 # Ids, titles and remediation texts of the reports.
@@ -68,20 +72,24 @@ _INSECURE_HTTP = dict(
 # Fixed value: words that make an assigned name security-sensitive.
 _SENSITIVE = "token|secret|password|otp|nonce|salt"
 
-# What must stand before, and the construct.
-_EVAL_CALL = r"([^\w$.])(eval\s*\()"
-_NEW_FUNCTION_CALL = r"([^\w$.])(new\s+Function\s*\()"
+# What must stand before, and the construct, in masked code with marked brackets.
+_EVAL_CALL = r"(?<!\.\s{0,20})([^\w$.])(eval\s*(?:\?\.\s*)?\()"
+_NEW_FUNCTION_CALL = r"(?<!\.\s{0,20})([^\w$.])(new\s+Function\s*\()"
 _TLS_PROPERTY = r"([^\w$.'\"])(rejectUnauthorized\s*:\s*false(?:[^\w$]|\z))"
 _TLS_VARIABLE = (
-    r"()((?:\.\s*NODE_TLS_REJECT_UNAUTHORIZED|\[\s*['\"]NODE_TLS_REJECT_UNAUTHORIZED['\"]\s*\])"
-    r"\s*=\s*(?:'0'|\"0\"|0)(?:[^\w.'\"]|\z))"
+    rf"()((?:\.\s*NODE_TLS_REJECT_UNAUTHORIZED|\[{MARK}\s*\"NODE_TLS_REJECT_UNAUTHORIZED\"\s*\]{MARK})"
+    r"\s*=\s*(?:\"0\"|0)(?:[^\w.'\"]|\z))"
 )
-_CORS_CALL = r"([^\w$.])(cors\s*\(\s*\{(?:[^}]*[\s,])?origin\s*:\s*['\"]\*['\"])"
-# Strings that say something to these constructs: names, numbers and the wildcard.
-_TELLING = r"[\w$*]+"
+# The options are the first argument; of their properties only direct ones count.
+_CORS_CALL = (
+    rf"(?<!\.\s{{0,20}})([^\w$.])(cors\s*\({MARK}\s*\{{{MARK}(?:(?:[^(){{}}\[\],]|{bracketed(3)})*+,)*?"
+    r"\s*origin\s*:\s*\"\*\"\s*[,}])"
+)
+# An assigned name, a declared one or a property's, and a call that is the whole value: nothing goes on after it.
 _RANDOM_ASSIGNED = (
-    r"([\w$]+)['\"]?\s*(?::\s*[A-Za-z_][\w.<>]*\s*)?(?::|[-+*/%&|^]?=)\s*"
-    r"Math\s*\.\s*random\s*\([^()]*\)\s*(?:[;,})\]]|\z)"
+    rf"((?<![\w$])|[{{,]{MARK}?\s*\")((?i:[\w$]*(?:{_SENSITIVE})[\w$]*)(?:\"?\s*:(?<=[{{,]{MARK}?\s{{0,99}}\"?[\w$]{{1,99}}\"?\s{{0,20}}:)"
+    r"|\s*(?::\s*[A-Za-z_][\w.<>|\s]*?)?[-+*/%&|^?]{0,2}=)\s*"
+    rf"Math\s*\.\s*random\s*(?>\(({MARK})(?s:.*?)\)\3)(?=\s*(?:[;,)}}\]:]|\z)|[^\S\n]*\n\s*[\w$@#\"]))"
 )
 _PLAIN_URL = r"['\"]http://(?!localhost|127\.0\.0\.1)[^'\"]+['\"]"
 
@@ -96,55 +104,79 @@ def _rule(meta: dict, hits, check_order: int, **options) -> Rule:
     )
 
 
-def _construct(meta: dict, fact: Fact, check_order: int, **options) -> Rule:
-    """A rule whose hits are the lines that a fact about the file lists."""
+# Without one of these words a source holds no construct in either way and is not masked.
+_WORDS = rf"{LEFT}(?:eval|Function){RIGHT}|cors"
+_CALLED = rf"{LEFT}exec(?:Sync)?{RIGHT}"
 
-    def hits(c: Context) -> Column:
-        here = F.filter(c.fact(fact.name), lambda line: line == c.line_no)
-        return repeated(excerpt(c.line), F.size(here))
 
-    return _rule(meta, hits, check_order, skip_comments=False, facts=(fact,), **options)
+def _worth_masking(content: Column) -> Column:
+    words = (content.contains("eval") | content.contains("Function") | content.contains("cors")) & content.rlike(_WORDS)
+    calls = content.contains("exec") & (content.contains(MODULE) | content.contains("${")) & content.rlike(_CALLED)
+    tls = content.contains("rejectUnauthorized") | content.contains("NODE_TLS_REJECT_UNAUTHORIZED")
+    random = content.contains("random") & content.contains("Math") & content.rlike(f"(?i){_SENSITIVE}")
+    return words | calls | tls | random
 
 
-def _eval_lines(content: Column, lines: Column) -> Column:
-    # A doubled parenthesis keeps the one before a nested call for that call's own match.
-    return construct_lines(F.replace(mask_source(content), F.lit("("), F.lit("((")), _EVAL_CALL)
+CODE = Fact("code", "code", lambda content, lines: code_text(content), where=_worth_masking)
+WHOLE = Fact("whole", "code", lambda code, content: code["whole"], of=CODE)
 
 
-def _new_function_lines(content: Column, lines: Column) -> Column:
-    return construct_lines(mask_source(content), _NEW_FUNCTION_CALL)
+def _found(name: str, needs: str, lines) -> Fact:
+    """The lines on which a construct begins in a source that closes."""
+    return Fact(name, "code", lambda code, content: F.when(code["whole"], lines(code["text"], content)), needs=needs, of=CODE)
 
 
-def _tls_lines(content: Column, lines: Column) -> Column:
-    named = F.lower(content).contains("unauthorized")
-    code = mask_source(F.when(named, content), _TELLING)
-    return F.concat(construct_lines(code, _TLS_PROPERTY), construct_lines(code, _TLS_VARIABLE))
-
-
-def _cors_lines(content: Column, lines: Column) -> Column:
-    return construct_lines(mask_source(content, _TELLING), _CORS_CALL)
+def _construct(meta: dict, fact: Fact, plain: str, check_order: int, **options) -> Rule:
+    """The lines that a fact about the file lists; of a source that doesn't close, those that match ``plain``."""
 
+    def hits(c: Context) -> Column:
+        here = F.filter(c.fact(fact.name), lambda line: line == c.line_no)
+        broken = ~c.fact(WHOLE.name) & ~c.comment & c.line.rlike(plain)
+        return F.when(c.fact(fact.name).isNotNull(), repeated(excerpt(c.line), F.size(here))).otherwise(once(broken, excerpt(c.line)))
 
-def _weak_random_hits(c: Context) -> Column:
-    names = F.regexp_extract_all(c.line, F.lit(_RANDOM_ASSIGNED), F.lit(1))
-    sensitive = F.filter(names, lambda name: name.rlike(f"(?i){_SENSITIVE}"))
-    return repeated(excerpt(c.line), F.size(sensitive))
+    return _rule(meta, hits, check_order, skip_comments=False, facts=(fact, WHOLE), lines=fact, **options)
 
 
 def _insecure_http_hits(c: Context) -> Column:
     return once(c.line.rlike(_PLAIN_URL), excerpt(c.line))
 
 
-EVAL = _construct(_EVAL, Fact("eval_lines", "code", _eval_lines, needs="eval"), 20, triggers=("eval",))
+# What a line must hold in a source that no parser accepts.
+_EVAL_LINE = rf"{LEFT}eval{S}*\("
+_NEW_FUNCTION_LINE = rf"{LEFT}new{S}+Function{S}*\("
+_EXEC_LINE = rf"{LEFT}exec(?:Sync)?{S}*\({S}*[`'\"]{DOT}*\$\{{"
+_TLS_LINE = rf"NODE_TLS_REJECT_UNAUTHORIZED{S}*[:=]{S}*['\"]?0|rejectUnauthorized{S}*:{S}*false"
+_CORS_LINE = rf"cors{S}*\({S}*\{{[^}}]*origin{S}*:{S}*['\"]\*['\"]"
+_RANDOM_LINE = rf"(?i){LEFT}(?:{_SENSITIVE}){RIGHT}[^\n;]*Math\.random{S}*\("
+
+
+def _tls(code: Column, content: Column) -> Column:
+    return F.concat(construct_lines(code, _TLS_PROPERTY), construct_lines(code, _TLS_VARIABLE))
+
+
+EVAL = _construct(_EVAL, _found("eval_lines", "eval", lambda code, _: construct_lines(code, _EVAL_CALL)), _EVAL_LINE, 20, triggers=("eval",))
 NEW_FUNCTION = _construct(
-    _NEW_FUNCTION, Fact("function_lines", "code", _new_function_lines, needs="Function"), 21, triggers=("Function",)
+    _NEW_FUNCTION,
+    _found("function_lines", "Function", lambda code, _: construct_lines(code, _NEW_FUNCTION_CALL)),
+    _NEW_FUNCTION_LINE,
+    21,
+    triggers=("Function", "new"),
+    needs="Function",
 )
-EXEC = _construct(_EXEC, EXEC_LINES, 22, triggers=("exec",), needs=MODULE)
+EXEC = _construct(_EXEC, _found("exec_lines", MODULE, exec_lines), _EXEC_LINE, 22, triggers=("exec",))
 # Both spellings, rejectUnauthorized and NODE_TLS_REJECT_UNAUTHORIZED, in one search.
 _TLS_NAMES = ("unauthorized",)
-TLS = _construct(_TLS, Fact("tls_lines", "code", _tls_lines), 23, any_case_triggers=_TLS_NAMES)
-CORS = _construct(_CORS, Fact("cors_lines", "code", _cors_lines, needs="cors"), 24, triggers=("cors",))
-WEAK_RANDOM = _rule(_WEAK_RANDOM, _weak_random_hits, 25, triggers=("random",))
+TLS = _construct(_TLS, Fact("tls_lines", "code", lambda code, c: F.when(code["whole"], _tls(code["text"], c)), of=CODE), _TLS_LINE, 23, any_case_triggers=_TLS_NAMES)
+CORS = _construct(_CORS, _found("cors_lines", "cors", lambda code, _: construct_lines(code, _CORS_CALL)), _CORS_LINE, 24, triggers=("cors",))
+# The name may stand on another line than the call.
+WEAK_RANDOM = _construct(
+    _WEAK_RANDOM,
+    _found("random_lines", "random", lambda code, _: construct_lines(code, _RANDOM_ASSIGNED)),
+    _RANDOM_LINE,
+    25,
+    any_case_triggers=tuple(_SENSITIVE.split("|")),
+    needs="random",
+)
 INSECURE_HTTP = _rule(_INSECURE_HTTP, _insecure_http_hits, 26, triggers=("http://",))
 
 CODE_RULES = [EVAL, NEW_FUNCTION, EXEC, TLS, CORS, WEAK_RANDOM, INSECURE_HTTP]
@@ -164,20 +196,12 @@ def _fallback(meta: dict, pattern: str, triggers: tuple[str, ...] = (), **option
     )
 
 
-EVAL_FALLBACK = _fallback(_EVAL, rf"{LEFT}eval{S}*\(", ("eval",))
-NEW_FUNCTION_FALLBACK = _fallback(_NEW_FUNCTION, rf"{LEFT}new{S}+Function{S}*\(", ("Function",))
-EXEC_FALLBACK = _fallback(_EXEC, rf"{LEFT}exec(?:Sync)?{S}*\({S}*[`'\"]{DOT}*\$\{{", ("exec",))
-TLS_FALLBACK = _fallback(
-    _TLS,
-    rf"NODE_TLS_REJECT_UNAUTHORIZED{S}*[:=]{S}*['\"]?0|rejectUnauthorized{S}*:{S}*false",
-    any_case_triggers=_TLS_NAMES,
-)
-CORS_FALLBACK = _fallback(_CORS, rf"cors{S}*\({S}*\{{[^}}]*origin{S}*:{S}*['\"]\*['\"]", ("cors",))
-WEAK_RANDOM_FALLBACK = _fallback(
-    _WEAK_RANDOM,
-    rf"(?i){LEFT}(?:{_SENSITIVE}){RIGHT}[^\n;]*Math\.random{S}*\(",
-    any_case_triggers=("math.random",),
-)
+EVAL_FALLBACK = _fallback(_EVAL, _EVAL_LINE, ("eval",))
+NEW_FUNCTION_FALLBACK = _fallback(_NEW_FUNCTION, _NEW_FUNCTION_LINE, ("Function",))
+EXEC_FALLBACK = _fallback(_EXEC, _EXEC_LINE, ("exec",))
+TLS_FALLBACK = _fallback(_TLS, _TLS_LINE, any_case_triggers=_TLS_NAMES)
+CORS_FALLBACK = _fallback(_CORS, _CORS_LINE, ("cors",))
+WEAK_RANDOM_FALLBACK = _fallback(_WEAK_RANDOM, _RANDOM_LINE, any_case_triggers=("math.random",))
 
 FALLBACK_RULES = [
     EVAL_FALLBACK,

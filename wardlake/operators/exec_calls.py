@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardlake.functions.text import bind, construct_lines, mask_source
-from wardlake.operators.rules import Fact
+from wardlake.functions.code import MARK
+from wardlake.functions.text import bind, construct_lines
 from wardlake.sources.corpus import route
 
 MODULE = "child_process"
@@ -22,13 +22,10 @@ _REQUIRE = rf"require\s*\(\s*['\"]{MODULE}['\"]\s*\)"
 _REQUIRE_NAMES = rf"(?:const|let|var)\s*\{{([^{{}}]*\}}\s*=\s*{_REQUIRE}\s*\.?)"
 _REQUIRE_WHOLE = rf"(?:const|let|var)\s+([\w$]+\s*=\s*{_REQUIRE}(?:\s*\.\s*[\w$]+)?\s*[.(\[]?)"
 
-# A call of exec or execSync in masked code, up to what tells its first argument.
-_CALL = r"([^\w$.])((?:[\w$]+\s*\??\.\s*)?(?:execSync|exec)\s*\()"
-_SITE = (
-    r'^(?:[\w$]+\s*\??\.\s*)?(?:execSync|exec)\s*\(\s*'
-    r'(?:""\s*[,)]|""\s*\z|\)|""\s*[^\s,)]|[^\s"])'
-)
-_FIXED_ARGUMENT = r'(?:\(\s*""\s*[,)]?|\(\s*\)|\(\s*[0-9])\z'
+# A call of exec or execSync in masked code, and one whose first argument is fixed or missing.
+_CALL = r"(?<!\.\s{0,20})([^\w$.])((?:[\w$]+\s*\??\.\s*)?(?:execSync|exec)\s*(?:\?\.\s*)?\()"
+_HEAD = r"^(?:([\w$]+)\s*\??\.\s*)?(execSync|exec)\s*(?:\?\.\s*)?\("
+_FIXED_CALL = _HEAD + MARK + r"\s*(?:\)|(?:\"[^\"]*\"|`[^`$]*`|[0-9][\w.]*|true|false|null)\s*[,)])"
 
 
 def _all(content: Column, pattern: str) -> Column:
@@ -68,30 +65,24 @@ def namespace_bindings(content: Column) -> Column:
     return F.array_distinct(_named(F.concat(_all(content, _IMPORT_WHOLE), required)))
 
 
-def dynamic_call_lines(content: Column, direct: Column, namespaces: Column) -> Column:
-    """Lines of the calls whose name is bound and whose first argument is not fixed text."""
+def dynamic_call_lines(code: Column, direct: Column, namespaces: Column) -> Column:
+    """Lines of the calls in masked code whose name is bound and whose first argument is not fixed text."""
 
     def flagged(text: Column) -> Column:
-        site = F.regexp_extract(text, _SITE, 0)
-        owner = F.regexp_extract(site, r"([\w$]+)\s*\??\.\s*(?:execSync|exec)\s*\(", 1)
-        function = F.regexp_extract(site, r"(execSync|exec)\s*\(", 1)
+        owner, function = F.regexp_extract(text, _HEAD, 1), F.regexp_extract(text, _HEAD, 2)
         bound = F.when(owner != "", F.array_contains(namespaces, owner)).otherwise(
             F.array_contains(direct, function)
         )
-        return (site != "") & bound & ~site.rlike(_FIXED_ARGUMENT)
+        return bound & ~text.rlike(_FIXED_CALL)
 
-    return construct_lines(mask_source(content), _CALL, flagged)
+    return construct_lines(code, _CALL, flagged)
 
 
-EXEC_LINES = Fact(
-    "exec_lines",
-    "code",
-    lambda content, lines: bind(
+def exec_lines(code: Column, content: Column) -> Column:
+    return bind(
         direct_bindings(content),
-        lambda direct: bind(namespace_bindings(content), lambda spaces: dynamic_call_lines(content, direct, spaces)),
-    ),
-    needs=MODULE,
-)
+        lambda direct: bind(namespace_bindings(content), lambda spaces: dynamic_call_lines(code, direct, spaces)),
+    )
 
 
 def exec_bindings(files: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from functools import lru_cache, reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardlake.functions.text import bind, excerpt, is_comment_line, mask_code, redact, split_lines
+from wardlake.functions.text import bind, excerpt, is_comment_line, redact, split_lines
 from wardlake.model import check_severity
 from wardlake.operators.directives import covers, has_directive
 from wardlake.sources.corpus import route
@@ -31,10 +31,10 @@ SCOPES = {
 
 @dataclass(frozen=True)
 class Context:
-    """What a rule may look at: a line, its masked form and facts about its file."""
+    """What a rule may look at: a line, whether it is a comment line, and facts about its file."""
 
     line: Column
-    masked: Column
+    comment: Column
     line_no: Column
     fact: Callable[[str], Column]
 
@@ -47,6 +47,8 @@ class Fact:
     scope: str
     value: Callable[[Column, Column], Column]  # (content, lines) -> value
     needs: str | None = None  # literal without which the fact is null
+    of: Fact | None = None  # a fact that this one is worked out from: (its value, content) -> value
+    where: Callable[[Column], Column] | None = None  # condition on the content without which the fact is null
 
 
 @dataclass(frozen=True)
@@ -66,6 +68,7 @@ class Rule:
     has_line: bool = True
     check_order: int = 99
     facts: tuple[Fact, ...] = field(default=())
+    lines: Fact | None = None  # where this fact is known, only the lines that it lists are looked at
 
     def __post_init__(self) -> None:
         check_severity(self.severity)
@@ -182,7 +185,11 @@ def _triggered(rule: Rule, needles: Sequence[_Needle]) -> Column:
             test = test & F.col("line").rlike(rule.trigger_pattern)
         elif text is not None:
             line = F.col("lowered") if text in rule.any_case_triggers else F.col("line")
-            test = test & line.contains(text)
+            literal = line.contains(text)
+            if rule.lines:
+                listed = F.col(f"fact_{rule.lines.name}")
+                literal = F.when(listed.isNotNull(), F.array_contains(listed, F.col("line_no"))).otherwise(literal)
+            test = test & literal
         alternatives.append(test)
     return _any_of(alternatives)
 
@@ -192,11 +199,17 @@ def _fact_column(fact: Fact) -> Column:
     wanted = _in_scope(fact.scope)
     if fact.needs:
         wanted = wanted & content.contains(fact.needs)
+    if fact.where:
+        wanted = wanted & fact.where(content)
+    if fact.of:
+        base = F.col(f"fact_{fact.of.name}")
+        return F.when(wanted & base.isNotNull(), fact.value(base, content))
     return F.when(wanted, fact.value(content, split_lines(content)))
 
 
 @dataclass(frozen=True)
 class _Expressions:
+    bases: dict[str, Column]  # facts that others are worked out from; no line carries them
     facts: dict[str, Column]
     presence: Column
     any_case: list[int]
@@ -212,7 +225,7 @@ def _expressions(application: str, rules: tuple[Rule, ...]) -> _Expressions:
     facts = {fact.name: fact for rule in rules for fact in rule.facts}
     context = Context(
         line=F.col("line"),
-        masked=F.col("masked"),
+        comment=F.col("comment"),
         line_no=F.col("line_no"),
         fact=lambda name: F.col(f"fact_{name}"),
     )
@@ -240,10 +253,12 @@ def _expressions(application: str, rules: tuple[Rule, ...]) -> _Expressions:
         )
         for r in rules
     ]
+    bases = {fact.of.name: fact.of for fact in facts.values() if fact.of}
     return _Expressions(
+        bases={name: _fact_column(fact) for name, fact in bases.items()},
         facts={name: _fact_column(fact) for name, fact in facts.items()},
         presence=_presence(needles),
-        any_case=[i for i, needle in enumerate(needles) if needle.any_case],
+        any_case=sorted({needles.index(n) for rule in rules if rule.any_case_triggers for n, t in _tests(rule) if t in rule.any_case_triggers}),
         candidate_line=_any_of([_triggered(rule, needles) for rule in rules]),
         hits=F.concat(*[hits(n, r) for n, r in enumerate(rules)]),
         catalogue=F.array(*catalogue),
@@ -269,7 +284,8 @@ def candidate_lines(files: DataFrame, rules: Sequence[Rule], keep: Sequence[str]
     # Facts are columns of their own before the explode: next to a generator they would
     # be worked out again for every line.
     facts = {f"fact_{name}": column for name, column in expressions.facts.items()}
-    searched = routed.withColumns({"present": expressions.presence, **facts})
+    bases = {f"fact_{name}": column for name, column in expressions.bases.items()}
+    searched = routed.withColumns({"present": expressions.presence, **bases}).withColumns(facts)
     lowered = none
     if expressions.any_case:
         wanted = _any_of([F.get(present, F.lit(i)) for i in expressions.any_case])
@@ -309,14 +325,9 @@ def scan_lines(files: DataFrame, rules: Sequence[Rule], keep: Sequence[str] = ()
     lines = candidate_lines(files, rules, keep)
     code = F.col("is_code")
     if any(rule.scope == "code" for rule in rules):
-        lines = lines.withColumns(
-            {
-                "masked": F.when(code, mask_code(F.col("line"))),
-                "comment": code & is_comment_line(F.col("line")),
-            }
-        )
+        lines = lines.withColumn("comment", code & is_comment_line(F.col("line")))
     else:
-        lines = lines.withColumns({"masked": F.lit(None).cast("string"), "comment": F.lit(False)})
+        lines = lines.withColumn("comment", F.lit(False))
     # Outer for the same reason as above: the rules must not run twice.
     matched = lines.select(
         "repo",
