@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Characters of text that one step inside a task holds as Python objects.
 BLOCK_CHARS = 2_000_000
@@ -47,10 +48,16 @@ def held_out(key: str | Column, parts: int, remainder: int) -> Column:
     return F.coalesce(fold(key, parts) == remainder, F.lit(False))
 
 
-def mapped(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
-    """``mapInArrow`` that keeps the schema, for columns of any names: batches name them by place."""
+def mapped(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], last: str | None = None) -> DataFrame:
+    """``mapInArrow`` that keeps the schema, for columns of any names: batches name them by place.
+
+    ``last`` is the type that the last column gets instead of its own.
+    """
     plain = rows.toDF(*(f"c{k}" for k in range(len(rows.columns))))
-    return plain.mapInArrow(run, plain.schema).toDF(*rows.columns)
+    fields = list(plain.schema.fields)
+    if last:
+        fields[-1] = T.StructField(fields[-1].name, T.DataType.fromDDL(last))
+    return plain.mapInArrow(run, T.StructType(fields)).toDF(*rows.columns)
 
 
 def blocks(batch: pa.RecordBatch, column: str | int, limit: int = BLOCK_CHARS) -> Iterator[pa.RecordBatch]:

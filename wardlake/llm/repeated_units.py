@@ -23,8 +23,8 @@ stays. Offsets always are code points of the original text. Paragraphs and lines
 fall short of ``least_words`` altogether, such as headings, stay. A line that loses all of
 its text goes with its line break.
 
-What a text has itself before is cut where the text is read; only the first unit of each
-digest in a text takes part in the grouping. Digests are aggregated before they are
+Only the first unit of each digest in a text takes part in the grouping; what the text has
+again itself is noted where it is read. Digests are aggregated before they are
 shuffled, so a unit that a third of all documents share costs each task one row; joining
 the repeated ones back is left to a join whose skewed partitions are split. Only ids and
 digests take part, not the texts.
@@ -52,6 +52,8 @@ from wardlake.session import written
 LEAST_WORDS = 8
 #: Units that a task holds as Python objects before it hands them on.
 HELD = 100_000
+#: Stands for the digest where none is looked for.
+NO_DIGEST = bytes(16)
 #: Words beyond which a sentence is also cut by its words, and the neighbours that decide on a cut.
 LONG, NEAR = 32, 4
 _SENTENCE = re.compile(r"[^.!?。！？]*(?:[.!?。！？]+\s*|$)")
@@ -259,40 +261,48 @@ def cut(text: str, spans: list[tuple[int, int]]) -> tuple[str, list[tuple[int, i
 
 
 def _spans(docs: DataFrame, least_words: int, id_col: str, text_col: str) -> DataFrame:
-    """``_gone_id``, ``_gone_hash`` (of the text) and ``_gone_spans``: what each document loses to earlier ones."""
+    """``doc_id``, ``text_hash`` and ``spans``: what each document loses to earlier ones, and what it has again itself.
+
+    A span with ``first_end`` is a unit that the text has had before, at ``first_start``.
+    """
     texts = id_and_text(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "text_hash", "start", "end", "high", "low"]
+        names = ["doc_id", "text_hash", "start", "end", "first_start", "first_end", "high", "low"]
 
         def out(rows: list[tuple]) -> pa.RecordBatch:
-            ids, hashes, starts, ends, digests = zip(*rows, strict=True)
+            *columns, digests = zip(*rows, strict=True)
             halves = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
-            columns = (ids, hashes, starts, ends, halves[:, 0], halves[:, 1])
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip((*columns, halves[:, 0], halves[:, 1]), kinds, strict=True)], names
+            )
 
         rows: list[tuple] = []
         for batch in batches:
             for part in blocks(batch, "text"):
                 own = zip(*(part.column(c).to_pylist() for c in ("doc_id", "text_hash", "text")), strict=True)
                 for doc_id, text_hash, text in own:
-                    for start, end, digest in first_and_again(text, least_words)[0]:
-                        rows.append((doc_id, text_hash, start, end, digest))
-                        if len(rows) >= HELD:
-                            yield out(rows)
-                            rows.clear()
+                    first, again = first_and_again(text, least_words)
+                    rows += [(doc_id, text_hash, start, end, None, None, digest) for start, end, digest in first]
+                    rows += [(doc_id, text_hash, *spans, NO_DIGEST) for spans in again]
+                    if len(rows) >= HELD:
+                        yield out(rows)
+                        rows.clear()
         if rows:
             yield out(rows)
 
-    found = texts.mapInArrow(run, "doc_id long, text_hash long, start int, end int, high long, low long")
+    found = texts.mapInArrow(run, "doc_id long, text_hash long, start int, end int, first_start int, first_end int, high long, low long")
     place = F.struct("doc_id", "text_hash", "start")
+    own = F.col("first_end").isNotNull()
     # a document states each digest once; where only the same row says it twice, nothing goes below
-    first = found.groupBy("high", "low").agg(F.min(place).alias("first"), F.count("*").alias("n"))
+    first = found.where(~own).groupBy("high", "low").agg(F.min(place).alias("first"), F.count("*").alias("n"))
     # kept in the shared folder, so that the join below has two plain sides and can split a hot digest
     repeated = written(first.where("n > 1").select("high", "low", "first"), "repeated-units")
-    gone = found.join(repeated, ["high", "low"]).where(~place.eqNullSafe(F.col("first")))
-    return gone.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    # what a text has again goes along without a partner, spread by its place, so that texts are read for units only twice
+    spread = found.withColumn("high", F.when(own, F.xxhash64("doc_id", "text_hash", "start")).otherwise(F.col("high")))
+    gone = spread.join(repeated, ["high", "low"], "left").where(own | (F.col("first").isNotNull() & ~place.eqNullSafe(F.col("first"))))
+    return gone.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "end", "first_start", "first_end")).alias("spans"))
 
 
 def without_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -308,18 +318,23 @@ def without_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, id_col: str
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     same = F.col(id_col).cast("long").eqNullSafe(F.col(key)) & (F.xxhash64(text) == F.col(mark))
     joined = docs.join(spans, same, "left").select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], F.col(gone).alias(named))
-    text_at, kind = docs.columns.index(text_col), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    columns, text_at, kind = docs.columns, docs.columns.index(text_col), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in blocks(batch, text_at):
                 texts_left, removed = [], []
-                for own, gone in zip(part.column(text_at).to_pylist(), part.column(part.num_columns - 1).to_pylist(), strict=True):
-                    again = first_and_again(own, least_words)[1]
-                    left, gone_spans = cut(own, lost(again, [(s["start"], s["end"]) for s in gone or ()]))
+                for own, spans in zip(part.column(text_at).to_pylist(), part.column(part.num_columns - 1).to_pylist(), strict=True):
+                    if not spans:
+                        texts_left.append(own)
+                        removed.append([])
+                        continue
+                    first = [(s["start"], s["end"]) for s in spans if s["first_end"] is None]
+                    again = [(s["start"], s["end"], s["first_start"], s["first_end"]) for s in spans if s["first_end"] is not None]
+                    left, gone_spans = cut(own, lost(again, first))
                     texts_left.append(left)
                     removed.append([{"start": a, "end": b} for a, b in gone_spans])
-                columns = [pa.array(texts_left, pa.string()) if k == text_at else c for k, c in enumerate(part.columns[:-1])]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(removed, kind)], part.schema.names)
+                kept = [pa.array(texts_left, pa.string()) if k == text_at else c for k, c in enumerate(part.columns[:-1])]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(removed, kind)], part.schema.names)
 
-    return mapped(joined, apply)
+    return mapped(joined, apply, "array<struct<start: int, end: int>>").toDF(*columns, named)
