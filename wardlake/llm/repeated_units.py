@@ -60,10 +60,19 @@ _SENTENCE = re.compile(r"[^.!?。！？]*(?:[.!?。！？]+\s*|$)")
 _STOPS = ".!?。！？"
 # scripts written without spaces: Thai, Lao, Myanmar, Khmer, kana and Han
 _UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
-_LENGTHY = re.compile(r"\S{32}")
+_LENGTHY = re.compile(r"(?<!\S)\S{32}")
 _WORD = re.compile(r"\S+")
 
 
+def _may_be_unspaced(text: str) -> bool:
+    """Quickly no for texts of Latin letters."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return True
+    return False
+
+
 def _digest(words: list[str]) -> bytes:
     return xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass"))
 
@@ -73,7 +82,7 @@ class Units:
 
     def __init__(self, text: str, least_words: int = LEAST_WORDS):
         self.text, self.least = text, 2 * least_words
-        self.unspaced = not text.isascii() and _UNSPACED.search(text) is not None
+        self.unspaced = _may_be_unspaced(text) and _UNSPACED.search(text) is not None
         self.lengthy = self.unspaced or _LENGTHY.search(text) is not None
         self.found: dict[tuple[int, int], bytes] = {}
 
@@ -225,6 +234,12 @@ def first_and_again(text: str, least_words: int) -> tuple[list[tuple[int, int, b
     return first, again
 
 
+def settled(again: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """The same spans with those that go in any case, as they lie after the first, put together."""
+    sure = merged([(start, end) for start, end, _, first_end in again if start >= first_end])
+    return [(start, end, -1, 0) for start, end in sure] + [spans for spans in again if spans[0] < spans[3]]
+
+
 def lost(again: list[tuple[int, int, int, int]], gone: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """All spans that go, when ``gone`` of the first ones go: a first one that stays keeps what overlaps it."""
     taken = set(gone)
@@ -285,7 +300,7 @@ def _spans(docs: DataFrame, least_words: int, id_col: str, text_col: str) -> Dat
                 for doc_id, text_hash, text in own:
                     first, again = first_and_again(text, least_words)
                     rows += [(doc_id, text_hash, start, end, None, None, digest) for start, end, digest in first]
-                    rows += [(doc_id, text_hash, *spans, NO_DIGEST) for spans in again]
+                    rows += [(doc_id, text_hash, *spans, NO_DIGEST) for spans in settled(again)]
                     if len(rows) >= HELD:
                         yield out(rows)
                         rows.clear()
