@@ -791,6 +791,7 @@ FINAL: dict[str, str] = {
     "skip_dependencies": f"SELECT {PUBLIC}, suppression_kind FROM judged_t",
     "severity_at_least": f"SELECT {PUBLIC}, suppression_kind FROM judged WHERE {RANK} >= 3",
     "severity_counts": f"SELECT repo, severity, count(*) AS findings, CAST({RANK} AS INTEGER) AS severity_rank FROM judged WHERE suppression_kind IS NULL GROUP BY repo, severity",
+    "findings_rollup": "SELECT repo, category, severity, CAST(grouping_id(repo, category, severity) AS INTEGER) AS level, count(*) FILTER (suppression_kind IS NULL) AS findings, count(*) FILTER (suppression_kind IS NOT NULL) AS suppressed FROM judged GROUP BY ROLLUP (repo, category, severity)",
     "scan_summary": "SELECT * FROM summary",
     "fail_on": "SELECT repo, critical > 0 AS breached FROM summary",
     "finding_fingerprints": "SELECT repo, rule_id, path, line, title, fingerprint FROM printed",

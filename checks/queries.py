@@ -273,6 +273,10 @@ def severity_counts(spark, sf_dir):
     return report.severity_counts(full_scan(spark, sf_dir).findings)
 
 
+def findings_rollup(spark, sf_dir):
+    return report.findings_rollup(full_scan(spark, sf_dir).findings)
+
+
 def scan_summary(spark, sf_dir):
     result = full_scan(spark, sf_dir)
     return report.scan_summary(result.findings, result.scanned)
@@ -400,6 +404,7 @@ QUERIES: dict[str, Query] = {
     "skip_dependencies": skip_dependencies,
     "severity_at_least": findings_at_least,
     "severity_counts": severity_counts,
+    "findings_rollup": findings_rollup,
     "scan_summary": scan_summary,
     "fail_on": fail_on,
     "finding_fingerprints": finding_fingerprints,

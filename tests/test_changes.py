@@ -66,6 +66,42 @@ def test_stream(spark, tmp_path):
     assert {r.path: r.in_source for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"a.js": False, "b.js": False, "c.js": True}
 
 
+def test_stream_with_other_rules(spark, tmp_path):
+    """A file that comes again gives what added rules find in it, and nothing twice."""
+    from wardlake.operators.code_rules import EVAL, NEW_FUNCTION
+
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    text = "eval(a); eval(a)\nnew Function(b)\neval(new Function(c))"
+
+    def run(rules, *texts):
+        data = [("r", "a.js", len(t), t) for t in texts]
+        df = spark.createDataFrame(data, "repo string, path string, size long, content string")
+        df.selectExpr("*", "timestamp'2026-01-01 00:00:00' AS arrived_at").write.mode("append").parquet(source)
+        store_findings(scan_stream(read_arrivals(spark, source), rules), out, str(tmp_path / "cp")).awaitTermination()
+        return sorted((r.rule_id.split(".")[1], r.line) for r in spark.read.parquet(out).collect())
+
+    first = run([EVAL], text)
+    assert {line for _, line in first} == {1, 3}
+    assert run([EVAL], text) == first
+    assert run([EVAL], text, text) == first
+    name = NEW_FUNCTION.rule_id.split(".")[1]
+    added = sorted([*first, (name, 2), (name, 3)])
+    assert run([EVAL, NEW_FUNCTION], text) == added
+    assert run([NEW_FUNCTION, EVAL], text) == added
+    assert run([EVAL, NEW_FUNCTION], text + "\n") == sorted([*added, *added])  # another version of the file
+
+
+def test_the_stream_reads_no_stored_findings(spark, tmp_path, capsys):
+    from wardlake.streaming.incremental import new_findings
+
+    empty = spark.createDataFrame([], ARRIVALS_SCHEMA)
+    empty.write.parquet(str(tmp_path / "in"))
+    arrivals = read_arrivals(spark, str(tmp_path / "in"))
+    new_findings(scan_stream(arrivals)).explain()
+    plan = capsys.readouterr().out
+    assert "StreamingDeduplicate" in plan and "Join" not in plan and plan.count("FileSource") <= 1 and "FileScan" not in plan
+
+
 def test_a_restricted_scan_moves_no_content(spark, corpus_of, monkeypatch):
     from wardlake.plans import scan as S
 

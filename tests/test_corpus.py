@@ -17,7 +17,9 @@ def test_read_tree(spark, tmp_path):
         (root / name).parent.mkdir(parents=True, exist_ok=True)
         (root / name).write_bytes(data)
     rows = {(r.repo, r.path): (r["size"], r.content) for r in C.read_tree(spark, str(root)).collect()}
-    assert rows == {("one", "src/a.js"): (1, "x"), ("one", "b c%.js"): (1, "y"), ("two", "deep/er/c.ts"): (1, "�")}
+    assert rows == {
+        ("one", "src/a.js"): (1, "x"), ("one", "b c%.js"): (1, "y"), ("two", "deep/er/c.ts"): (1, "�"), (".", "top.js"): (1, "z")
+    }
     single = C.read_tree(spark, str(root), repo="all")
     assert paths(single) == {"one/src/a.js", "one/b c%.js", "two/deep/er/c.ts", "top.js"}
 
@@ -52,6 +54,42 @@ def test_unreadable_files_are_listed(spark, tmp_path, monkeypatch):
     assert list(tree._walked(Broken(), "x", frozenset())) == [("x", 0, None, "PermissionError: x")]
 
 
+def test_a_large_repository_is_listed_in_rounds_and_read_by_many_tasks(spark, tmp_path, monkeypatch):
+    from wardlake.sources import tree
+
+    names = {f"big/d{i}/e{j}/f{k}.js" for i in range(5) for j in range(4) for k in range(3)} | {"small/a.js", "top.js", "big/d0/x.js"}
+    for name in names:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(name)
+    (tmp_path / "big/empty").mkdir()
+    monkeypatch.setattr(tree._walked, "__defaults__", (2,))  # two entries for each directory of a round
+    monkeypatch.setattr(tree, "TASK_DIRECTORIES", 1)
+    monkeypatch.setattr(tree, "TASK_FILES", 4)
+    files = C.read_tree(spark, str(tmp_path))
+    rows = files.collect()
+    assert sorted(r.path if r.repo == "." else f"{r.repo}/{r.path}" for r in rows) == sorted(names)
+    assert all(r.content == (r.path if r.repo == "." else f"{r.repo}/{r.path}") and r["size"] == len(r.content) for r in rows)
+    tasks = files.filter("repo = 'big'").groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) > 8 and max(r["count"] for r in tasks) < len(names) / 3
+    assert C.unreadable(spark, str(tmp_path)).count() == 0
+
+
+def test_empty_trees(spark, tmp_path):
+    assert C.read_tree(spark, str(tmp_path)).count() == 0
+    (tmp_path / "r/node_modules").mkdir(parents=True)
+    (tmp_path / "r/node_modules/a.js").write_text("x")
+    assert C.read_tree(spark, str(tmp_path)).count() == 0
+
+
+def test_unreadable_files_are_rows(tmp_path):
+    import pyarrow.fs as pafs
+
+    from wardlake.sources import tree
+
+    size, text, error = tree._text(pafs.LocalFileSystem(), str(tmp_path / "gone"))
+    assert (size, text) == (0, None) and error.startswith("FileNotFoundError")
+
+
 def test_read_tree_rejects_bad_roots(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         C.read_tree(spark, str(tmp_path / "absent"))

@@ -238,7 +238,7 @@ def _expressions(application: str, rules: tuple[Rule, ...]) -> _Expressions:
             wanted = wanted & ~F.col("comment")
         found = F.coalesce(F.when(wanted, rule.hits(context)), nothing)
         return F.transform(
-            found, lambda text: F.struct(F.lit(number).alias("rule"), text.alias("excerpt"))
+            found, lambda text, nth: F.struct(F.lit(number).alias("rule"), text.alias("excerpt"), nth.alias("nth"))
         )
 
     catalogue = [
@@ -320,8 +320,12 @@ def candidate_lines(files: DataFrame, rules: Sequence[Rule], keep: Sequence[str]
     ).filter(expressions.candidate_line)
 
 
-def scan_lines(files: DataFrame, rules: Sequence[Rule], keep: Sequence[str] = ()) -> DataFrame:
-    """Findings of all rules over all lines of the given files, with the file columns named in ``keep``."""
+def scan_lines(files: DataFrame, rules: Sequence[Rule], keep: Sequence[str] = (), numbered: bool = False) -> DataFrame:
+    """Findings of all rules over all lines of the given files, with the file columns named in ``keep``.
+
+    ``numbered`` adds ``nth``, which of its rule's hits on the line a finding is, from 0: unlike
+    ``seq_occurrence`` it does not depend on the other rules.
+    """
     lines = candidate_lines(files, rules, keep)
     code = F.col("is_code")
     if any(rule.scope == "code" for rule in rules):
@@ -360,4 +364,5 @@ def scan_lines(files: DataFrame, rules: Sequence[Rule], keep: Sequence[str] = ()
             )
         ).alias("inline_hit"),
         *keep,
+        *([F.col("hit.nth").alias("nth")] if numbered else []),
     )

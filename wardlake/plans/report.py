@@ -55,6 +55,24 @@ def severity_counts(findings: DataFrame) -> DataFrame:
     )
 
 
+def findings_rollup(findings: DataFrame) -> DataFrame:
+    """Active and suppressed findings by repository, category and severity, with all subtotals.
+
+    ``level`` is the grouping id: 0 for a full group, 1 without severity, 3 for a repository, 7 for the
+    total; a column that a row sums over is null there. One aggregation for all levels: tasks add up
+    their rows for each before anything is shuffled, so a hot repository is a few rows per task.
+    """
+    return (
+        findings.rollup("repo", "category", "severity")
+        .agg(
+            F.grouping_id().cast("int").alias("level"),
+            F.count_if(~is_suppressed()).alias("findings"),
+            F.count_if(is_suppressed()).alias("suppressed"),
+        )
+        .select("repo", "category", "severity", "level", "findings", "suppressed")
+    )
+
+
 def scan_summary(findings: DataFrame, scanned: DataFrame) -> DataFrame:
     """Files scanned, active and suppressed findings per repository, and active by severity."""
     zero = F.lit(0).cast("bigint")

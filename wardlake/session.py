@@ -13,6 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # state of streams on the executors' disks, not in their heaps
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     # building a plan of many expressions is slow while each call looks up its place in the source
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
