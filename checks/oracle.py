@@ -783,6 +783,7 @@ FINAL: dict[str, str] = {
     "apply_suppressions_no_ignore": f"SELECT {PUBLIC}, CAST(NULL AS VARCHAR) AS suppression_kind FROM line_found",
     "suppressed_findings": f"SELECT {PUBLIC}, suppression_kind FROM judged WHERE suppression_kind IS NOT NULL",
     "changed_files": "SELECT * FROM changed",
+    "changed_files_by_digest": "SELECT * FROM changed",
     "diff_scan": f"SELECT {PUBLIC}, suppression_kind FROM judged_d",
     "diff_dependency_gate": "SELECT * FROM manifest_gate",
     "diff_env_gate": "SELECT * FROM env_gate",

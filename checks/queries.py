@@ -224,6 +224,13 @@ def changed_files(spark, sf_dir):
     return changes.changed_files(*P.snapshots(spark, sf_dir))
 
 
+def changed_files_by_digest(spark, sf_dir):
+    """The same changes, from directories whose stored digests differ only."""
+    base, head = P.snapshots(spark, sf_dir)
+    before, after = (written(changes.folder_digests(side), "digests") for side in (base, head))
+    return changes.changed_files_within(base, head, written(changes.changed_folders(before, after), "folders"))
+
+
 def changed_files_scan(spark, sf_dir):
     base, head = P.snapshots(spark, sf_dir)
     return public(diff_scan(base, head, P.advisories(spark, sf_dir), P.tracked(spark, sf_dir)).findings)
@@ -396,6 +403,7 @@ QUERIES: dict[str, Query] = {
     "apply_suppressions_no_ignore": no_ignore,
     "suppressed_findings": suppressed_findings,
     "changed_files": changed_files,
+    "changed_files_by_digest": changed_files_by_digest,
     "diff_scan": changed_files_scan,
     "diff_dependency_gate": diff_dependency_gate,
     "diff_env_gate": diff_env_gate,

@@ -17,6 +17,44 @@ def test_changed_files(corpus_of):
     assert changes.env_gate(changed).count() == 0
 
 
+def test_changed_folders(spark, corpus_of, monkeypatch):
+    same = {("s", f"lib/{i}.js"): str(i) for i in range(5)} | {("r", "keep/a.js"): "a", ("r", "README"): "x"}
+    base = corpus_of({**same, ("r", "src/edit.js"): "a", ("r", "old/x/gone.js"): "", ("q", "top.js"): "1"})
+    head = corpus_of({**same, ("r", "src/edit.js"): "b", ("r", "new/n.js"): "c", ("q", "top.js"): "1", ("q", "added"): ""})
+    digests = [changes.folder_digests(side) for side in (base, head)]
+    folders = changes.changed_folders(*digests)
+    assert {tuple(r) for r in folders.collect()} == {("r", "src"), ("r", "old"), ("r", "new"), ("q", "")}
+    whole = {tuple(r) for r in changes.changed_files(base, head).collect()}
+    assert len(whole) == 4
+    for limit in (10, 1):
+        monkeypatch.setattr(changes, "BROADCAST_FILES", limit)
+        found = changes.changed_files_within(base, head, folders)
+        assert {tuple(r) for r in found.collect()} == whole
+    assert changes.changed_folders(digests[0], changes.folder_digests(base.orderBy("content"))).count() == 0
+    empty = base.limit(0)
+    assert changes.changed_folders(changes.folder_digests(empty), changes.folder_digests(empty)).count() == 0
+    assert changes.changed_folders(changes.folder_digests(empty), digests[1]).count() == 6
+    # moving a text from one path to another is a change, whatever the sums
+    swapped = [corpus_of({"d/a": x, "d/b": y}) for x, y in (("1", "2"), ("2", "1"))]
+    assert changes.changed_folders(*map(changes.folder_digests, swapped)).count() == 1
+
+
+def test_broadcasts_are_bounded_by_rows_and_bytes(spark, monkeypatch):
+    names = spark.createDataFrame([("r", "a" * 10), (None, "é" * 5)], "repo string, path string")
+    assert changes.fits_broadcast(names, 2) and not changes.fits_broadcast(names, 1)
+    assert changes.fits_broadcast(names.limit(0), 0)
+    monkeypatch.setattr(changes, "BROADCAST_BYTES", 20)
+    assert not changes.fits_broadcast(names, 2)
+    monkeypatch.setattr(changes, "BROADCAST_BYTES", 21)
+    assert changes.fits_broadcast(names, 2)
+
+
+def test_a_null_text_differs_from_none(spark):
+    schema = "repo string, path string, size long, content string"
+    with_null, without = spark.createDataFrame([("r", "a", 0, None)], schema), spark.createDataFrame([], schema)
+    assert changes.changed_folders(changes.folder_digests(without), changes.folder_digests(with_null)).count() == 1
+
+
 def test_diff_scan(spark, corpus_of):
     tracked = spark.createDataFrame([("r", ".env"), ("r", "sub/.env.prod"), ("q", ".env")], "repo string, path string")
     base = corpus_of({"a.js": "eval(a)", "b.js": "", ".env": "A=1"})

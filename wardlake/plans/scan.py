@@ -7,7 +7,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from wardlake.operators.changes import BROADCAST_FILES, changed_files, dependency_gate, env_gate, only_changed, open_repos
+from wardlake.operators.changes import (
+    BROADCAST_FILES, changed_files, dependency_gate, env_gate, fits_broadcast, only_changed, open_repos,
+)
 from wardlake.operators.code_rules import CODE_RULES, FALLBACK_RULES
 from wardlake.operators.dependencies import advisory_matches, dependency_findings, resolved_dependencies
 from wardlake.operators.docker import DOCKER_RULES
@@ -59,7 +61,7 @@ def scan(
     to about the number of tasks that the findings of one repository should spread over.
     """
     scanned = scanned_files(files, options.include_test_dirs, options.exclude_dirs, options.max_file_bytes)
-    few = changed is not None and changed.limit(BROADCAST_FILES + 1).count() <= BROADCAST_FILES
+    few = changed is not None and fits_broadcast(changed.select("repo", "path"), BROADCAST_FILES)
     if few:
         scanned = only_changed(scanned, changed, few)
     findings = scan_lines(scanned, options.rules)
