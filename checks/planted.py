@@ -569,7 +569,7 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def advisory_records(spark: SparkSession, sf_dir: str) -> str:
-    """A folder with the advisories as JSON lines: one record each, its events in a mixed order."""
+    """A folder with the advisories as JSON lines: one record each, its events in a mixed order, some withdrawn."""
 
     def events(r: Column) -> Column:
         def event(**given: Column) -> Column:
@@ -593,8 +593,11 @@ def advisory_records(spark: SparkSession, sf_dir: str) -> str:
             F.struct(F.first("db_severity").alias("severity")).alias("database_specific"),
             F.collect_list(package).alias("affected"),
         )
+        # some came a second time under another name, withdrawn
+        name, date = F.concat("id", F.lit("-again")), F.lit("2026-01-01T00:00:00Z")
+        again = records.filter(F.col("id").rlike("[05]$")).withColumn("id", name).withColumn("withdrawn", date)
         target = f"{shared_folder(spark)}/records-{uuid.uuid4().hex}"
-        records.write.json(target)
+        records.unionByName(again, allowMissingColumns=True).write.json(target)
         return target
 
     return _folder(spark, sf_dir, "advisory-records", build)

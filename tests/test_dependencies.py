@@ -191,3 +191,10 @@ def test_json_as_a_browser_reads_it(spark, corpus_of):
     assert rows(D.manifest_dependencies(files), "name", "version") == [("x", "2.0.0")]
     assert D.manifest_parse_errors(files).count() == 0
     assert rows(D.skipped_specifier_rows(files), "repo", "name", "specifier") == [("s", "y", "*")]
+
+
+def test_withdrawn_advisories_are_left_out(spark, tmp_path):
+    affected = [{"package": {"ecosystem": "npm", "name": "p"}, "versions": ["1.0.0"]}]
+    records = [{"id": "X-1", "affected": affected}, {"id": "X-2", "withdrawn": "2026-01-01T00:00:00Z", "affected": affected}]
+    (tmp_path / "x.json").write_text("\n".join(map(json.dumps, records)))
+    assert [r.id for r in read_advisories(spark, str(tmp_path), multi_line=False).collect()] == ["X-1"]

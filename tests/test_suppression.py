@@ -95,3 +95,13 @@ def test_parse(corpus_of):
 def test_active_and_suppressed_are_all(corpus_of):
     findings = scan(corpus_of(FILES)).findings
     assert S.active(findings).count() + S.suppressed(findings).count() == findings.count()
+
+
+def test_a_long_ignore_file(corpus_of, spark):
+    """Rules of a long file meet findings by equality; its lines repeat and mostly cover nothing."""
+    ignore = "\n".join([f"gone/{n}/x.js misconfig.eval" for n in range(5_000)] + ["kept/b.js", "kept/b.js", "kept/dir misconfig.eval"])
+    files = corpus_of({".scannerignore": ignore, "kept/a.js": BOTH, "kept/b.js": BOTH, "kept/dir/c.js": BOTH})
+    findings = scan_lines(scanned_files(files), DEFAULT_RULES)
+    rows = S.suppress_external(findings, files).filter("external_hit").collect()
+    assert sorted((r.path, r.rule_id) for r in rows) == [("kept/b.js", EVAL), ("kept/b.js", HTTP), ("kept/dir/c.js", EVAL)]
+    assert S.suppress_external(findings, files).count() == findings.count()

@@ -50,8 +50,3 @@ def version_key(version: Column) -> Column:
     key = F.struct(core.alias("core"), F.transform(words, parts).alias("pre"))
     return F.when(version.rlike(_VERSION_PARTS) & ~F.exists(core, lambda p: p.isNull()), key)
 
-
-def in_range(key: Column, introduced: Column, fixed: Column, last_affected: Column) -> Column:
-    """introduced <= key < fixed and key <= last_affected over version keys; null bounds are open."""
-    above = introduced.isNull() | (introduced <= key)
-    return above & (fixed.isNull() | (key < fixed)) & (last_affected.isNull() | (key <= last_affected))

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardlake.functions.cvss import advisory_severity
-from wardlake.functions.versions import clean_version, in_range, is_concrete_version, version_key
+from wardlake.functions.versions import clean_version, is_concrete_version, version_key
+from wardlake.operators.intervals import points_in_intervals
 from wardlake.session import salted_join
 from wardlake.sources.corpus import LOCK_FILE, MANIFEST_FILE, control_files
 
@@ -169,9 +170,10 @@ def advisory_matches(dependencies: DataFrame, advisories: DataFrame, salts: int
     """Dependencies with the advisories that apply to them.
 
     The lookup runs once per distinct package version of the whole corpus, however many
-    repositories use it. Exact version lists are an equality join; only advisories with
-    ranges compare versions, within their package. Both that join and the join back to
-    the repositories spread popular packages over ``salts`` tasks.
+    repositories use it. Exact version lists are an equality join. Versions and the bounds of
+    ranges are sorted together once and swept, so a package with many of both costs their
+    number and that of the matches. The join back to the repositories spreads popular
+    packages over ``salts`` tasks.
     """
     versions = dependencies.select("name", "version").distinct()
     known = advisories.filter(F.col("ecosystem") == ECOSYSTEM)
@@ -182,19 +184,15 @@ def advisory_matches(dependencies: DataFrame, advisories: DataFrame, salts: int
     ranges = known.select("id", "name", F.explode("ranges").alias("range")).select(
         "id",
         "name",
-        version_key(F.col("range.introduced")).alias("from_key"),
-        version_key(F.col("range.fixed")).alias("to_key"),
-        version_key(F.col("range.last_affected")).alias("last_key"),
+        version_key(F.col("range.introduced")).alias("introduced"),
+        version_key(F.col("range.fixed")).alias("fixed"),
+        version_key(F.col("range.last_affected")).alias("last_affected"),
         _unreadable(*(F.col(f"range.{bound}") for bound in ("introduced", "fixed", "last_affected"))).alias("unreadable"),
     )
+    ranges = ranges.filter(~F.col("unreadable")).drop("unreadable")
     keyed = versions.withColumn("key", version_key(F.col("version"))).filter(F.col("key").isNotNull())
-    ranged = (
-        salted_join(
-            keyed, ranges.filter(~F.col("unreadable")), ["name"], "inner", [F.col("version")], salts
-        )
-        .filter(in_range(F.col("key"), F.col("from_key"), F.col("to_key"), F.col("last_key")))
-        .select("name", "version", "id")
-    )
+    found = points_in_intervals(keyed, ranges, "name", "key", "introduced", "fixed", "last_affected", salts)
+    ranged = found.select("name", "version", "interval.id")
 
     severity = advisory_severity(F.col("db_severity"), F.col("severity"))
     # an advisory may list a package several times; its text and rating are the advisory's

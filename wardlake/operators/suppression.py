@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wardlake.functions.text import S, js_trim, split_lines
 from wardlake.operators.directives import inline_directives
-from wardlake.session import salted_join
+from wardlake.session import salted_join, written
 from wardlake.sources.corpus import IGNORE_FILE, control_files
 
 # How a finding came to be suppressed.
@@ -45,11 +45,10 @@ def _key(path: Column, rule: Column) -> Column:
 
 
 def ignore_keys(files: DataFrame) -> DataFrame:
-    """Per repository with an ignore file, its rules as plain strings to look up.
+    """Repository and key of every ignore rule, each once.
 
     A rule for ``a/b`` covers the file of that name and everything below ``a/b/``; one
-    that ends in a slash covers the directory only; any path is the empty string. The
-    array is no larger than the file it comes from, which is one row already.
+    that ends in a slash covers the directory only; any path is the empty string.
     """
 
     def keys(rule: Column) -> Column:
@@ -60,7 +59,7 @@ def ignore_keys(files: DataFrame) -> DataFrame:
         return F.transform(covered, lambda p: _key(p, F.coalesce(rule["ignore_rule"], F.lit(""))))
 
     listed = F.array_distinct(F.flatten(F.transform(_rules_of(F.col("content")), keys)))
-    return control_files(files, IGNORE_FILE).select("repo", listed.alias("ignore_keys"))
+    return control_files(files, IGNORE_FILE).select("repo", F.explode(listed).alias("key")).distinct()
 
 
 def finding_keys(path: Column, rule_id: Column) -> Column:
@@ -83,13 +82,17 @@ def finding_keys(path: Column, rule_id: Column) -> Column:
 def suppress_external(findings: DataFrame, files: DataFrame, salts: int = 16) -> DataFrame:
     """Findings with ``external_hit``: covered by their repository's ignore file.
 
-    One equality join on the repository, whose right side has one row per ignore file. The
-    finding's few keys (two for each directory of its path) are looked up in the file's.
+    What is looked up is each distinct path and rule of a repository: its few keys (two for
+    each directory of the path) meet those of the ignore file by equality, so a long ignore
+    file is never carried to a finding. The findings are written once, as they are read twice.
     """
-    spread = [F.col("path"), F.col("line"), F.col("rule_id")]
-    joined = salted_join(findings, ignore_keys(files), ["repo"], "left", spread, salts)
-    hit = F.arrays_overlap(finding_keys(F.col("path"), F.col("rule_id")), F.col("ignore_keys"))
-    return joined.withColumn("external_hit", F.coalesce(hit, F.lit(False))).drop("ignore_keys")
+    findings = written(findings, "found")
+    place = ["repo", "path", "rule_id"]
+    asked = findings.select(*place).distinct().withColumn("key", F.explode(finding_keys(F.col("path"), F.col("rule_id"))))
+    covered = salted_join(asked, ignore_keys(files), ["repo", "key"], "left_semi", [F.col("path"), F.col("rule_id")], salts)
+    hits = covered.select(*place).distinct().withColumn("external_hit", F.lit(True))
+    joined = salted_join(findings, hits, place, "left", [F.col("line"), F.col("excerpt")], salts)
+    return joined.select(*findings.columns, F.coalesce("external_hit", F.lit(False)).alias("external_hit"))
 
 
 def suppress_inline(findings: DataFrame, files: DataFrame) -> DataFrame:

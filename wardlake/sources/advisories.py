@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wardlake.functions.versions import version_key
 
 _RECORD = """
-    id string, summary string,
+    id string, summary string, withdrawn string,
     severity array<struct<type string, score string>>,
     database_specific struct<severity string>,
     affected array<struct<
@@ -27,14 +27,14 @@ def _by_version(a: Column, b: Column) -> Column:
 
 
 def read_advisories(spark: SparkSession, source: str, multi_line: bool = True) -> DataFrame:
-    """One row per advisory and affected package.
+    """One row per advisory and affected package; withdrawn advisories are left out.
 
     A dump holds one document per file; pass ``multi_line=False`` for JSON lines. The events
     of a range are put in order of their versions ("0" is before all). Each ``introduced``
     event opens an interval up to the next ``fixed`` event, which is outside it, or the next
     ``last_affected`` event, which is inside.
     """
-    records = spark.read.schema(_RECORD).option("multiLine", multi_line).json(source)
+    records = spark.read.schema(_RECORD).option("multiLine", multi_line).json(source).filter("withdrawn IS NULL")
     package = records.select(
         "id",
         "summary",
