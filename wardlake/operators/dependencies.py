@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from wardlake.functions.cvss import advisory_severity
 from wardlake.functions.versions import clean_version, is_concrete_version, version_key
 from wardlake.operators.intervals import points_in_intervals
-from wardlake.session import salted_join
+from wardlake.session import salted_join, written
 from wardlake.sources.corpus import LOCK_FILE, MANIFEST_FILE, control_files
 
 ECOSYSTEM = "npm"
@@ -176,6 +176,7 @@ def advisory_matches(dependencies: DataFrame, advisories: DataFrame, salts: int
     packages over ``salts`` tasks.
     """
     versions = dependencies.select("name", "version").distinct()
+    versions = written(versions.withColumn("key", version_key(F.col("version"))), "versions")
     known = advisories.filter(F.col("ecosystem") == ECOSYSTEM)
 
     listed = known.select("id", "name", F.explode("versions").alias("version")).distinct()
@@ -190,7 +191,7 @@ def advisory_matches(dependencies: DataFrame, advisories: DataFrame, salts: int
         _unreadable(*(F.col(f"range.{bound}") for bound in ("introduced", "fixed", "last_affected"))).alias("unreadable"),
     )
     ranges = ranges.filter(~F.col("unreadable")).drop("unreadable")
-    keyed = versions.withColumn("key", version_key(F.col("version"))).filter(F.col("key").isNotNull())
+    keyed = versions.filter(F.col("key").isNotNull())
     found = points_in_intervals(keyed, ranges, "name", "key", "introduced", "fixed", "last_affected", salts)
     ranged = found.select("name", "version", "interval.id")
 

@@ -19,62 +19,47 @@ def points_in_intervals(
 ) -> DataFrame:
     """Pairs of a point and an interval of its group with low <= key < below and key <= upto.
 
-    Null bounds are open; ``key`` has no nulls. The result has the columns of ``points``, and
+    Null bounds are open; ``key`` has no nulls and the type of the bounds; ``points`` is read
+    twice. The result has the columns of ``points``, and
     ``interval`` with those of ``intervals`` but the group. The distinct points and bounds are
     sorted once, over all groups together, so that a group of any size lies on several tasks;
     each point gets its number, each bound the number of points before it, and an interval is
     then a range of numbers. The cost is that of the sort and of the pairs that come out.
     """
-    missing = intervals.select(F.col(low)).schema[0].dataType
-    rows = intervals.select(group, F.struct(*[c for c in intervals.columns if c != group]).alias("interval")).distinct()
+    interval = F.struct(*[c for c in intervals.columns if c != group])
+    rows = written(intervals.select(group, interval.alias("interval")).distinct(), "intervals")
 
     def bound(column: str, side: int, kind: int) -> Column:
         value = F.col(f"interval.{column}")
-        return F.struct(
-            F.when(value.isNull(), side).otherwise(0).alias("side"),
-            # open bounds stand before or after all points, whatever key they carry
-            value.alias("key"),
-            F.lit(kind).alias("kind"),
-            F.lit(side).alias("end"),
-        )
+        # open bounds stand before or after all points
+        place = F.struct(F.when(value.isNull(), side).otherwise(0).alias("side"), value.alias("key"), F.lit(kind).alias("kind"))
+        return F.struct(place.alias("at"), F.lit(side).alias("end"))
 
     bounds = F.array(bound(low, -1, _BEFORE), bound(below, 1, _BEFORE), bound(upto, 1, _AFTER))
     listed = rows.withColumn("bound", F.explode(bounds)).select(group, "interval", "bound.*")
-    point = [F.lit(0).alias("side"), F.col(key).cast(missing).alias("key"), F.lit(_POINT).alias("kind")]
-    order = [group, "side", "key", "kind"]
-    events = listed.select(order).unionByName(points.select(group, *point)).distinct()
+    point = F.struct(F.lit(0).alias("side"), F.col(key).alias("key"), F.lit(_POINT).alias("kind"))
+    events = listed.select(group, "at").unionByName(points.select(group, point.alias("at"))).distinct()
     # the table fixes which rows a part has, also when a task runs again
-    dealt = events.repartitionByRange(*order).withColumn("part", F.spark_partition_id())
-    dealt = written(dealt, "interval-events")
-    is_point = (F.col("kind") == _POINT).cast("long")
-    seen = F.sum(is_point).over(Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    dealt = written(events.repartitionByRange(group, "at").withColumn("part", F.spark_partition_id()), "interval-events")
+    is_point = (F.col("at.kind") == _POINT).cast("long")
+    seen = F.sum(is_point).over(Window.partitionBy("part").orderBy(group, "at").rowsBetween(Window.unboundedPreceding, 0))
     # one row per part
     parts = dealt.groupBy("part").agg(F.sum(is_point).alias("n"))
     earlier = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     parts = parts.select("part", F.coalesce(earlier, F.lit(0)).alias("earlier"))
-    numbered = dealt.withColumn("seen", seen).join(parts, "part").select(*order, (F.col("seen") + F.col("earlier")).alias("number"))
+    numbered = dealt.withColumn("seen", seen).join(parts, "part").select(group, "at", (F.col("seen") + F.col("earlier")).alias("number"))
     numbered = written(numbered, "interval-numbers")
 
-    keyless = F.col("key").isNull()
-    at = [group, "side", "kind"]
     spread = [F.col("interval")]
-    closed = salted_join(
-        listed.filter(~keyless), numbered.filter(~keyless & (F.col("kind") != _POINT)), [*at, "key"], "inner", spread, salts
-    )
-    opened = salted_join(listed.filter(keyless).drop("key"), numbered.filter(keyless).drop("key"), at, "inner", spread, salts)
-    ranges = (
-        closed.drop("key")
-        .unionByName(opened)
-        .groupBy(group, "interval")
-        .agg(
-            F.max(F.when(F.col("end") < 0, F.col("number"))).alias("first"),
-            F.min(F.when(F.col("end") > 0, F.col("number"))).alias("last"),
-        )
-        .filter("first < last")
+    placed = salted_join(listed, numbered.filter(F.col("at.kind") != _POINT), [group, "at"], "inner", spread, salts)
+    ends = placed.groupBy(group, "interval").agg(
+        F.max(F.when(F.col("end") < 0, F.col("number"))).alias("first"),
+        F.min(F.when(F.col("end") > 0, F.col("number"))).alias("last"),
     )
+    ranges = ends.filter("first < last")
     runs = ranges.withColumn("from", F.explode(F.sequence(F.col("first") + 1, F.col("last"), F.lit(RUN).cast("long"))))
     to = F.least(F.col("last"), F.col("from") + (RUN - 1))
     hits = runs.select("interval", F.explode(F.sequence("from", to)).alias("number"))
-    places = numbered.filter(F.col("kind") == _POINT).select(group, F.col("key").alias(key), "number")
-    known = points.withColumn(key, F.col(key).cast(missing)).join(places, [group, key])
+    places = numbered.filter(F.col("at.kind") == _POINT).select(group, F.col("at.key").alias(key), "number")
+    known = points.join(places, [group, key])
     return salted_join(hits, known, ["number"], "inner", spread, salts).select(*points.columns, "interval")
