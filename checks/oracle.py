@@ -794,6 +794,7 @@ FINAL: dict[str, str] = {
     "severity_counts": f"SELECT repo, severity, count(*) AS findings, CAST({RANK} AS INTEGER) AS severity_rank FROM judged WHERE suppression_kind IS NULL GROUP BY repo, severity",
     "findings_rollup": "SELECT repo, category, severity, CAST(grouping_id(repo, category, severity) AS INTEGER) AS level, count(*) FILTER (suppression_kind IS NULL) AS findings, count(*) FILTER (suppression_kind IS NOT NULL) AS suppressed FROM judged GROUP BY ROLLUP (repo, category, severity)",
     "scan_summary": "SELECT * FROM summary",
+    "scan_totals": "SELECT count(*) AS files_scanned, CAST(sum(size) AS BIGINT) AS bytes_scanned, count_if(is_dockerfile) AS dockerfiles, count_if(is_code) AS code_files, count_if(is_workflow) AS workflows FROM scanned_c",
     "fail_on": "SELECT repo, critical > 0 AS breached FROM summary",
     "finding_fingerprints": "SELECT repo, rule_id, path, line, title, fingerprint FROM printed",
     "sarif_rules": f"SELECT repo, rule_id, title AS short_description, remediation AS full_description, {LEVEL} AS level, category, {SECURITY} AS security_severity FROM first_of_rule",

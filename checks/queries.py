@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from checks import planted as P
@@ -289,6 +289,15 @@ def scan_summary(spark, sf_dir):
     return report.scan_summary(result.findings, result.scanned)
 
 
+def scan_totals(spark, sf_dir):
+    """Files and bytes of a scan, counted by the pass that finds."""
+    counts = Observation("scan")
+    corpus = P.corpus(spark, sf_dir)
+    written(scan(corpus, observation=counts).findings, "findings")
+    names = ("files_scanned", "bytes_scanned", "dockerfiles", "code_files", "workflows")
+    return spark.range(1).select(*[F.lit(counts.get[n]).cast("long").alias(n) for n in names])
+
+
 def fail_on(spark, sf_dir):
     result = full_scan(spark, sf_dir)
     return report.fail_on(result.findings, result.scanned, "critical")
@@ -414,6 +423,7 @@ QUERIES: dict[str, Query] = {
     "severity_counts": severity_counts,
     "findings_rollup": findings_rollup,
     "scan_summary": scan_summary,
+    "scan_totals": scan_totals,
     "fail_on": fail_on,
     "finding_fingerprints": finding_fingerprints,
     "sarif_rules": sarif_rules,

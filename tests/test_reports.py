@@ -5,10 +5,11 @@ import json
 from pathlib import Path
 
 import pytest
+from pyspark.sql import Observation
 
 from wardlake.model import SEVERITIES, severity_at_least
 from wardlake.plans import report
-from wardlake.plans.scan import scan
+from wardlake.plans.scan import ScanOptions, scan
 from wardlake.session import written
 
 FILES = {
@@ -107,3 +108,14 @@ def test_text_report(result):
     lines = {r.repo: r.text for r in report.summary_lines(report.scan_summary(*result)).collect()}
     assert lines["quiet"] == "No issues found.\nScanned 1 files."
     assert lines["r"] == "5 findings  3 high · 2 medium\nScanned 3 files.\n2 finding(s) suppressed."
+
+
+def test_the_pass_counts_what_it_reads(corpus_of):
+    files = corpus_of({"a.js": "eval(x)", "b.md": "é", "Dockerfile": "FROM a:latest", "node_modules/c.js": "eval(y)", "d.bin": "eval(z)"})
+    for options in (ScanOptions(), ScanOptions(no_ignore=True), ScanOptions(exclude_dirs=("gone",))):
+        counts = Observation()
+        result = scan(files, options=options, observation=counts)
+        found = result.findings.count()
+        assert found > 1 and counts.get["files_scanned"] == result.scanned.count()
+        assert counts.get["bytes_scanned"] == sum(r.size for r in result.scanned.select("size").collect())
+        assert (counts.get["dockerfiles"], counts.get["code_files"], counts.get["workflows"]) == (1, 1, 0)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import functions as F
 
 from wardlake.operators.changes import (
     BROADCAST_FILES, changed_files, dependency_gate, env_gate, fits_broadcast, only_changed, open_repos,
@@ -25,6 +26,13 @@ DEFAULT_RULES: list[Rule] = [*SECRET_RULES, *DOCKER_RULES, *CODE_RULES, *WORKFLO
 FALLBACK_MODE_RULES: list[Rule] = [*SECRET_RULES, *DOCKER_RULES, *FALLBACK_RULES, *WORKFLOW_RULES]
 
 
+def file_counts() -> list[Column]:
+    """What a scan counts of the files it reads, while it reads them."""
+    kinds = {"dockerfiles": "is_dockerfile", "code_files": "is_code", "workflows": "is_workflow"}
+    size = F.coalesce(F.sum("size"), F.lit(0)).alias("bytes_scanned")
+    return [F.count("*").alias("files_scanned"), size, *[F.count_if(kind).alias(name) for name, kind in kinds.items()]]
+
+
 @dataclass(frozen=True)
 class ScanOptions:
     skip_dependencies: bool = False
@@ -50,6 +58,7 @@ def scan(
     tracked: DataFrame | None = None,
     options: ScanOptions = ScanOptions(),
     changed: DataFrame | None = None,
+    observation: Observation | None = None,
 ) -> ScanResult:
     """Scan a corpus; with ``changed`` only the files named there.
 
@@ -59,12 +68,16 @@ def scan(
     compared with the findings. Files above ``max_file_bytes``, if that is set, are not scanned; ``sources.corpus.oversized``
     lists them. Dependencies are resolved once and kept in the shared folder. Set ``salts``
     to about the number of tasks that the findings of one repository should spread over.
+
+    ``observation`` gets the numbers and bytes of files that the pass itself read (``file_counts``), so
+    that totals need no second read. Unless ``no_ignore`` is set the pass runs in this call, as findings
+    are written for their two uses in suppression; otherwise in the first action on them.
     """
     scanned = scanned_files(files, options.include_test_dirs, options.exclude_dirs, options.max_file_bytes)
     few = changed is not None and fits_broadcast(changed.select("repo", "path"), BROADCAST_FILES)
     if few:
         scanned = only_changed(scanned, changed, few)
-    findings = scan_lines(scanned, options.rules)
+    findings = scan_lines(scanned if observation is None else scanned.observe(observation, *file_counts()), options.rules)
     if changed is not None and not few:
         # scanning all files costs less than moving the text of a large part of them
         scanned, findings = only_changed(scanned.drop("content"), changed), only_changed(findings, changed)
