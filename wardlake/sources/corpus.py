@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardlake.functions.text import base_name, directories, extension, split_lines
+from wardlake.session import setting
 from wardlake.sources.tree import walk_tree
 
 # Directories that never hold sources of their own.
@@ -31,6 +32,8 @@ MANIFEST_FILE = "package.json"
 IGNORE_FILE = ".scannerignore"
 CONTROL_FILES = (LOCK_FILE, MANIFEST_FILE, IGNORE_FILE)
 
+ROLES = ("control", "source", "other")
+
 
 def read_tree(
     spark: SparkSession, root: str, repo: str | None = None, skip_dirs: list[str] | tuple[str, ...] = ALWAYS_SKIPPED
@@ -66,7 +69,8 @@ def write_corpus(files: DataFrame, target: str, mode: str = "errorifexists") ->
 
     ``role`` is a partition column: files that are never scanned are never opened, and
     the dependency and suppression steps open the small ``control`` part only. With
-    ``content_hash`` snapshots are compared without reading texts.
+    ``content_hash`` snapshots are compared without reading texts. A task writes the roles
+    side by side, so that whole texts need no sort by role, which would spill them.
     """
     role = (
         F.when(F.col("path").isin(*CONTROL_FILES), "control")
@@ -74,7 +78,8 @@ def write_corpus(files: DataFrame, target: str, mode: str = "errorifexists") ->
         .otherwise("other")
     )
     hashed = files if "content_hash" in files.columns else files.withColumn("content_hash", F.sha2("content", 256))
-    hashed.withColumn("role", role).write.mode(mode).partitionBy("role").parquet(target)
+    with setting(files.sparkSession, "spark.sql.maxConcurrentOutputFileWriters", str(len(ROLES))):
+        hashed.withColumn("role", role).write.mode(mode).partitionBy("role").parquet(target)
 
 
 def read_corpus(spark: SparkSession, source: str) -> DataFrame:
