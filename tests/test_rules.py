@@ -217,3 +217,31 @@ def test_rule_arguments_are_checked():
         pattern_rule("x", "misconfig", "urgent", "t", "r", "p")
     with pytest.raises(ValueError, match="scope"):
         pattern_rule("x", "misconfig", "low", "t", "r", "p", scope="rust")
+
+
+def test_constructs_are_searched_once_and_comment_lines_masked_together(spark):
+    from pyspark.sql import functions as F
+
+    from wardlake.functions.code import code_text, without_marks
+    from wardlake.functions.text import construct_lines
+
+    rows = spark.createDataFrame([(1, "x\ny here(1)\n here(2) here(3)"), (2, "nothing"), (3, "")], "id int, code string").repartition(1)
+    found = rows.select("id", construct_lines(F.col("code"), r"([^\w])(here\()").alias("lines"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
+    assert dict(found.collect()) == {1: [2, 3, 3], 2: [], 3: []}
+
+    # of each comment a space is left, of an empty one nothing; in a source with quotes in comments nothing of any
+    sources = {
+        "// a\n  // b\n//\n\t// c\nf(x) // c // d\n// e": (" \n   \n\n\t \nf(x)  \n ", True),
+        "// a\n  // it's\nf(x) // \"c\n// e": ("\n  \nf(x) \n", True),
+        "//\n// a\n//": ("\n \n", True),
+        "= /x//\n// a": ('= "\x05"\n ', True),
+        "'open // a\n// b' c": (None, False),
+        "'open // a\n// b": (None, False),
+        "x = 1 / 2 // a\n// b\n/ 3": ("x = 1 / 2  \n \n/ 3", True),
+    }
+    code = code_text(F.col("s"))
+    shown = spark.createDataFrame([(s,) for s in sources], "s string").select("s", code["whole"].alias("whole"), without_marks(code["text"]).alias("text"))
+    for row in shown.collect():
+        text, whole = sources[row.s]
+        assert row.whole == whole and (not whole or row.text == text), row

@@ -31,9 +31,9 @@ HIDDEN = "\x05"
 RUN = 512
 
 _SMALL = r"(?s)\\(?!\*/).|//|/\*|\*/|\$\{|[^\\\n\"'`/(){}\[\]*$]++|."
-# Without templates, strings and comments are tokens as wholes ...
+# Without templates, strings and comments are tokens as wholes, lines of comments one after the other one token ...
 _LARGE = (
-    r"(?s)\"(?:[^\"\\\n]|\\.)*+\"|'(?:[^'\\\n]|\\.)*+'|//[^\n]*+|/\*.*?\*/"
+    r"(?s)\"(?:[^\"\\\n]|\\.)*+\"|'(?:[^'\\\n]|\\.)*+'|//[^\n]++(?:\n *+//[^\n]*+)*+|/\*.*?\*/"
     r"|\\(?!\*/).|//|/\*|\*/|[^\\\n\"'/(){}\[\]*]++|."
 )
 # ... if no regular expression may hold a quote, nor a comment's beginning.
@@ -144,7 +144,8 @@ def _in_code(token: Column) -> Column:
     return (
         F.when(F.length(token) < 2, token)
         .when(first.isin('"', "'"), string.otherwise(F.concat(F.lit('"' + HIDDEN + '"'), breaks)))
-        .when(token.startswith("//") | token.startswith("/*"), F.concat(F.lit(" "), breaks))
+        .when(token.startswith("//"), F.replace(F.regexp_replace(token, "//[^\\n]++", " "), F.lit("//"), F.lit("")))
+        .when(token.startswith("/*"), F.concat(F.lit(" "), breaks))
         .otherwise(token)
     )
 

@@ -110,13 +110,18 @@ def construct_lines(code: Column, pattern: str, wanted: Callable[[Column], Colum
     condition on the text from the construct on.
     """
     marked = F.regexp_replace(F.concat(F.lit(" "), code), pattern, f"$1{_MARK}$2")
-    pieces = F.split(marked, _MARK, -1)
+    none = F.array().cast("array<int>")
 
     def step(state: Column, piece: Column) -> Column:
         found = F.array(state["line"])
         if wanted is not None:
-            found = F.when(wanted(piece), found).otherwise(F.array().cast("array<int>"))
+            found = F.when(wanted(piece), found).otherwise(none)
         return F.struct((state["line"] + newlines(piece)).alias("line"), F.concat(state["lines"], found).alias("lines"))
 
-    start = F.struct((newlines(F.get(pieces, F.lit(0))) + 1).alias("line"), F.array().cast("array<int>").alias("lines"))
-    return F.aggregate(F.slice(pieces, F.lit(2), F.size(pieces)), start, step, lambda state: state["lines"])
+    def lines(pieces: Column) -> Column:
+        start = F.struct((newlines(F.get(pieces, F.lit(0))) + 1).alias("line"), none.alias("lines"))
+        found = F.aggregate(F.slice(pieces, F.lit(2), F.size(pieces)), start, step, lambda state: state["lines"])
+        return F.when(F.size(pieces) > 1, found).otherwise(none)
+
+    # searched once, for both uses of the pieces
+    return bind(F.split(marked, _MARK, -1), lines)

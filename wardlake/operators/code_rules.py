@@ -72,9 +72,10 @@ _INSECURE_HTTP = dict(
 # Fixed value: words that make an assigned name security-sensitive.
 _SENSITIVE = "token|secret|password|otp|nonce|salt"
 
-# What must stand before, and the construct, in masked code with marked brackets.
-_EVAL_CALL = r"(?<!\.\s{0,20})([^\w$.])(eval\s*(?:\?\.\s*)?\()"
-_NEW_FUNCTION_CALL = r"(?<!\.\s{0,20})([^\w$.])(new\s+Function\s*\()"
+# What must stand before, and the construct, in masked code with marked brackets. Where a look back
+# comes first, the construct's first letters are looked at before, as that costs less at every place.
+_EVAL_CALL = r"(?=[^\w$.]eval)(?<!\.\s{0,20})([^\w$.])(eval\s*(?:\?\.\s*)?\()"
+_NEW_FUNCTION_CALL = r"(?=[^\w$.]new)(?<!\.\s{0,20})([^\w$.])(new\s+Function\s*\()"
 _TLS_PROPERTY = r"([^\w$.'\"])(rejectUnauthorized\s*:\s*false(?:[^\w$]|\z))"
 _TLS_VARIABLE = (
     rf"()((?:\.\s*NODE_TLS_REJECT_UNAUTHORIZED|\[{MARK}\s*\"NODE_TLS_REJECT_UNAUTHORIZED\"\s*\]{MARK})"
@@ -82,7 +83,7 @@ _TLS_VARIABLE = (
 )
 # The options are the first argument; of their properties only direct ones count.
 _CORS_CALL = (
-    rf"(?<!\.\s{{0,20}})([^\w$.])(cors\s*\({MARK}\s*\{{{MARK}(?:(?:[^(){{}}\[\],]|{bracketed(3)})*+,)*?"
+    rf"(?=[^\w$.]cors)(?<!\.\s{{0,20}})([^\w$.])(cors\s*\({MARK}\s*\{{{MARK}(?:(?:[^(){{}}\[\],]|{bracketed(3)})*+,)*?"
     r"\s*origin\s*:\s*\"\*\"\s*[,}])"
 )
 # An assigned name, a declared one or a property's, and a call that is the whole value: nothing goes on after it.
@@ -105,14 +106,19 @@ def _rule(meta: dict, hits, check_order: int, **options) -> Rule:
 
 
 # Without one of these words a source holds no construct in either way and is not masked.
-_WORDS = rf"{LEFT}(?:eval|Function){RIGHT}|cors"
-_CALLED = rf"{LEFT}exec(?:Sync)?{RIGHT}"
+_WORDS = rf"(?=[eFc])(?:{LEFT}(?:eval|Function){RIGHT}|cors)"
+_CALLED = rf"(?=exec){LEFT}exec(?:Sync)?{RIGHT}"
+_TLS_WORDS = ("rejectUnauthorized", "NODE_TLS_REJECT_UNAUTHORIZED")
+
+
+def _holds_tls(content: Column) -> Column:
+    return content.contains(_TLS_WORDS[0]) | content.contains(_TLS_WORDS[1])
 
 
 def _worth_masking(content: Column) -> Column:
     words = (content.contains("eval") | content.contains("Function") | content.contains("cors")) & content.rlike(_WORDS)
     calls = content.contains("exec") & (content.contains(MODULE) | content.contains("${")) & content.rlike(_CALLED)
-    tls = content.contains("rejectUnauthorized") | content.contains("NODE_TLS_REJECT_UNAUTHORIZED")
+    tls = _holds_tls(content)
     random = content.contains("random") & content.contains("Math") & content.rlike(f"(?i){_SENSITIVE}")
     return words | calls | tls | random
 
@@ -151,7 +157,8 @@ _RANDOM_LINE = rf"(?i){LEFT}(?:{_SENSITIVE}){RIGHT}[^\n;]*Math\.random{S}*\("
 
 
 def _tls(code: Column, content: Column) -> Column:
-    return F.concat(construct_lines(code, _TLS_PROPERTY), construct_lines(code, _TLS_VARIABLE))
+    lines = F.concat(construct_lines(code["text"], _TLS_PROPERTY), construct_lines(code["text"], _TLS_VARIABLE))
+    return F.when(code["whole"] & _holds_tls(content), lines)
 
 
 EVAL = _construct(_EVAL, _found("eval_lines", "eval", lambda code, _: construct_lines(code, _EVAL_CALL)), _EVAL_LINE, 20, triggers=("eval",))
@@ -166,7 +173,7 @@ NEW_FUNCTION = _construct(
 EXEC = _construct(_EXEC, _found("exec_lines", MODULE, exec_lines), _EXEC_LINE, 22, triggers=("exec",))
 # Both spellings, rejectUnauthorized and NODE_TLS_REJECT_UNAUTHORIZED, in one search.
 _TLS_NAMES = ("unauthorized",)
-TLS = _construct(_TLS, Fact("tls_lines", "code", lambda code, c: F.when(code["whole"], _tls(code["text"], c)), of=CODE), _TLS_LINE, 23, any_case_triggers=_TLS_NAMES)
+TLS = _construct(_TLS, Fact("tls_lines", "code", _tls, of=CODE), _TLS_LINE, 23, any_case_triggers=_TLS_NAMES)
 CORS = _construct(_CORS, _found("cors_lines", "cors", lambda code, _: construct_lines(code, _CORS_CALL)), _CORS_LINE, 24, triggers=("cors",))
 # The name may stand on another line than the call.
 WEAK_RANDOM = _construct(

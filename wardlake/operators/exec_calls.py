@@ -23,7 +23,7 @@ _REQUIRE_NAMES = rf"(?:const|let|var)\s*\{{([^{{}}]*\}}\s*=\s*{_REQUIRE}\s*\.?)"
 _REQUIRE_WHOLE = rf"(?:const|let|var)\s+([\w$]+\s*=\s*{_REQUIRE}(?:\s*\.\s*[\w$]+)?\s*[.(\[]?)"
 
 # A call of exec or execSync in masked code, and one whose first argument is fixed or missing.
-_CALL = r"(?<!\.\s{0,20})([^\w$.])((?:[\w$]+\s*\??\.\s*)?(?:execSync|exec)\s*(?:\?\.\s*)?\()"
+_CALL = r"(?=[^\w$.][\w$])(?<!\.\s{0,20})([^\w$.])((?:[\w$]+\s*\??\.\s*)?(?:execSync|exec)\s*(?:\?\.\s*)?\()"
 _HEAD = r"^(?:([\w$]+)\s*\??\.\s*)?(execSync|exec)\s*(?:\?\.\s*)?\("
 _FIXED_CALL = _HEAD + MARK + r"\s*(?:\)|(?:\"[^\"]*\"|`[^`$]*`|[0-9][\w.]*|true|false|null)\s*[,)])"
 
