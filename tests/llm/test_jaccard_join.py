@@ -175,3 +175,21 @@ def test_one_of_each_with_columns_of_any_names(spark):
     frame = spark.createDataFrame([(i, text, *names) for i in (1, 1, 2, 3)], ["doc_id", "text", *names])
     kept = J.one_of_each(frame)
     assert kept.columns == ["doc_id", "text", *names] and [r.doc_id for r in kept.collect()] == [1]
+
+
+@pytest.mark.parametrize("edges, tables", [([], 1), ([(3, 3)], 1), ([(5, 2), (7, 2), (9, 4)], 2), ([(1, 2), (2, 3), (3, 4)], None)])
+def test_components_take_no_more_rounds_than_needed(spark, monkeypatch, edges, tables):
+    import wardlake.llm.components as C
+
+    names = []
+    keep = C.written
+    monkeypatch.setattr(C, "written", lambda rows, name: names.append(name) or keep(rows, name))
+    rows = C.components(spark.createDataFrame(edges, "a long, b long"))
+    assert tables is None or len(names) == tables
+    plainly = {a: a for e in edges if e[0] != e[1] for a in e}
+    for _ in edges:
+        for a, b in edges:
+            if a != b:
+                plainly[a] = plainly[b] = min(plainly[a], plainly[b])
+    assert {(r.node, r.label) for r in rows.collect()} == set(plainly.items())
+    assert rows.count() == len(plainly)

@@ -38,6 +38,7 @@ import heapq
 import math
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import reduce
 from itertools import groupby
 
 import numpy as np
@@ -399,8 +400,8 @@ def near_groups(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text
         F.count("*").alias("met"), F.max(F.greatest("x_n", "y_n")).alias("n")
     )
     asked = F.ceil(F.col("n") * percent / 100)  # of the larger set
-    rest = rest.where(F.col("met") >= F.least(F.lit(SHARED), asked)).select("a", "b")
-    more = _links(texts, entities, rest, percent)
+    rest = written(rest.where(F.col("met") >= F.least(F.lit(SHARED), asked)).select("a", "b"), "rest-pairs")
+    more = [] if rest.isEmpty() else [_links(texts, entities, rest, percent)]
     # long lists: those outside the largest component go to the shards that hold members of the list
     long = apart.where(F.col("rows") >= LONG)
     if not long.isEmpty():
@@ -408,8 +409,9 @@ def near_groups(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text
         places = long.select("shingle", shard).distinct()
         asked = outside.where(F.col("rows") >= LONG).select("shingle", "entity").join(places, "shingle").select("shard", "entity").distinct()
         held = long.select(shard, F.col("entity").alias("member")).distinct()
-        more = more.unionByName(_searched(texts, entities, asked, held, percent, LONG_BLOCK_SHINGLES))
-    final = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more))
+        more.append(_searched(texts, entities, asked, held, percent, LONG_BLOCK_SHINGLES))
+    known = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
+    final = components(reduce(DataFrame.unionByName, more, known)) if more else labels
 
     own = rows.join(final.withColumnRenamed("node", "entity"), "entity", "left")
     own = own.withColumn("label", F.when(F.col("n") > 0, F.coalesce("label", "entity")))
