@@ -1,3 +1,4 @@
+import os
 import random
 import re
 from collections import defaultdict
@@ -193,3 +194,79 @@ def test_components_take_no_more_rounds_than_needed(spark, monkeypatch, edges, t
                 plainly[a] = plainly[b] = min(plainly[a], plainly[b])
     assert {(r.node, r.label) for r in rows.collect()} == set(plainly.items())
     assert rows.count() == len(plainly)
+
+
+def stored(monkeypatch):
+    """Names and folders of the tables that the join stores from now on."""
+    import wardlake.llm.components as C
+
+    tables = []
+    keep = J.written
+
+    def recorded(frame, name):
+        out = keep(frame, name)
+        tables.append((name, out.stored_at, frame.sparkSession.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None)))
+        return out
+
+    monkeypatch.setattr(J, "written", recorded)
+    monkeypatch.setattr(C, "written", recorded)
+    return tables
+
+
+def test_what_is_read_no_more_is_deleted(spark, monkeypatch):
+    monkeypatch.setattr(J, "LONG", 3)
+    tables, key = stored(monkeypatch), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, docs = spark.conf.get(key, None), corpus(1)
+    groups = J.near_groups(spark.createDataFrame(docs, "doc_id long, text string"))
+    left = [name for name, folder, _ in tables if os.path.exists(re.sub("^file:/*", "/", folder))]
+    assert {"prefixes", "shared-shingles", "labelled-lists", "shingle-sets", "likely-pairs", "links"} <= {name for name, *_ in tables}
+    assert set(left) <= {"shingle-counts", "links", "edges"}
+    assert {cleanup for *_, cleanup in tables} == {"true"} and spark.conf.get(key, None) == before
+    assert got(groups) == plain(docs)
+
+
+def test_frequent_shingles_come_last_however_many_there_are(spark, monkeypatch):
+    """A passage in unlike documents is in no prefix, though its shingles are not known one by one."""
+    monkeypatch.setattr(J, "FREQUENT", 0)
+    shared, keep = [], J._shared
+    monkeypatch.setattr(J, "_shared", lambda prefixes: shared.append(keep(prefixes).count()) or keep(prefixes))
+    passage = " ".join(f"p{i}" for i in range(50))
+    docs = [(d, passage + "".join(f" d{d}w{i}" for i in range(100))) for d in range(20)]
+    assert got(J.near_groups(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1))) == plain(docs)
+    assert shared == [0]
+
+
+def test_long_lists_are_searched_where_sizes_are_alike(spark, monkeypatch):
+    like = {r.n: r.like for r in spark.range(1, 2000).selectExpr("cast(id as int) n").select("n", J._like_size("n", 80).alias("like")).collect()}
+    assert all(like[m] - like[n] in (0, 1) for n in like for m in range(n, min(1999, n * 100 // 80) + 1))
+    monkeypatch.setattr(J, "SHARD_SHINGLES", 300)
+    rng = random.Random(3)
+    rows = [(s, e, n, e % 3, 0) for e, n in ((e, rng.randint(1, 400)) for e in range(60)) for s in {e % 2, e % 5, 7}]
+    long = spark.createDataFrame(rows, "shingle long, entity long, n int, label long, top long")
+    asked, held = ([tuple(r) for r in frame.collect()] for frame in J._long_places(long, 80))
+    shard_of = {e: s for s, e in held}
+    assert len(held) == len(shard_of) == 60 and len(set(shard_of.values())) > 15
+    size = {e: n for _, e, n, *_ in rows}
+    lists = [{e for s, e, *_ in rows if s == shingle} for shingle in {r[0] for r in rows}]
+    wanted = {(shard_of[y], x) for members in lists for x in members for y in members if x % 3 and 100 * min(size[x], size[y]) >= 80 * max(size[x], size[y])}
+    assert wanted <= set(asked) and len(asked) == len(set(asked))
+    assert all(abs((shard >> 32) - like[size[x]]) <= 1 for shard, x in asked)
+
+
+def test_sets_of_unlike_members_of_long_lists_are_not_moved(spark, monkeypatch):
+    """Forty documents share a passage, in a long list of several labels; two of them are near copies."""
+    monkeypatch.setattr(J, "LONG", 3)
+    monkeypatch.setattr(J, "MEETINGS", 0)
+    monkeypatch.setattr(J, "_frequent", lambda counted: (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(2, np.uint8)))
+    moved, keep = [], J._searched
+
+    def searched(docs, entities, asked, held, *others):
+        moved.append((len({r.entity for r in asked.collect()}), len({r.member for r in held.collect()})))
+        return keep(docs, entities, asked, held, *others)
+
+    monkeypatch.setattr(J, "_searched", searched)
+    passage = " ".join(f"p{i}" for i in range(50))
+    docs = [(d, passage + "".join(f" d{d}w{i}" for i in range(60))) for d in range(40)]
+    docs += [(40, docs[17][1] + " more"), (41, docs[39][1] + " more")]
+    assert got(J.near_groups(spark.createDataFrame(docs, "doc_id long, text string"))) == plain(docs)
+    assert moved and all(max(m) <= 4 for m in moved)

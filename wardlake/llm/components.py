@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from wardlake.session import written
+from wardlake.session import dropped, written
 
 
 def _stars(pairs: DataFrame) -> DataFrame:
@@ -18,7 +18,7 @@ def components(edges: DataFrame) -> DataFrame:
     """``node`` and ``label``, the smallest node that it can reach, for every node of ``edges`` (a, b).
 
     Every round writes its edges to the shared folder, so a lost executor costs one round
-    at most. One count and one checksum of the edges come to the driver. Edges that already
+    at most, and deletes those of the round before. One count and one checksum of the edges come to the driver. Edges that already
     lead to the smallest node of each component take one round, none take no round.
     """
 
@@ -32,7 +32,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = _stars(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = _stars(large.where("u != v").distinct())
         pairs = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-        current = written(pairs.where("u != v").distinct(), "edges")
+        earlier, current = current, written(pairs.where("u != v").distinct(), "edges")
+        dropped(earlier)
         state = state_of(current)
         if state == before:
             break

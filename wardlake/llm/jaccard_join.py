@@ -15,15 +15,19 @@ have a partner:
   all documents share. Frequent shingles come last in it. Any order gives the same links,
   it only decides how long the lists become, so a lower bound of the frequencies is
   enough: each task counts the shingles of its documents and reports those it met more
-  than once.
+  than once. The most frequent are known one by one, the others by sums over buckets of
+  shingles, so that those of long lists come last however many there are.
 * In each shingle's list, all meet the first entity. Verified links give components. In
   long lists those outside the list's largest component then meet one member of it, twice
   with another one. Last, members that still are in different components meet: in short
   lists as pairs, in long ones by a search of those outside the largest component in the
-  shards that hold the list's members. A list is thus not expanded into pairs within a
+  shards that hold members of the list of a like size; of both, only the sets of those are
+  moved that may have a partner there by sizes, prefixes and histograms. A list is thus not expanded into pairs within a
   group of like documents, though nothing is left out.
 * Before sets are moved, a histogram of each set's hashes bounds the overlap of a pair.
 
+What a step stored is deleted as soon as no later step reads it.
+
 Everything is exact but for hash collisions (64 bits for shingles, 64 bits and the size
 for sets); nothing is sampled or capped.
 
@@ -52,16 +56,22 @@ from pyspark.sql.window import Window
 from wardlake.llm.common import blocks, id_and_text, unused
 from wardlake.llm.components import components
 from wardlake.llm.shingles import shingle_set
-from wardlake.session import written
+from wardlake.session import dropped, released, shuffles_removed, written
 
 #: Shingles that a task counts together; frequent shingles that are broadcast, at most.
 COUNTED, FREQUENT = 4_000_000, 200_000
+#: Bits of a shingle that choose its bucket, for the shingles that are too many to be known one by one.
+BUCKET_BITS = 21
 #: Ids of documents whose sets are fetched that are broadcast, at most; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Shingles of the index sets of a shard and of the queries of a block, on average.
 SHARD_SHINGLES, BLOCK_SHINGLES = 500_000, 1_000_000
 #: The same of queries to shards that long lists ask, where a query meets many members.
 LONG_BLOCK_SHINGLES = 40_000
+#: Blocks of a shard that long lists ask, at most: to each goes a copy of what the shard holds.
+BLOCKS = 16
+#: Queries of a block, on average, while shards are only asked for likely partners.
+BLOCK_QUERIES = 2_000
 #: Shingles of the prefixes that a pair must share.
 SHARED = 3
 #: Lists of so many rows are long; how often their members meet one of the largest component.
@@ -171,22 +181,51 @@ def _counted(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, text_hash long, n int, entity long, bins binary, shingle long, met int")
 
 
-def _frequent(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Frequent shingles, sorted, with their counts: at most FREQUENT of them, the most frequent."""
+def _frequent(counted: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Frequent shingles, sorted, with their counts: at most FREQUENT of them, the most frequent; and levels of buckets.
+
+    A bucket's level grows with the sum of the counts of the shingles in it, 0 if none was met more
+    than once; of more shingles than there are buckets, the most frequent give it.
+    """
     met = counted.where("shingle is not null").groupBy("shingle").agg(F.sum("met").alias("met"))
     met = written(met, "frequent-shingles")
     by_count = met.groupBy(F.least("met", F.lit(100_000)).alias("met")).count().orderBy(F.desc("met")).collect()
-    total, least = 0, None
-    for row in by_count:  # one row per count
-        if total + row["count"] > FREQUENT:
-            break
-        total, least = total + row["count"], row["met"]
-    if least is None:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    chosen = met.where(F.col("met") >= least).toPandas()
-    shingles = chosen["shingle"].to_numpy(np.int64).view(np.uint64)
+
+    def least_met(most: int) -> int | None:
+        total, least = 0, None
+        for row in by_count:  # one row per count
+            if total + row["count"] > most:
+                break
+            total, least = total + row["count"], row["met"]
+        return least
+
+    levels = np.zeros(1 << BUCKET_BITS, np.uint8)
+    least = least_met(len(levels))
+    if least is not None:
+        bucket = F.shiftrightunsigned("shingle", 64 - BUCKET_BITS).cast("int").alias("bucket")
+        level = F.least(F.round(8 * F.log2(F.sum("met"))), F.lit(255)).cast("short").alias("level")
+        stored = written(met.where(F.col("met") >= least).groupBy(bucket).agg(level), "shingle-levels")
+        filled = stored.toArrow()
+        levels[filled["bucket"].to_numpy()] = filled["level"].to_numpy()
+        dropped(stored)
+    least = least_met(FREQUENT)
+    shingles, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    if least is not None:
+        chosen = met.where(F.col("met") >= least).toArrow()
+        shingles, counts = chosen["shingle"].to_numpy().view(np.uint64), chosen["met"].to_numpy()
+    dropped(met)
     order = np.argsort(shingles)
-    return shingles[order], chosen["met"].to_numpy(np.int64)[order]
+    return shingles[order], counts[order], levels
+
+
+def _ranks(own: np.ndarray, known: np.ndarray, counts: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """The place of each shingle in the order that all documents share: by the bucket's level, known ones last by their count."""
+    rank = levels[own >> np.uint64(65 - len(levels).bit_length())].astype(np.int64)  # as many buckets as levels
+    met = np.flatnonzero(rank)  # known ones are among them
+    if len(known) and len(met):
+        at = np.minimum(np.searchsorted(known, own[met]), len(known) - 1)
+        rank[met] = np.where(known[at] == own[met], 256 + counts[at], rank[met])
+    return rank
 
 
 def _prefixes(docs: DataFrame, frequent, percent: int) -> DataFrame:
@@ -194,7 +233,7 @@ def _prefixes(docs: DataFrame, frequent, percent: int) -> DataFrame:
     names = ["shingle", "entity", "n", "often"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, counts = frequent.value
+        known, counts, levels = frequent.value
         seen: set[int] = set()
         for batch in batches:
             for part in blocks(batch, "text"):
@@ -208,13 +247,10 @@ def _prefixes(docs: DataFrame, frequent, percent: int) -> DataFrame:
                         seen.clear()
                     seen.add(entity)
                     first = prefix_size(len(own), percent)
-                    rank = np.zeros(len(own), np.int64)
-                    if len(known):
-                        at = np.minimum(np.searchsorted(known, own), len(known) - 1)
-                        rank = np.where(known[at] == own, counts[at], 0)
+                    rank = _ranks(own, known, counts, levels)
                     order = np.argsort(rank, kind="stable")[:first]
                     taken.append(own[order])
-                    often.append(rank[order] > 0)
+                    often.append(rank[order] >= 256)
                     entities.append(np.full(first, entity))
                     sizes.append(np.full(first, len(own), np.int32))
                 if taken:
@@ -275,7 +311,23 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         return sets
     again = written(sets.groupBy("entity").count().where("count > 1").select("entity"), "repeated-sets")
     once = sets.join(again, "entity", "left_semi").groupBy("entity").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"))
-    return written(sets.join(again, "entity", "left_anti").unionByName(once), "shingle-sets")
+    one_of_each_set = written(sets.join(again, "entity", "left_anti").unionByName(once), "shingle-sets")
+    released(sets)
+    dropped(again)
+    return one_of_each_set
+
+
+def _unpacked(bins: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(bins), np.uint8).reshape(-1, BINS)
+
+
+def _may_reach(a_n, b_n, a_bins: np.ndarray, b_bins: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs reach the threshold if all that their histograms and sizes allow is shared."""
+    # a full bin stands for any number
+    full = np.maximum(a_n, b_n)[:, None]
+    a_bins, b_bins = (np.where(bins == 255, full, bins) for bins in (a_bins, b_bins))
+    most = np.minimum(np.minimum(a_bins, b_bins).sum(1), np.minimum(a_n, b_n))
+    return 100 * most >= percent * (a_n + b_n - most)
 
 
 def _links(docs: DataFrame, entities: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
@@ -289,18 +341,16 @@ def _links(docs: DataFrame, entities: DataFrame, pairs: DataFrame, percent: int)
             if not batch.num_rows:
                 continue
             sizes = [batch.column(k).to_numpy().astype(np.int64) for k in (2, 3)]
-            bins = [np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int64) for k in (4, 5)]
-            # a full bin stands for any number
-            bins = [np.where(b == 255, np.maximum(*sizes)[:, None], b) for b in bins]
-            most = np.minimum(np.minimum(*bins).sum(1), np.minimum(*sizes))
-            kept = 100 * most >= percent * (sizes[0] + sizes[1] - most)
+            kept = _may_reach(*sizes, *(_unpacked(batch.column(k).to_pylist()) for k in (4, 5)), percent)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(kept))
 
     likely = written(known.mapInArrow(bounded, "a long, b long"), "likely-pairs")
     held = likely.select(F.col("b").alias("member")).distinct()
     shard = _shard(entities, held, "b")
     asked = likely.select(shard, F.col("a").alias("entity")).distinct()
-    return _searched(docs, entities, asked, likely.select(shard, F.col("b").alias("member")).distinct(), percent, BLOCK_SHINGLES)
+    found = _searched(docs, entities, asked, likely.select(shard, F.col("b").alias("member")).distinct(), percent, BLOCK_SHINGLES)
+    dropped(likely)
+    return found
 
 
 def _shard(entities: DataFrame, held: DataFrame, name: str):
@@ -309,7 +359,12 @@ def _shard(entities: DataFrame, held: DataFrame, name: str):
     return F.pmod(F.xxhash64(name), F.lit(max(1, math.ceil((in_all or 0) / SHARD_SHINGLES)))).cast("int").alias("shard")
 
 
-def _searched(docs: DataFrame, entities: DataFrame, asked: DataFrame, held: DataFrame, percent: int, block_shingles: int) -> DataFrame:
+def _like_size(n: str, percent: int):
+    """A class of sizes: those of two sets that reach the threshold differ by one at most."""
+    return F.floor(F.log(F.col(n)) / math.log(101 / percent)).cast("int")
+
+
+def _searched(docs: DataFrame, entities: DataFrame, asked: DataFrame, held: DataFrame, percent: int, block_shingles: int, max_blocks: int = 1 << 30) -> DataFrame:
     """All pairs (a, b) of an asked entity and a held member of the same shard that reach the threshold."""
     asked, held = written(asked, "asked"), written(held, "held")
     ends = asked.select("entity").unionByName(held.select(F.col("member").alias("entity"))).distinct()
@@ -317,7 +372,7 @@ def _searched(docs: DataFrame, entities: DataFrame, asked: DataFrame, held: Data
     sets = _sets(docs, wanted)
     held_sets = sets.select(F.col("entity").alias("member"), F.col("shingles").alias("member_shingles"))
     weights = asked.join(entities.select("entity", "n"), "entity").groupBy("shard")
-    many = weights.agg(F.ceil(F.sum("n") / block_shingles).cast("int").alias("blocks"))
+    many = weights.agg(F.least(F.ceil(F.sum("n") / block_shingles), F.lit(max_blocks)).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("entity", F.lit("block")), F.col("blocks")).cast("int").alias("block")
     queries = asked.join(many, "shard").select("shard", block, "entity").join(sets.select("entity", "shingles"), "entity")
     every_block = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -333,7 +388,10 @@ def _searched(docs: DataFrame, entities: DataFrame, asked: DataFrame, held: Data
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
     searched = queries.groupBy("shard", "block").cogroup(index.groupBy("shard", "block"))
-    return written(searched.applyInPandas(search, "a long, b long"), "links")
+    found = written(searched.applyInPandas(search, "a long, b long"), "links")
+    dropped(asked, held, wanted)
+    released(sets)
+    return found
 
 
 def _apart(lists: DataFrame, labels: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
@@ -354,14 +412,86 @@ def _apart(lists: DataFrame, labels: DataFrame, turn: int) -> tuple[DataFrame, D
     return named, largest
 
 
+def _long_places(long: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The shards that each entity outside the largest component of a list asks, and the shard of each member.
+
+    Shards hold about SHARD_SHINGLES of one class of sizes.
+    """
+    sized = long.withColumn("like", _like_size("n", percent))
+    members = sized.select("entity", "n", "like").distinct()
+    shards = members.groupBy("like").agg(F.ceil(F.sum("n") / SHARD_SHINGLES).cast("int").alias("shards")).collect()
+    many = F.create_map(*(F.lit(x) for row in shards for x in row))  # one entry per class of sizes
+    shard = (F.col("like").cast("long") * (1 << 32) + F.pmod(F.xxhash64("entity"), many[F.col("like")])).alias("shard")
+    places = sized.select("shingle", F.explode(F.array(*(F.col("like") + k for k in (-1, 0, 1)))).alias("like"), shard).distinct()
+    asked = sized.where("label != top").select("shingle", "like", "entity").join(places, ["shingle", "like"])
+    return asked.select("shard", "entity").distinct(), members.select(shard, F.col("entity").alias("member"))
+
+
+def _likely_places(entities: DataFrame, apart: DataFrame, asked: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """``shard``, ``entity`` and ``asks``: the asked and the held entities that may have a partner in the shard.
+
+    Partners share enough shingles of their prefixes, in lists with several labels, and reach the
+    threshold by their histograms. Neither sets are moved for this, nor pairs put out.
+    """
+    asked, held = written(asked, "asked"), written(held, "held")
+    signs = apart.join(held.select(F.col("member").alias("entity")), "entity", "left_semi").groupBy("entity").agg(F.collect_list("shingle").alias("signs"))
+    signs = written(signs.join(entities.select("entity", "n", "bins"), "entity"), "prefix-signs")
+    many = asked.groupBy("shard").agg(F.least(F.ceil(F.count("*") / BLOCK_QUERIES), F.lit(BLOCKS)).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("entity", F.lit("block")), F.col("blocks")).cast("int").alias("block")
+    queries = asked.join(many, "shard").select("shard", block, "entity").join(signs, "entity")
+    every_block = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    held_signs = signs.select(F.col("entity").alias("member"), *(F.col(c).alias(f"member_{c}") for c in ("n", "bins", "signs")))
+    index = held.join(held_signs, "member").join(many, "shard").withColumn("block", every_block)
+
+    def likely(key: tuple, queries: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        names, sizes = held["member"].to_numpy(), held["member_n"].to_numpy(np.int64)
+        asking, met = [], np.zeros(len(held), bool)
+        if len(queries) and len(held):
+            bins = _unpacked(held["member_bins"].tolist())
+            shingles = np.concatenate(held["member_signs"].tolist())
+            order = np.argsort(shingles, kind="stable")
+            owners = np.repeat(np.arange(len(held)), held["member_signs"].map(len))[order]
+            shingles = shingles[order]
+            for entity, size, own_bins, own in zip(queries["entity"].tolist(), queries["n"].tolist(), queries["bins"], queries["signs"], strict=True):
+                ends = (np.searchsorted(shingles, own, side).tolist() for side in ("left", "right"))
+                members, often = np.unique(np.concatenate([owners[a:b] for a, b in zip(*ends, strict=True)]), return_counts=True)
+                enough = np.minimum(SHARED, least_overlap(np.maximum(size, sizes[members]), percent))
+                members = members[(often >= enough) & (names[members] != entity)]
+                own_bins = np.broadcast_to(_unpacked([own_bins]), (len(members), BINS))
+                members = members[_may_reach(np.full(len(members), size), sizes[members], own_bins, bins[members], percent)]
+                if len(members):
+                    asking.append(entity)
+                    met[members] = True
+        places = [*asking, *names[met].tolist()]
+        asks = np.arange(len(places)) < len(asking)
+        return pd.DataFrame({"shard": np.full(len(places), key[0], np.int64), "entity": np.array(places, np.int64), "asks": asks})
+
+    likely_ones = queries.groupBy("shard", "block").cogroup(index.groupBy("shard", "block"))
+    found = written(likely_ones.applyInPandas(likely, "shard long, entity long, asks boolean"), "likely-places")
+    dropped(asked, held, signs)
+    return found
+
+
 def near_groups(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id``, ``component`` and ``text_hash`` of every row.
 
     ``component_id`` is the smallest doc_id that links reach; ``component`` names the component
     where ids are missing (null: no words), and ``text_hash`` (xxhash64) the text.
     """
+    with shuffles_removed(docs.sparkSession):
+        rows, labels = _labelled(id_and_text(docs, id_col, text_col), percent)
+    own = rows.join(labels.withColumnRenamed("node", "entity"), "entity", "left")
+    own = own.withColumn("label", F.when(F.col("n") > 0, F.coalesce("label", "entity")))
+    names = own.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    return own.join(names, "label", "left").select(
+        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.col("label").alias("component"), "text_hash"
+    )
+
+
+def _labelled(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """``doc_id``, ``text_hash``, ``n`` and ``entity`` of every row, and the label of each entity that has links."""
     spark = docs.sparkSession
-    texts = id_and_text(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
+    texts = docs.withColumn("text_hash", F.xxhash64("text"))
     counted = written(_counted(texts), "shingle-counts")
     frequent = spark.sparkContext.broadcast(_frequent(counted))  # at most FREQUENT shingles
     rows = counted.where("n is not null").select("doc_id", "text_hash", "n", "entity", "bins")
@@ -371,6 +501,7 @@ def near_groups(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text
     entities = written(entities.select("entity", "n", "own.doc_id", "own.text_hash", "bins"), "entities")
     prefixes = written(_prefixes(texts, frequent, percent), "prefixes")
     lists = written(_shared(prefixes), "shared-shingles")
+    dropped(prefixes)
     # a first try: documents that have the same first entity in two lists
     starts = lists.where(F.col("entity") != F.col("first")).where(_fits("n", "first_n", percent))
     starts = starts.groupBy(F.col("entity").alias("a"), F.col("first").alias("b")).agg(F.count("*").alias("met"), F.max("n").alias("n"))
@@ -382,9 +513,11 @@ def near_groups(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text
         met = named.join(largest.where(F.col("rows") >= LONG).select("shingle", "top", "one"), "shingle").where("label != top")
         met = met.where(_fits("n", "one.n", percent)).select(F.col("entity").alias("a"), F.col("one.entity").alias("b"))
         met = written(met.distinct(), "meetings")
+        dropped(named)
         if met.isEmpty():
             break
         links = links.unionByName(_links(texts, entities, met, percent))
+        dropped(met)
         labels = components(links)
 
     named, largest = _apart(lists, labels, MEETINGS)
@@ -402,23 +535,19 @@ def near_groups(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text
     asked = F.ceil(F.col("n") * percent / 100)  # of the larger set
     rest = written(rest.where(F.col("met") >= F.least(F.lit(SHARED), asked)).select("a", "b"), "rest-pairs")
     more = [] if rest.isEmpty() else [_links(texts, entities, rest, percent)]
-    # long lists: those outside the largest component go to the shards that hold members of the list
+    # long lists: those outside the largest component go to the shards that hold members of the list of a like size
     long = apart.where(F.col("rows") >= LONG)
     if not long.isEmpty():
-        shard = _shard(entities, long.select(F.col("entity").alias("member")).distinct(), "entity")
-        places = long.select("shingle", shard).distinct()
-        asked = outside.where(F.col("rows") >= LONG).select("shingle", "entity").join(places, "shingle").select("shard", "entity").distinct()
-        held = long.select(shard, F.col("entity").alias("member")).distinct()
-        more.append(_searched(texts, entities, asked, held, percent, LONG_BLOCK_SHINGLES))
+        found = _likely_places(entities, apart, *_long_places(long, percent), percent)
+        if not found.isEmpty():
+            asked = found.where("asks").select("shard", "entity")
+            held = found.where("not asks").select("shard", F.col("entity").alias("member")).distinct()
+            more.append(_searched(texts, entities, asked, held, percent, LONG_BLOCK_SHINGLES, BLOCKS))
+        dropped(found)
     known = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
     final = components(reduce(DataFrame.unionByName, more, known)) if more else labels
-
-    own = rows.join(final.withColumnRenamed("node", "entity"), "entity", "left")
-    own = own.withColumn("label", F.when(F.col("n") > 0, F.coalesce("label", "entity")))
-    names = own.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    return own.join(names, "label", "left").select(
-        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.col("label").alias("component"), "text_hash"
-    )
+    dropped(named, apart, rest, lists, entities)
+    return rows, final
 
 
 def one_of_each(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

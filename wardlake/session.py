@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -67,7 +68,33 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     target = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(target)
-    return spark.read.schema(df.schema).parquet(target)
+    table = spark.read.schema(df.schema).parquet(target)
+    table.stored_at = target
+    return table
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Queries that begin meanwhile remove their shuffle files as they end, not when the driver collects its garbage."""
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        yield
+
+
+def _delete(spark: SparkSession, target: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(target)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables that ``written`` stored, when nothing will read them any more."""
+    for table in tables:
+        _delete(table.sparkSession, table.stored_at)
+
+
+def released(*tables: DataFrame) -> None:
+    """The same, as soon as no variable holds the table any more."""
+    for table in tables:
+        weakref.finalize(table, _delete, table.sparkSession, table.stored_at).atexit = False
 
 
 def salted_join(
