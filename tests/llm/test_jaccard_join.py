@@ -10,6 +10,7 @@ from wardlake.llm import jaccard_join as J
 from wardlake.llm.components import components
 from wardlake.llm.queries import QUERIES
 from wardlake.llm.shingles import shingle_set
+from wardlake.session import setting
 
 
 def words_of(text):
@@ -270,3 +271,11 @@ def test_sets_of_unlike_members_of_long_lists_are_not_moved(spark, monkeypatch):
     docs += [(40, docs[17][1] + " more"), (41, docs[39][1] + " more")]
     assert got(J.near_groups(spark.createDataFrame(docs, "doc_id long, text string"))) == plain(docs)
     assert moved and all(max(m) <= 4 for m in moved)
+
+
+def test_copies_are_left_out_without_moving_texts(spark):
+    frame = spark.createDataFrame([(i, "one two three four five six seven") for i in range(4)], "doc_id long, text string")
+    with setting(spark, "spark.sql.autoBroadcastJoinThreshold", "-1"):
+        kept = J.one_of_each(frame)
+        assert [r.doc_id for r in kept.collect()] == [0]
+        assert "SortMergeJoin" not in kept._jdf.queryExecution().executedPlan().toString()

@@ -555,19 +555,22 @@ def one_of_each(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text
 
     Documents without words all stay; of repeated rows (same id and text) one stays.
     """
-    groups = written(near_groups(docs, percent, id_col, text_col).where("component is not null"), "components")
+    groups = near_groups(docs, percent, id_col, text_col).where("component is not null")
+    with shuffles_removed(docs.sparkSession):
+        groups = written(groups, "components")
     place = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
     first = groups.groupBy("component").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last")
     gone = groups.join(first.select("component", "first"), "component").where(place != F.col("first"))
     key, mark = unused("gone_id", docs.columns), unused("gone_hash", docs.columns)
     named = [F.col("doc_id").alias(key), F.col("text_hash").alias(mark)]
-    gone = gone.select(*named).distinct()
-    again = groups.groupBy(*named).count().where("count > 1").drop("count")
+    gone = written(gone.select(*named).distinct(), "gone-rows")
+    again = written(groups.groupBy(*named).count().where("count > 1").drop("count"), "repeated-rows")
+    dropped(groups)
+    gone, again = (F.broadcast(t) if t.count() <= BROADCAST_IDS else t for t in (gone, again))
     text_hash = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     same = F.col(id_col).cast("long").eqNullSafe(F.col(key)) & (text_hash == F.col(mark))
     kept = docs.join(gone, same, "left_anti")
     if again.isEmpty():
         return kept
-    again = written(again, "repeated-rows")
     extra = kept.join(again, same, "left_semi").dropDuplicates([id_col, text_col])
     return kept.join(again, same, "left_anti").unionByName(extra)
